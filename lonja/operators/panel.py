@@ -61,7 +61,7 @@ def build_panel(df: DataFrame, types: tuple[int, ...] = (1, 3)) -> DataFrame:
         F.avg(F.col("es_proyecto").cast("double")).alias("pct_proyecto"),
         F.percentile("tipo_cambio", F.lit(0.5)).alias("tc"), F.count("*").alias("n_obs"),
         F.count_distinct("codigo_cliente").alias("n_clientes"),
-        F.bit_or(F.shiftleft(F.lit(1), F.weekday("fecha"))).alias("dias"), *per_type)
+        F.bit_or(F.expr("shiftleft(1, weekday(fecha))")).alias("dias"), *per_type)
     best = None
     for k in types:  # lower type first: it wins a tie
         top = F.col(f"_n{k}") == F.greatest(*[F.col(f"_n{x}") for x in types])

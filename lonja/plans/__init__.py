@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "hygiene", "panels")
+MODULES = ("sources", "hygiene", "panels", "joins")
 
 
 def load_all():
