@@ -113,7 +113,7 @@ def mode_low(df: DataFrame, key: str, attr: str) -> DataFrame:
 
 
 def crosstab(df: DataFrame, rows: str, cols: str, values: list[str]) -> DataFrame:
-    return df.groupBy(rows).pivot(cols, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(rows).pivot(cols, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def wave_summary(ev: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def best_version(df: DataFrame, key: list[str], won: str, fecha: str, tie: list[
 def share_weight(df: DataFrame, key: list[str], out: str = "w") -> DataFrame:
     """1 / rows of the key. Counted by hash aggregation, so a huge key is no window."""
     n = df.groupBy(*key).agg((F.lit(1.0) / F.count("*")).alias(out))
-    return df.join(n, key)
+    return df.drop(out).join(n, key)
 
 
 def first_date(df: DataFrame, key: str, out: str) -> DataFrame:

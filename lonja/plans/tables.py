@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lonja.operators import clean, panel as P
 from lonja.plans.registry import define
 from lonja.sources import fixtures
+from lonja.staging import staged
 
 
-# Product-week tables that many steps of one run read again. Lines are never kept.
+# Product-week inputs that many steps read again. Lines are never kept.
 KEPT = ("familias", "existencias_sem")
 
 
@@ -24,24 +25,25 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in fixtures.adapters(fixtures.Dialect(True)):
-            df = fixtures.spark_table(self.spark, self.sf, name)
-            if name in KEPT:
-                df = df.persist()
+            build = lambda: fixtures.spark_table(self.spark, self.sf, name)
+            df = self.keep(name, build) if name in KEPT else build()
             self.__dict__[name] = df
             return df
         raise AttributeError(name)
 
+    def keep(self, name: str, build) -> DataFrame:
+        return staged(self.spark, self.sf, name, build)
+
     @cached_property
     def lineas(self) -> DataFrame:
         return clean.clean_lines(self.ventas)
 
-    @cached_property
-    def panel_base(self) -> DataFrame:
-        return P.build_panel(self.lineas).persist()
-
     @cached_property
     def panel(self) -> DataFrame:
-        return P.flag_active(P.keep_complete(self.panel_base)).persist()
+        def build():
+            base = self.keep("panel_base", lambda: P.build_panel(self.lineas))
+            return P.flag_active(P.keep_complete(base))
+        return self.keep("panel", build)
 
     @cached_property
     def activo(self) -> DataFrame:
@@ -49,11 +51,11 @@ class Tables:
 
     @cached_property
     def densa(self) -> DataFrame:
-        return P.densify(self.activo, extra=["costo_prom", "neto_prom"]).persist()
+        return self.keep("densa", lambda: P.densify(self.activo, extra=["costo_prom", "neto_prom"]))
 
     @cached_property
     def mercado(self) -> DataFrame:
-        return P.market(self.activo)
+        return self.keep("mercado", lambda: P.market(self.activo))
 
 
 _d = fixtures.Dialect(False)

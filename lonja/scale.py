@@ -11,42 +11,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 1024
+STEPS = 512  # value buckets per unit of log1p: 0.2 % of the value
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("_g", F.lit(0)), ["_g"])
 
 
-def positions(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS,
+def positions(df: DataFrame, keys: list[str], value: str,
               probs: list[float] | None = None) -> DataFrame:
     """(keys, _v, _n, _before, _tot): every distinct value, its copies, the rows below it.
 
-    With ``probs`` only the buckets that hold those quantiles are ordered.
+    The bucket of a value is a fixed increasing function of it, so no pass is needed to
+    learn the range and a group has at most some 28,000 buckets whatever its size. With
+    ``probs`` only the buckets that hold those quantiles are ordered.
     """
     df, ks = _keyed(df, keys)
     v = F.col("_v")
-    vals = (df.where(F.col(value).isNotNull())
-              .groupBy(*ks, F.col(value).cast("double").alias("_v"))
-              .agg(F.count("*").alias("_n"))
-              .withColumn("_t", F.signum(v) * F.log1p(F.abs(v))))
-    ext = vals.groupBy(*ks).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"),
-                                F.sum("_n").alias("_tot"))
-    pos = F.coalesce((F.col("_t") - F.col("_lo"))
-                     / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
-    b = (vals.join(ext, ks)
-             .withColumn("_b", F.least(F.floor(pos * buckets), F.lit(buckets - 1))))
-    below = W.partitionBy(*ks).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    hist = (b.groupBy(*ks, "_b").agg(F.sum("_n").alias("_hn"), F.first("_tot").alias("_ht"))
-             .withColumn("_off", F.coalesce(F.sum("_hn").over(below), F.lit(0))))
+    b = (df.where(F.col(value).isNotNull())
+           .groupBy(*ks, F.col(value).cast("double").alias("_v"))
+           .agg(F.count("*").alias("_n"))
+           .withColumn("_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * STEPS)))
+    by = W.partitionBy(*ks)
+    hist = (b.groupBy(*ks, "_b").agg(F.sum("_n").alias("_hn"))
+             .withColumn("_off", F.coalesce(F.sum("_hn").over(
+                 by.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_tot", F.sum("_hn").over(by)))
     if probs is not None:
         hit = F.lit(False)
         for p in probs:
-            at = F.lit(float(p)) * (F.col("_ht") - 1)
+            at = F.lit(float(p)) * (F.col("_tot") - 1)
             hit = hit | ((F.col("_off") <= F.ceil(at)) & (F.col("_off") + F.col("_hn") > F.floor(at)))
         hist = hist.where(hit)
     inside = W.partitionBy(*ks, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    return (b.join(hist.drop("_ht"), [*ks, "_b"])
+    return (b.join(hist, [*ks, "_b"])
              .withColumn("_before", F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
              .select(*ks, "_v", "_n", "_before", "_tot"))
 
@@ -108,7 +106,7 @@ def row_order(df: DataFrame, keys: list[str], value: str, tie: str, out: str,
               W.partitionBy(*ks, "_v", "_mb").orderBy("_m", F.col(tie)))))
     if total:
         r = r.withColumn(total, F.col("_tot"))
-    return r.drop("_g", "_v", "_m", "_mb", "_toff", "_before", "_tot")
+    return r.drop(*[c for c in ("_g", "_v", "_m", "_mb", "_toff", "_before", "_tot") if c != total])
 
 
 def calendar_side(df: DataFrame) -> DataFrame:

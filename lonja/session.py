@@ -29,19 +29,30 @@ def build_session(app: str = "lonja", master: str | None = None, **conf) -> Spar
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the cluster names.
+_LOCAL_DIR: dict[str, str] = {}
+
 
-    A folder of our own is only made in local mode, where the driver and the
-    executors share one disk.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of our own is only made in local mode, where the driver and the executors
+    share one disk.
     """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if sc.applicationId not in _LOCAL_DIR:
+        _LOCAL_DIR[sc.applicationId] = tempfile.mkdtemp(prefix="lonja-")
+    return _LOCAL_DIR[sc.applicationId]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            path = tempfile.mkdtemp(prefix="lonja-ckpt-")
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(f"{shared_dir(spark)}/checkpoint")
     return df.checkpoint()
