@@ -57,9 +57,13 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     heads = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in need]
     body = sql.strip()
-    if body.upper().startswith("WITH ") and heads:
-        body = ", " + body[5:]
-    return _round_calls(("WITH " + ",\n".join(heads) + "\n" if heads else "") + body)
+    word = "WITH "
+    if body.upper().startswith("WITH "):
+        body = body[5:]
+        if body.upper().startswith("RECURSIVE "):
+            word, body = "WITH RECURSIVE ", body[10:]
+        body = ", " + body if heads else word + body
+    return _round_calls((word + ",\n".join(heads) + "\n" if heads else "") + body)
 
 
 def query(name: str, sql: str | None = None, digits: int = 6):
