@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def validate_request(req: DataFrame, recos: DataFrame, price_tol: float = 0.005,
-                     max_step: float = 0.0405) -> DataFrame:
+                     max_step: float = 0.045) -> DataFrame:
     """First reason to refuse each requested price, NULL when it passes."""
     d = req.join(recos, "codigo", "left")
     step = F.abs(F.col("precio") / F.col("precio_actual") - 1)

@@ -169,7 +169,7 @@ def _(t):
   r AS (SELECT g.codigo, precio_antes AS precio_actual, precio_nuevo AS precio_sugerido,
           round(100 * (precio_nuevo / precio_antes - 1), 2) AS cambio_pct, u.p1, u.p3
         FROM registro g LEFT JOIN ult u USING (codigo)),
-  v AS (SELECT *, CASE WHEN cambio_pct = 0 THEN 'MANTENER' WHEN abs(precio_sugerido / precio_actual - 1) > 0.0405 THEN 'PASO'
+  v AS (SELECT *, CASE WHEN cambio_pct = 0 THEN 'MANTENER' WHEN abs(precio_sugerido / precio_actual - 1) > 0.045 THEN 'PASO'
      WHEN NOT coalesce(p3, 0) <= 0 AND precio_sugerido >= p1 AND p1 > 0 THEN 'REQUIERE_P1' END AS motivo FROM r)
   SELECT codigo, CASE WHEN coalesce(p3, 0) <= 0 THEN 'precio_nuevo1' ELSE 'precio_nuevo3' END AS campo,
     R(precio_sugerido) AS precio FROM v WHERE motivo IS NULL ORDER BY codigo LIMIT 200""")
