@@ -380,11 +380,10 @@ def audit_costs(events: DataFrame, recos: DataFrame, snap: DataFrame) -> DataFra
     d = d.withColumn("alza_precio_pct", 100 * (safe_div("precio_pol", "precio_vig") - 1)).withColumn("dano_pct", F.col("eps") * F.col("alza_precio_pct"))
     t = lambda c: F.coalesce(c, F.lit(False))
     reacted = t(F.abs(safe_div(F.col("precio_vig") - F.col("precio_det"), "precio_det")) > 0.01)
-    v = (F.when(F.col("alza_precio_pct").isNull(), F.struct(F.lit("SIN DATO").alias("v"), F.lit("sd").alias("r")))
-          .when(F.col("pct") < 0, F.struct(F.lit("BAJA"), F.lit("bj"))).when(reacted, F.struct(F.lit("YA APLICADO"), F.lit("ya")))
-          .when(t(F.col("remate")), F.struct(F.lit("FRENO"), F.lit("rm"))).when(t(F.col("meses_inv") >= 12), F.struct(F.lit("FRENO"), F.lit("so")))
-          .when(t(F.col("holdout")), F.struct(F.lit("FRENO"), F.lit("ho"))).when(F.col("fuente_costo") == "COGS", F.struct(F.lit("CONFIRMAR COSTO"), F.lit("cg")))
-          .otherwise(F.struct(F.lit("APLICAR"), F.lit("sf"))))
+    case = lambda a, b: F.struct(F.lit(a).alias("v"), F.lit(b).alias("r"))
+    v = (F.when(F.col("alza_precio_pct").isNull(), case("SIN DATO", "sd")).when(F.col("pct") < 0, case("BAJA", "bj")).when(reacted, case("YA APLICADO", "ya"))
+          .when(t(F.col("remate")), case("FRENO", "rm")).when(t(F.col("meses_inv") >= 12), case("FRENO", "so")).when(t(F.col("holdout")), case("FRENO", "ho"))
+          .when(F.col("fuente_costo") == "COGS", case("CONFIRMAR COSTO", "cg")).otherwise(case("APLICAR", "sf")))
     return d.withColumn("_v", v).select("codigo", "pct", "factor_antes", "factor_hoy", "precio_pol", "alza_precio_pct", "dano_pct",
                                         F.col("_v.v").alias("veredicto"), F.col("_v.r").alias("razon"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lonja.functions.stats import col
 from lonja.functions.text import norm_code
@@ -36,3 +37,275 @@ def extract_attrs(df: DataFrame, text: str) -> DataFrame:
               .withColumn("mp", number(r"(\d+(?:\.\d+)?)\s*(?:mp\b|megapix)"))
               .withColumn("mm", number(r"(\d+(?:\.\d+)?)\s*mm\b"))
               .withColumn("gama", t.rlike(SPECIAL)))
+
+
+def change_log(reg: DataFrame, limit: float = 0.01) -> DataFrame:
+    """Moves between consecutive dates of each competitor product: price, new, stock-out, restock."""
+    from pyspark.sql import Window as W
+    w = W.partitionBy("fuente", "modelo").orderBy("fecha")
+    first = reg.groupBy("fuente").agg(F.min("fecha").alias("_f0"))
+    d = (reg.withColumn("_p", F.lag("precio_venta").over(w)).withColumn("_e", F.lag("existencia").over(w)).withColumn("_n", F.row_number().over(w))
+            .join(first, "fuente"))
+    rel = F.col("precio_venta") / F.when(F.col("_p") > 0, F.col("_p")) - 1
+    ev = lambda cond, name, pct: F.when(cond, F.struct(F.lit(name).alias("tipo"), pct.alias("delta_pct")))
+    none = F.lit(None).cast("double")
+    moves = F.array_compact(F.array(
+        ev(F.col("_p").isNull() & (F.col("_n") == 1) & (F.col("fecha") > F.col("_f0")), "ALTA", none), ev(rel >= limit, "PRECIO SUBIÓ", 100 * rel), ev(rel <= -limit, "PRECIO BAJÓ", 100 * rel),
+        ev((F.col("_e") > 0) & (F.col("existencia") == 0), "STOCKOUT", none), ev((F.col("_e") == 0) & (F.col("existencia") > 0), "REABASTECIDO", none)))
+    return d.withColumn("x", F.explode(moves)).select("fuente", "modelo", "fecha", "x.tipo", "x.delta_pct", "precio_venta", "moneda")
+
+
+def match_exact(comp: DataFrame, cat: DataFrame) -> DataFrame:
+    """Competitor model and catalogue code with the same normalised code (smallest code on conflict)."""
+    c = cat.groupBy("m_norm").agg(F.min("codigo").alias("codigo"))
+    return comp.join(c, "m_norm").select("modelo", "m_norm", "codigo", F.lit("EXACTO").alias("nivel"), F.lit(1.0).alias("score"))
+
+
+def grams(df: DataFrame, key: str, text, n_lo: int, n_hi: int) -> DataFrame:
+    """(key, gram, tf): character n-grams of the whole text."""
+    t = col(text)
+
+    def of(n):
+        cut = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    arrs = [of(n) for n in range(n_lo, n_hi + 1)]
+    return (df.select(key, F.explode(F.flatten(F.array(*arrs))).alias("gram")).groupBy(key, "gram").agg(F.count("*").cast("double").alias("tf")))
+
+
+def vectors(q: DataFrame, c: DataFrame, qk: str, ck: str, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Unit TF-IDF vectors of both sides; document frequencies come from the catalogue side."""
+    n = c.select(ck).distinct().agg(F.count("*")).scalar()
+    df = c.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
+
+    def unit(d, key):
+        d = d.join(df, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+        norm = d.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+        return d.join(norm, key).select(key, "gram", "df", (F.col("w") / F.col("_n")).alias("w"))
+
+    return unit(q, qk), unit(c, ck)
+
+
+def cosine_above(q: DataFrame, c: DataFrame, qk: str, ck: str, t: float) -> DataFrame:
+    """All pairs with cosine >= t, exactly (t > 0), or all pairs that share a gram (t = 0).
+
+    With grams ordered from rare to frequent, the first gram two texts share must lie where
+    either vector still has length >= t (Cauchy-Schwarz). So only those prefixes are joined
+    and frequent grams, the hot keys, drop out; the full product is taken on the survivors.
+    """
+    from pyspark.sql import Window as W
+    if t > 0:
+        def prefix(d, key):
+            w = W.partitionBy(key).orderBy(F.desc("df"), F.desc("gram")).rowsBetween(W.unboundedPreceding, 0)
+            return d.withColumn("_s", F.sum(F.col("w") * F.col("w")).over(w)).where(F.col("_s") >= t * t - 1e-9)
+        pairs = prefix(q, qk).select(qk, "gram").join(prefix(c, ck).select(ck, "gram"), "gram").select(qk, ck).distinct()
+        full = (pairs.join(q.select(qk, "gram", F.col("w").alias("_a")), qk).join(c.select(ck, "gram", F.col("w").alias("_b")), [ck, "gram"]))
+    else:
+        full = q.select(qk, "gram", F.col("w").alias("_a")).join(c.select(ck, "gram", F.col("w").alias("_b")), "gram")
+    return full.groupBy(qk, ck).agg(F.round(F.sum(F.col("_a") * F.col("_b")), 9).alias("cos")).where(F.col("cos") >= t - 1e-9)
+
+
+def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, ladder: tuple[float, ...]) -> DataFrame:
+    """The k nearest catalogue texts of each query text.
+
+    High thresholds first: a query that already has k neighbours above one is done. The rest go
+    on down the ladder, whose last step (0) compares every text that shares a gram.
+    """
+    from lonja.operators.topk import topk
+    from lonja.session import cut_lineage
+    done, left = None, q
+    for i, t in enumerate(ladder):
+        best = topk(cosine_above(left, c, qk, ck, t), [qk], [F.desc("cos"), ck], k)
+        if i < len(ladder) - 1:
+            best = cut_lineage(best)
+            full = best.groupBy(qk).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(qk)
+            left = cut_lineage(left.join(full, qk, "left_anti"))
+            best = best.join(full, qk, "left_semi")
+        done = best if done is None else done.unionByName(best)
+    return done
+
+
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one bit per character of ``a``."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full, s = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for ch in b:
+        u = s & masks.get(ch, 0)
+        s = ((s + u) | (s - u)) & full
+    return len(a) - s.bit_count()
+
+
+def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else (1.0 if not x and not y else 2.0 * _lcs(x, y) / (len(x) + len(y))) for x, y in zip(a, b)])
+
+
+def indel_ratio(a, b) -> Column:
+    """2 LCS / (len a + len b): the indel similarity (edit distance without substitution)."""
+    return F.pandas_udf(_indel, "double")(col(a), col(b))
+
+
+LEVELS = ((0.75, "FUZZY_ALTO"), (0.60, "FUZZY_MEDIO"))
+
+
+def fuzzy_candidates(comp: DataFrame, cat: DataFrame, n: tuple[int, int] = (2, 4), k: int = 10, min_cos: float = 0.2) -> DataFrame:
+    """Top-k catalogue codes by n-gram cosine. A score of .60 needs a cosine of at least .2, so
+    nothing under it can be accepted."""
+    q = comp.select(F.col("m_norm").alias("q")).distinct().join(cat.select(F.col("m_norm").alias("q")).distinct(), "q", "left_anti")
+    c = cat.select(F.col("m_norm").alias("c")).distinct()
+    pad = lambda x: F.concat(F.lit(" "), F.col(x), F.lit(" "))
+    qv, cv = vectors(grams(q, "q", pad("q"), *n), grams(c, "c", pad("c"), *n), "q", "c")
+    return topk_cosine(qv, cv, "q", "c", k, (min_cos,))
+
+
+def match_fuzzy(comp: DataFrame, cat: DataFrame, n: tuple[int, int] = (2, 4), k: int = 10) -> DataFrame:
+    """Best candidate by .5 cosine + .3 indel ratio + .2 length ratio, with its level."""
+    cand = fuzzy_candidates(comp, cat, n, k)
+    la, lb = F.length("q"), F.length("c")
+    s = 0.5 * F.col("cos") + 0.3 * indel_ratio("q", "c") + 0.2 * F.least(la, lb) / F.greatest(la, lb)
+    best = cand.withColumn("score", s).groupBy("q").agg(F.max_by(F.struct("c", "score"), F.struct("score", "cos", "c")).alias("b"))
+    lev = F.when(F.col("b.score") >= LEVELS[0][0], LEVELS[0][1]).when(F.col("b.score") >= LEVELS[1][0], LEVELS[1][1])
+    q = comp.select("modelo", "m_norm").join(cat.select("m_norm").distinct(), "m_norm", "left_anti")
+    d = q.join(best.withColumn("nivel", lev).where("nivel is not null"), q["m_norm"] == best["q"], "left")
+    codes = cat.groupBy(F.col("m_norm").alias("_m")).agg(F.min("codigo").alias("codigo"))
+    d = d.join(codes, F.col("b.c") == F.col("_m"), "left")
+    return d.select("modelo", "m_norm", F.col("codigo"), F.coalesce("nivel", F.lit("SIN_COINCIDENCIA")).alias("nivel"),
+                    F.when(F.col("nivel").isNotNull(), F.col("b.score")).otherwise(0.0).alias("score"))
+
+
+def plain_text(c) -> Column:
+    return F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " "))
+
+
+def match_text(comp: DataFrame, cat: DataFrame, name: str, desc: str, n: tuple[int, int] = (3, 5), k: int = 5, min_df: int = 2) -> DataFrame:
+    """k nearest descriptions of each product name by character n-grams; equal texts are compared once."""
+    q = comp.withColumn("q", plain_text(name)).where("q <> ''")
+    c = cat.withColumn("c", plain_text(desc)).where("c <> ''")
+    codes = c.groupBy("c").agg(F.min("codigo").alias("codigo"))
+    qv, cv = vectors(grams(q.select("q").distinct(), "q", "q", *n), grams(codes, "c", "c", *n), "q", "c", min_df)
+    top = topk_cosine(qv, cv, "q", "c", k, (0.8, 0.5, 0.0))
+    return q.select("modelo", "q").distinct().join(top, "q").join(codes, "c").select("modelo", F.col("pos").alias("rank"), "codigo", F.col("cos").alias("sim"))
+
+
+def dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a, b):
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def rerank_vectors(top: DataFrame, qvec: DataFrame, cvec: DataFrame, doubt: float = 0.35) -> DataFrame:
+    """Queries whose best text similarity is doubtful: the candidate nearest by supplied vectors."""
+    d = top.join(top.groupBy("q").agg(F.max("sim").alias("_b")).where(F.col("_b") < doubt).select("q"), "q", "left_semi")
+    d = d.join(qvec.select("q", F.col("vec").alias("_v")), "q").join(cvec.select("c", F.col("vec").alias("_u")), "c")
+    d = d.withColumn("sim_vec", cosine("_v", "_u"))
+    return d.groupBy("q").agg(F.max_by(F.struct("c", "sim_vec", "sim"), F.struct(F.round("sim_vec", 9), -F.col("c"))).alias("b")).select("q", "b.*")
+
+
+def block_match(comp: DataFrame, ours: DataFrame, rivals: DataFrame, mm_tol: float = 1.2, near: float = 0.5) -> DataFrame:
+    """Best substitute inside a block of equal type, megapixels and technology.
+
+    Lane RIVAL when the block holds a rival brand, else VECTOR (any other brand, similarity of
+    supplied vectors added). Candidates within ``near`` of the log price come from an equality on
+    price buckets; the distance alone bounds the score, so only products whose best score exceeds
+    ``near`` look at their whole block.
+    """
+    blk = ["tipo", "mp", "tec", "gama"]
+    c = comp.where("tipo is not null and mp is not null and tec is not null and mm is not null and precio > 0")
+    s = ours.where("tipo is not null and mp is not null and tec is not null and mm is not null and precio > 0")
+    present = s.select("tipo", "mp", "tec", F.col("marca").alias("rival")).distinct()
+    has = (c.select("tipo", "mp", "tec", "marca").distinct().join(rivals, "marca").join(present, ["tipo", "mp", "tec", "rival"])
+            .select("tipo", "mp", "tec", "marca").distinct().withColumn("_r", F.lit(True)))
+    c = c.join(has, ["tipo", "mp", "tec", "marca"], "left").withColumn("via", F.when(F.col("_r"), "RIVAL").otherwise("VECTOR")).drop("_r")
+    c = c.withColumn("_l", F.ln("precio"))
+    s = s.select(*blk, F.col("codigo"), F.col("marca").alias("marca_s"), F.col("mm").alias("mm_s"), F.col("precio").alias("precio_s"), F.col("vec").alias("vec_s"), F.ln("precio").alias("_ls"))
+    riv = rivals.select("marca", F.col("rival").alias("marca_s"), F.lit(True).alias("_ok"))
+    bucket = lambda x: F.floor(F.col(x) / near)
+
+    def best(q, wide):
+        if wide:
+            j = q.join(s, blk)
+        else:
+            j = (q.withColumn("_k", F.explode(F.array(bucket("_l") - 1, bucket("_l"), bucket("_l") + 1)))
+                  .join(s.withColumn("_k", bucket("_ls")), [*blk, "_k"]))
+        j = j.where(F.abs(F.col("mm_s") - F.col("mm")) <= mm_tol + 1e-9).join(riv, ["marca", "marca_s"], "left")
+        j = j.where(F.when(F.col("via") == "RIVAL", F.coalesce("_ok", F.lit(False))).otherwise(F.col("marca_s") != F.col("marca")))
+        sim = cosine("vec", "vec_s")
+        j = j.withColumn("sim", sim).withColumn("cerc", F.round(
+            F.abs(F.col("_ls") - F.col("_l")) + 0.10 * F.abs(F.col("mm_s") - F.col("mm")) + F.when(F.col("via") == "VECTOR", 1 - F.col("sim")).otherwise(0.0), 9))
+        return (j.groupBy("modelo", "via", "marca", "precio").agg(F.min_by(F.struct("codigo", "marca_s", "precio_s", "cerc", "sim"), F.struct("cerc", "codigo")).alias("b")))
+
+    from lonja.session import cut_lineage
+    first = cut_lineage(best(c, False))
+    sure = first.where(F.col("b.cerc") <= near)
+    rest = best(c.join(sure.select("modelo"), "modelo", "left_anti"), True)
+    r = sure.unionByName(rest).withColumn("gap_pct", F.bround(100 * (F.col("precio") / F.col("b.precio_s") - 1), 1))
+    level = F.when(F.abs("gap_pct") > 60, "DUDOSO").when((F.col("via") == "VECTOR") & (F.col("b.sim") < 0.55), "DUDOSO").otherwise("EQUIVALENTE")
+    return r.select("modelo", "via", F.col("b.codigo").alias("codigo"), F.col("b.marca_s").alias("marca_s"), F.col("b.cerc").alias("cercania"), F.col("b.sim").alias("sim"), "gap_pct", level.alias("nivel"))
+
+
+def signatures(reg: DataFrame) -> DataFrame:
+    """Persistence of today's price and stock trajectory per competitor product."""
+    from pyspark.sql import Window as W
+
+    from lonja.operators.windows import run_length
+    k = ["fuente", "modelo"]
+    act = reg.groupBy(*k).agg(F.max_by("precio_venta", "fecha").alias("_p"), F.count("*").alias("_h"))
+    d = reg.join(act, k)
+    run = run_length(d, (F.col("precio_venta") > 0) & (F.abs(F.col("precio_venta") / F.col("_p") - 1) <= 0.01), k, "fecha", "persistencia_d")
+    e = reg.where("existencia is not null")
+    e = e.withColumn("_a", F.row_number().over(W.partitionBy(*k).orderBy("fecha"))).withColumn("_z", F.row_number().over(W.partitionBy(*k).orderBy(F.desc("fecha"))))
+    g = e.groupBy(*k).agg(F.count("*").alias("_n"), F.avg(F.when(F.col("_a") <= 3, F.col("existencia"))).alias("_i"), F.avg(F.when(F.col("_z") <= 3, F.col("existencia"))).alias("_f"))
+    rel = F.col("_f") / F.col("_i") - 1
+    tr = F.when((F.col("_n") >= 6) & (F.col("_i") > 0), F.when(rel < -0.15, "VENDIENDO").when(rel > 0.15, "REPONIENDO").otherwise("ESTANCADO")).otherwise("sin dato")
+    d = act.join(run, k).join(g, k, "left")
+    return d.select(*k, F.when(F.col("_h") >= 3, F.col("persistencia_d")).alias("persistencia_d"), F.when(F.col("_h") >= 3, F.coalesce(tr, F.lit("sin dato"))).otherwise("sin dato").alias("stock_comp"))
+
+
+def traffic_light(pairs: DataFrame, reg: DataFrame, growth: DataFrame) -> DataFrame:
+    """Threat only if cheap, persistent, rotating and our own demand hurts.
+
+    ``pairs``: codigo, match, confiabilidad, fuente, modelo, precio_comp, gap_pct, base.
+    """
+    best = pairs.groupBy("codigo").agg(F.min("precio_comp").alias("_m"))
+    cons = pairs.join(best, "codigo").groupBy("codigo").agg(F.count_if(F.col("precio_comp") <= F.col("_m") * 1.05).alias("consenso_n"))
+    d = pairs.join(signatures(reg), ["fuente", "modelo"], "left").join(cons, "codigo").join(growth.select("codigo", "crecimiento"), "codigo", "left")
+    t = lambda c: F.coalesce(c, F.lit(False))
+    pers, rot = t(F.col("persistencia_d") >= 7), t(F.col("stock_comp").isin("VENDIENDO", "REPONIENDO"))
+    hurt = t(F.col("crecimiento") < -0.05) | (F.col("base") == "lista")
+    s = (F.when((F.col("gap_pct") < -10) & pers & rot & hurt, "AMENAZA REAL").when(F.col("gap_pct") < -10, "REMATE AJENO").when((F.col("gap_pct") > 10) & pers, "ESPACIO").otherwise("NEUTRO"))
+    return d.withColumn("semaforo", s)
+
+
+LIGHTS = ("AMENAZA REAL", "REMATE AJENO", "ESPACIO", "NEUTRO")
+
+
+def light_by_model(light: DataFrame) -> DataFrame:
+    """One row per product: exact pairs rule, cheapest source, worst light."""
+    exact = light.groupBy("codigo").agg(F.max((F.col("match") == "EXACTO").cast("int")).alias("_x"))
+    d = light.join(exact, "codigo").where((F.col("_x") == 0) | (F.col("match") == "EXACTO"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in LIGHTS]), F.col("semaforo"))
+    g = d.groupBy("codigo").agg(F.max("match").alias("match"), F.max("confiabilidad").alias("confiabilidad"), F.min(rank).alias("_r"),
+                                F.min_by(F.struct("fuente", "precio_comp", "gap_pct", "consenso_n"), F.struct("precio_comp", "fuente", "modelo")).alias("b"))
+    return g.select("codigo", "match", "confiabilidad", "b.*", F.element_at(F.array(*[F.lit(x) for x in LIGHTS]), F.col("_r").cast("int")).alias("semaforo"))
+
+
+def ranker_duel(a: DataFrame, b: DataFrame, min_gap_share: float = 25.0) -> DataFrame:
+    """Two rankings judged by the price gap of their picks, which neither used."""
+    from lonja.scale import exact_quantiles
+    j = a.select("q", F.col("c").alias("ca"), F.abs("gap_pct").alias("ga")).join(b.select("q", F.col("c").alias("cb"), F.abs("gap_pct").alias("gb")), "q")
+    share = lambda c: F.avg((F.col(c) <= min_gap_share).cast("double"))
+    g = j.agg(F.count("*").alias("n"), share("ga").alias("j2_campeon"), share("gb").alias("j2_retador"), F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("coinciden"))
+    g = g.withColumn("j1_campeon", exact_quantiles(j, [], "ga", {"q": 0.5}).scalar()).withColumn("j1_retador", exact_quantiles(j, [], "gb", {"q": 0.5}).scalar())
+    return g.withColumn("entra", (F.col("j1_retador") < F.col("j1_campeon")) & (F.col("j2_retador") > F.col("j2_campeon")))
+
+
+def final_pairs(model: DataFrame, text: DataFrame, key: str = "modelo") -> DataFrame:
+    """Final list: exact code, then high and medium fuzzy, then text; one row per product."""
+    pr = F.when(F.col("nivel") == "EXACTO", 1).when(F.col("nivel") == "FUZZY_ALTO", 2).when(F.col("nivel") == "FUZZY_MEDIO", 3)
+    m = model.withColumn("prioridad", pr).where("prioridad is not null").select(key, "codigo", "nivel", "score", "prioridad", F.lit("MODELO").alias("via"))
+    x = text.select(key, "codigo", F.lit("TEXTO").alias("nivel"), F.col("sim").alias("score"), F.lit(4).alias("prioridad"), F.lit("TEXTO").alias("via"))
+    u = m.unionByName(x).where("codigo is not null and codigo <> ''")
+    return u.groupBy(key).agg(F.min_by(F.struct("codigo", "nivel", "score", "via"), F.struct("prioridad", -F.col("score"), "codigo")).alias("b")).select(key, "b.*")

@@ -209,7 +209,7 @@ def _(t):
     return D.basket_block(recos(t), anchors(t), t.activo).select("codigo", "ancla_n", "arrastre", "direccion", "revisar")
 
 
-@query("dec13_retouch_block", """WITH h AS (SELECT max(semana) AS h FROM existencias_sem), o AS (SELECT codigo, CAST(fecha_aceptado + 7 * (50 + sku % 12) AS DATE) AS fr FROM registro, h WHERE fecha_aceptado + 7 * (50 + sku % 12) > h),
+@query("dec13_retouch_block", """WITH h AS (SELECT max(semana) AS h FROM existencias_sem), o AS (SELECT codigo, fecha_aceptado + CAST(7 * (50 + sku % 12) AS INT) AS fr FROM registro, h WHERE fecha_aceptado + CAST(7 * (50 + sku % 12) AS INT) > h),
    d AS (SELECT r.*, fr, fr IS NOT NULL AND direccion <> 'MANTENER' AND NOT regexp_matches(revisar, 'frenar|revertir|sobrestock') AS b FROM recos r LEFT JOIN o USING (codigo))
    SELECT codigo, CASE WHEN b THEN 'MANTENER' ELSE direccion END AS direccion, CASE WHEN b THEN 'en medición hasta ' || fr ELSE revisar END AS revisar FROM d""")
 def _(t):
@@ -233,8 +233,8 @@ def _(t):
 
 @query("dec15_holdout", """WITH e AS (SELECT * FROM recos WHERE direccion <> 'MANTENER' AND confianza <> 'baja' AND NOT regexp_matches(revisar, 'frenar|revertir')),
    r AS (SELECT *, row_number() OVER (ORDER BY u0, md5(codigo)) AS r, count(*) OVER () AS n FROM e), s AS (SELECT *, CASE WHEN r <= 1 + (n - 1) * (1 / 3.0::DOUBLE) THEN 0 WHEN r <= 1 + (n - 1) * (2 / 3.0::DOUBLE) THEN 1 ELSE 2 END AS t FROM r),
-   k AS (SELECT codigo, row_number() OVER (PARTITION BY direccion, t ORDER BY md5(codigo || '20011029')) AS p, count(*) OVER (PARTITION BY direccion, t) AS m FROM s)
-   SELECT codigo, coalesce(p <= round_even(m * 0.15, 0), false) AS holdout FROM recos LEFT JOIN k USING (codigo)""")
+   k AS (SELECT codigo, row_number() OVER (PARTITION BY direccion, t ORDER BY md5(codigo || '20011029')) AS pos, count(*) OVER (PARTITION BY direccion, t) AS m FROM s)
+   SELECT codigo, coalesce(pos <= round_even(m * 0.15, 0), false) AS holdout FROM recos LEFT JOIN k USING (codigo)""")
 def _(t):
     return D.holdout(recos(t), "20011029").select("codigo", "holdout")
 
