@@ -93,28 +93,43 @@ def cosine_above(q: DataFrame, c: DataFrame, qk: str, ck: str, t: float) -> Data
     either vector still has length >= t (Cauchy-Schwarz). So only those prefixes are joined
     and frequent grams, the hot keys, drop out; the full product is taken on the survivors.
     """
-    from pyspark.sql import Window as W
     if t > 0:
-        def prefix(d, key):
-            w = W.partitionBy(key).orderBy(F.desc("df"), F.desc("gram")).rowsBetween(W.unboundedPreceding, 0)
-            return d.withColumn("_s", F.sum(F.col("w") * F.col("w")).over(w)).where(F.col("_s") >= t * t - 1e-9)
-        pairs = prefix(q, qk).select(qk, "gram").join(prefix(c, ck).select(ck, "gram"), "gram").select(qk, ck).distinct()
+        pairs = prefix(q, qk, t).select(qk, "gram").join(prefix(c, ck, t).select(ck, "gram"), "gram").select(qk, ck).distinct()
         full = (pairs.join(q.select(qk, "gram", F.col("w").alias("_a")), qk).join(c.select(ck, "gram", F.col("w").alias("_b")), [ck, "gram"]))
     else:
         full = q.select(qk, "gram", F.col("w").alias("_a")).join(c.select(ck, "gram", F.col("w").alias("_b")), "gram")
     return full.groupBy(qk, ck).agg(F.round(F.sum(F.col("_a") * F.col("_b")), 9).alias("cos")).where(F.col("cos") >= t - 1e-9)
 
 
+def prefix(d: DataFrame, key: str, t: float) -> DataFrame:
+    """Grams up to the last one from which the vector still has length >= t, rare grams first."""
+    from pyspark.sql import Window as W
+    w = W.partitionBy(key).orderBy(F.desc("df"), F.desc("gram")).rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumn("_s", F.sum(F.col("w") * F.col("w")).over(w)).where(F.col("_s") >= t * t - 1e-9)
+
+
+def _join_rows(q: DataFrame, c: DataFrame) -> float:
+    """Rows of the join on gram, from the two frequency tables."""
+    n = lambda d, a: d.groupBy("gram").agg(F.count("*").cast("double").alias(a))
+    return n(q, "a").join(n(c, "b"), "gram").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0))).first()[0]
+
+
 def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, ladder: tuple[float, ...]) -> DataFrame:
     """The k nearest catalogue texts of each query text.
 
     High thresholds first: a query that already has k neighbours above one is done. The rest go
-    on down the ladder, whose last step (0) compares every text that shares a gram.
+    on down the ladder, whose last step (0) compares every text that shares a gram. A step whose
+    candidates would cost more to check than that full comparison (a small vocabulary shared by
+    all texts) goes to it at once; the frequency tables tell beforehand.
     """
     from lonja.operators.topk import topk
     from lonja.session import cut_lineage
     done, left = None, q
+    full_rows = _join_rows(q, c) if 0.0 in ladder else float("inf")
+    per_text = q.groupBy(qk).count().agg(F.avg("count")).first()[0] if 0.0 in ladder else 1.0
     for i, t in enumerate(ladder):
+        if 0.0 in ladder and 0 < t and _join_rows(prefix(left, qk, t), prefix(c, ck, t)) * per_text / 4 > full_rows:
+            i, t = len(ladder) - 1, 0.0
         best = topk(cosine_above(left, c, qk, ck, t), [qk], [F.desc("cos"), ck], k)
         if i < len(ladder) - 1:
             best = cut_lineage(best)
@@ -122,7 +137,8 @@ def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, ladder: tu
             left = cut_lineage(left.join(full, qk, "left_anti"))
             best = best.join(full, qk, "left_semi")
         done = best if done is None else done.unionByName(best)
-    return done
+        if t == ladder[-1]:
+            return done
 
 
 def _lcs(a: str, b: str) -> int:
@@ -180,12 +196,19 @@ def plain_text(c) -> Column:
 
 def match_text(comp: DataFrame, cat: DataFrame, name: str, desc: str, n: tuple[int, int] = (3, 5), k: int = 5, min_df: int = 2) -> DataFrame:
     """k nearest descriptions of each product name by character n-grams; equal texts are compared once."""
+    from lonja.session import cut_lineage
+
+    def numbered(d, c, key):
+        """Distinct texts with numbers in text order, frozen by the checkpoint."""
+        return cut_lineage(d.orderBy(c).withColumn(key, F.monotonically_increasing_id()))
+
     q = comp.withColumn("q", plain_text(name)).where("q <> ''")
-    c = cat.withColumn("c", plain_text(desc)).where("c <> ''")
-    codes = c.groupBy("c").agg(F.min("codigo").alias("codigo"))
-    qv, cv = vectors(grams(q.select("q").distinct(), "q", "q", *n), grams(codes, "c", "c", *n), "q", "c", min_df)
-    top = topk_cosine(qv, cv, "q", "c", k, (0.8, 0.5, 0.0))
-    return q.select("modelo", "q").distinct().join(top, "q").join(codes, "c").select("modelo", F.col("pos").alias("rank"), "codigo", F.col("cos").alias("sim"))
+    codes = numbered(cat.withColumn("c", plain_text(desc)).where("c <> ''").groupBy("c").agg(F.min("codigo").alias("codigo")), "c", "cid")
+    texts = numbered(q.select("q").distinct(), "q", "qid")
+    qv, cv = vectors(grams(texts, "qid", "q", *n), grams(codes, "cid", "c", *n), "qid", "cid", min_df)
+    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k, (0.8, 0.5, 0.0))
+    return (q.select("modelo", "q").distinct().join(texts, "q").join(top, "qid").join(codes, "cid")
+             .select("modelo", F.col("pos").alias("rank"), "codigo", F.col("cos").alias("sim")))
 
 
 def dot(a, b):

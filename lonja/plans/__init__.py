@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "hygiene", "panels", "joins", "metrics", "windows", "events", "forecast", "elasticity", "decide", "match", "winrate")
+MODULES = ("sources", "hygiene", "panels", "joins", "metrics", "windows", "events", "forecast", "elasticity", "decide", "match", "winrate", "monitor", "streams")
 
 
 def load_all():
