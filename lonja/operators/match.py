@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lonja.functions.stats import col
 from lonja.functions.text import norm_code
+from lonja.session import cut_lineage
 
 # Attribute patterns of the product descriptions, first match wins.
 TYPES = (("domo", r"\bdomo\b"), ("bala", r"\bbala\b|\bbullet\b"), ("turret", r"\bturret\b|\beyeball\b"),
@@ -92,12 +93,16 @@ def cosine_above(q: DataFrame, c: DataFrame, qk: str, ck: str, t: float) -> Data
     With grams ordered from rare to frequent, the first gram two texts share must lie where
     either vector still has length >= t (Cauchy-Schwarz). So only those prefixes are joined
     and frequent grams, the hot keys, drop out; the full product is taken on the survivors.
+    When checking those survivors would read more rows than the plain product of both
+    vectors (low t, small vocabulary), the plain product is taken; frequency tables tell.
     """
+    full = q.select(qk, "gram", F.col("w").alias("_a")).join(c.select(ck, "gram", F.col("w").alias("_b")), "gram")
     if t > 0:
-        pairs = prefix(q, qk, t).select(qk, "gram").join(prefix(c, ck, t).select(ck, "gram"), "gram").select(qk, ck).distinct()
-        full = (pairs.join(q.select(qk, "gram", F.col("w").alias("_a")), qk).join(c.select(ck, "gram", F.col("w").alias("_b")), [ck, "gram"]))
-    else:
-        full = q.select(qk, "gram", F.col("w").alias("_a")).join(c.select(ck, "gram", F.col("w").alias("_b")), "gram")
+        pq, pc = prefix(q, qk, t), prefix(c, ck, t)
+        per_text = q.groupBy(qk).count().agg(F.coalesce(F.avg("count"), F.lit(0.0))).first()[0]
+        if _join_rows(pq, pc) * per_text / 4 <= _join_rows(q, c):
+            pairs = pq.select(qk, "gram").join(pc.select(ck, "gram"), "gram").select(qk, ck).distinct()
+            full = (pairs.join(q.select(qk, "gram", F.col("w").alias("_a")), qk).join(c.select(ck, "gram", F.col("w").alias("_b")), [ck, "gram"]))
     return full.groupBy(qk, ck).agg(F.round(F.sum(F.col("_a") * F.col("_b")), 9).alias("cos")).where(F.col("cos") >= t - 1e-9)
 
 
@@ -123,7 +128,6 @@ def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, ladder: tu
     all texts) goes to it at once; the frequency tables tell beforehand.
     """
     from lonja.operators.topk import topk
-    from lonja.session import cut_lineage
     done, left = None, q
     full_rows = _join_rows(q, c) if 0.0 in ladder else float("inf")
     per_text = q.groupBy(qk).count().agg(F.avg("count")).first()[0] if 0.0 in ladder else 1.0
@@ -165,14 +169,20 @@ def indel_ratio(a, b) -> Column:
 LEVELS = ((0.75, "FUZZY_ALTO"), (0.60, "FUZZY_MEDIO"))
 
 
+def numbered(d: DataFrame, text: str, key: str) -> DataFrame:
+    """Distinct texts with numbers in text order, frozen by the checkpoint."""
+    return cut_lineage(d.orderBy(text).withColumn(key, F.monotonically_increasing_id()))
+
+
 def fuzzy_candidates(comp: DataFrame, cat: DataFrame, n: tuple[int, int] = (2, 4), k: int = 10, min_cos: float = 0.2) -> DataFrame:
     """Top-k catalogue codes by n-gram cosine. A score of .60 needs a cosine of at least .2, so
     nothing under it can be accepted."""
     q = comp.select(F.col("m_norm").alias("q")).distinct().join(cat.select(F.col("m_norm").alias("q")).distinct(), "q", "left_anti")
-    c = cat.select(F.col("m_norm").alias("c")).distinct()
+    q, c = numbered(q, "q", "qid"), numbered(cat.select(F.col("m_norm").alias("c")).distinct(), "c", "cid")
     pad = lambda x: F.concat(F.lit(" "), F.col(x), F.lit(" "))
-    qv, cv = vectors(grams(q, "q", pad("q"), *n), grams(c, "c", pad("c"), *n), "q", "c")
-    return topk_cosine(qv, cv, "q", "c", k, (min_cos,))
+    qv, cv = vectors(grams(q, "qid", pad("q"), *n), grams(c, "cid", pad("c"), *n), "qid", "cid")
+    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k, (min_cos,))
+    return top.join(q, "qid").join(c, "cid").select("q", "c", "cos", "pos")
 
 
 def match_fuzzy(comp: DataFrame, cat: DataFrame, n: tuple[int, int] = (2, 4), k: int = 10) -> DataFrame:
@@ -196,12 +206,6 @@ def plain_text(c) -> Column:
 
 def match_text(comp: DataFrame, cat: DataFrame, name: str, desc: str, n: tuple[int, int] = (3, 5), k: int = 5, min_df: int = 2) -> DataFrame:
     """k nearest descriptions of each product name by character n-grams; equal texts are compared once."""
-    from lonja.session import cut_lineage
-
-    def numbered(d, c, key):
-        """Distinct texts with numbers in text order, frozen by the checkpoint."""
-        return cut_lineage(d.orderBy(c).withColumn(key, F.monotonically_increasing_id()))
-
     q = comp.withColumn("q", plain_text(name)).where("q <> ''")
     codes = numbered(cat.withColumn("c", plain_text(desc)).where("c <> ''").groupBy("c").agg(F.min("codigo").alias("codigo")), "c", "cid")
     texts = numbered(q.select("q").distinct(), "q", "qid")
@@ -260,7 +264,6 @@ def block_match(comp: DataFrame, ours: DataFrame, rivals: DataFrame, mm_tol: flo
             F.abs(F.col("_ls") - F.col("_l")) + 0.10 * F.abs(F.col("mm_s") - F.col("mm")) + F.when(F.col("via") == "VECTOR", 1 - F.col("sim")).otherwise(0.0), 9))
         return (j.groupBy("modelo", "via", "marca", "precio").agg(F.min_by(F.struct("codigo", "marca_s", "precio_s", "cerc", "sim"), F.struct("cerc", "codigo")).alias("b")))
 
-    from lonja.session import cut_lineage
     first = cut_lineage(best(c, False))
     sure = first.where(F.col("b.cerc") <= near)
     rest = best(c.join(sure.select("modelo"), "modelo", "left_anti"), True)

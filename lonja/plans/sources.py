@@ -181,3 +181,18 @@ def _(t):
     req = recos.select("codigo", F.col("precio_sugerido").alias("precio"))
     snap = ult.select("codigo", F.col("p1").alias("precio_1"), F.col("p3").alias("precio_3"))
     return D.publishable(D.price_field(D.validate_request(req, recos), snap))
+
+
+@query("src14_competitor_csv", """SELECT fuente, modelo, fecha, R(precio_venta) AS precio_venta, moneda FROM competencia""")
+def _(t):
+    import uuid
+
+    from pyspark.sql import types as T
+
+    from lonja.session import shared_dir
+    path = f"{shared_dir(t.spark)}/csv/{uuid.uuid4().hex}"
+    c = t.competencia.select("fuente", "fecha", "modelo", "precio_venta", "moneda")
+    for k in range(4):  # one feed per source, named after it as the feeds are
+        c.where(F.col("fuente") == f"fuente{k}").drop("fuente").write.option("header", True).csv(f"{path}/FUENTE{k}")
+    schema = T.StructType([T.StructField("fecha", T.DateType()), T.StructField("modelo", T.StringType()), T.StructField("precio_venta", T.DoubleType()), T.StructField("moneda", T.StringType())])
+    return S.read_competitor_csv(t.spark, f"{path}/*", schema, from_folder=True).select("fuente", "modelo", "fecha", "precio_venta", "moneda")

@@ -191,6 +191,13 @@ def _(t):
     return K.scenario_window(g, "codigo", "paso", "elegido", 5)
 
 
+@query("tk04_winner", """SELECT codigo, arg_min(fuente, (precio_venta, fuente)) AS fuente, R(min(precio_venta)) AS precio_venta FROM (
+   SELECT modelo AS codigo, fuente, avg(precio_venta) AS precio_venta FROM competencia WHERE moneda = 'USD' GROUP BY ALL) GROUP BY codigo""")
+def _(t):
+    d = t.competencia.where("moneda = 'USD'").groupBy(F.col("modelo").alias("codigo"), "fuente").agg(F.avg("precio_venta").alias("precio_venta"))
+    return K.winner(d, ["codigo"], "fuente", "precio_venta")
+
+
 @query("tk05_total_order", "SELECT codigo, R(util) AS util FROM util_sku ORDER BY util DESC, codigo")
 def _(t):
     return util_sku(t).select("codigo", "util").orderBy(F.desc("util"), "codigo")
