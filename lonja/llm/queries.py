@@ -27,3 +27,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+OP6 = r"""
+WITH it AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, j, j + least(len(w), 10) - 1) AS k
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j FROM it WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(k) AS n FROM win),
+doc AS (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM doc, sizes),
+hits AS (SELECT r, p, n, item_id FROM (SELECT r, p, n, list_slice(w, p, p + n - 1) AS k FROM pos) JOIN win USING (k)),
+per AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN per USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@query("op6_benchmark_decontamination", OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.suffix import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
