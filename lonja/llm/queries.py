@@ -53,3 +53,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op10_pii_spans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.semicrf import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
