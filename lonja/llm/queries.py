@@ -60,3 +60,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.semicrf import find_pii
 
     return find_pii(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_outliers")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.outliers import robust_outliers
+
+    return robust_outliers(table(spark, sf_dir, "documents"))
