@@ -67,3 +67,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.outliers import robust_outliers
 
     return robust_outliers(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pu_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.puquality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
