@@ -74,3 +74,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.puquality import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.trietokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
