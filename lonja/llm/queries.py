@@ -88,3 +88,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+OP2 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, list_aggregate(list_transform(range(0, 8), lambda k: list_aggregate(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(5 * k + 1 AS INT), 5) AS INT) >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top OR top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM d
+"""
+
+
+@query("op2_warc_boundary_chain", OP2)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
