@@ -105,3 +105,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.minhash import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
