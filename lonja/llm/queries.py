@@ -112,3 +112,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.minhash import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+OP1 = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+one AS (SELECT conv_id, turn, min(text) AS text FROM c GROUP BY ALL),
+n AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm FROM one),
+q AS (SELECT c.conv_id, c.turn, 1 AS level, n.norm FROM c JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn - 1 WHERE norm <> ''
+      UNION ALL SELECT c.conv_id, c.turn, 2, n.norm FROM c JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn - 2 WHERE norm <> ''),
+said AS (SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS norm
+         FROM (SELECT conv_id, turn, unnest(list_append(string_split(text, chr(10)), text)) AS t FROM c)),
+near AS (SELECT conv_id, norm, min(turn) AS near FROM said GROUP BY ALL),
+first AS (SELECT norm, min(conv_id) AS f_conv, arg_min(near, conv_id) AS f_turn FROM near GROUP BY norm),
+l AS (SELECT q.conv_id, q.turn, level, CASE WHEN near < q.turn THEN q.conv_id WHEN f_conv < q.conv_id THEN f_conv END AS o_conv,
+             CASE WHEN near < q.turn THEN near WHEN f_conv < q.conv_id THEN f_turn END AS o_turn
+      FROM q LEFT JOIN near ON near.conv_id = q.conv_id AND near.norm = q.norm LEFT JOIN first ON first.norm = q.norm),
+p AS (SELECT conv_id, turn, count(*) AS n_quotes, count(o_conv) AS n_linked, max(level) AS max_level,
+             max((-level, o_conv, o_turn)) FILTER (o_conv IS NOT NULL) AS r FROM l GROUP BY ALL),
+m AS (SELECT c.*, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(max_level, 0) AS max_level, r[2] AS parent_conv, r[3] AS parent_turn
+      FROM c LEFT JOIN p USING (conv_id, turn)),
+t AS (SELECT conv_id, turn, conv_id AS thread_conv, turn AS thread_turn, 0 AS depth FROM m WHERE parent_conv IS NULL
+      UNION ALL SELECT m.conv_id, m.turn, thread_conv, thread_turn, depth + 1 FROM m JOIN t ON m.parent_conv = t.conv_id AND m.parent_turn = t.turn)
+SELECT m.conv_id, m.turn, role, CAST(n_quotes AS BIGINT) AS n_quotes, CAST(n_linked AS BIGINT) AS n_linked, CAST(max_level AS BIGINT) AS max_level,
+       parent_conv, parent_turn, thread_conv, thread_turn, CAST(depth AS BIGINT) AS depth,
+       length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS own_chars, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS own_sha256
+FROM m JOIN t USING (conv_id, turn)
+"""
+
+
+@query("op1_quote_links", OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lonja.llm.quotes import as_mail, link_quotes
+
+    found = link_quotes(as_mail(table(spark, sf_dir, "conversations")))
+    return found.select(*[c for c in found.columns if c != "own"], F.length("own").cast("long").alias("own_chars"), F.sha2("own", 256).alias("own_sha256"))
