@@ -85,7 +85,7 @@ def base_rules(docs: DataFrame, min_words: int = 50, most_repeats: int = 50) ->
 
 
 def vectors(counted: DataFrame) -> DataFrame:
-    n = F.col("n_words")
+    n = F.greatest(F.col("n_words"), F.lit(1))
     return counted.withColumns({"x0": F.log(F.col("word_chars") / n), "x1": F.log1p(F.col("n_symbols") / n),
                                 "x2": F.log1p(10 * F.col("n_dup_lines") / n), "x3": F.col("n_repeat_words") / n})
 

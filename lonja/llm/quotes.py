@@ -1,6 +1,6 @@
 """Quotation linking: nested quotes, their originals, and conversations in reply order without quotes.
 
-DataFrame functions only. A line's quote level is the number of ``>`` marks before it; a passage is a
+DataFrame functions only. A line's quote level is the number of ``>`` marks before its text; a passage is a
 run of lines of one level. Passages are normalised (lower case, white space to one space) and hashed.
 Hashes of quoted passages are joined to hashes of what messages say themselves: the whole of it, each
 of its passages and each of its lines. Originals are reduced to one row per (conversation, hash) and one per
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lonja.llm.common import written
 
-MARKS = r"^((?:[ \t]?>)+)"
+MARKS = r"^([ \t>]*>)"
 
 
 def normalised(text: Column) -> Column:

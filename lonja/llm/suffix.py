@@ -6,8 +6,8 @@ and binary-searches every suffix of the benchmark in it. Hits, items and the lon
 with its place follow per document, in one pass over the text without any shuffle.
 
 The benchmark reaches the tasks in blocks of at most about ``block_bytes`` (checked by its summed
-size); a larger benchmark makes more blocks, which the documents pass one after another in the same
-stage, so neither the driver nor a task holds more than one block per step.
+size). A larger benchmark makes more blocks, which the documents pass one after another, a few in one
+stage (``BLOCKS_PER_STAGE``) and a written table between stages; no process holds more than one block.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``window`` consecutive words
 of an item; a shorter item is one window; an item without words is none.
@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lonja.llm.common import word_bytes
+from lonja.llm.common import word_bytes, written
 
+BLOCKS_PER_STAGE = 4
 #: What a scan knows of a document: hit stretches as start, end, start, end ..., items met, longest match.
 STATE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())),
                       T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()),
@@ -218,6 +219,8 @@ def _scanned(df: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
 
         schema = T.StructType([f for f in df.schema.fields if not (last and drop_text and f.name == "text")])
         df = df.mapInArrow(scan, schema)
+        if not last and k % BLOCKS_PER_STAGE == BLOCKS_PER_STAGE - 1:
+            df = written(df, "scanned")
     return df
 
 
