@@ -19,14 +19,22 @@ def discounts(df: DataFrame) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame) -> DataFrame:
-    """One line per literal duplicate. The survivor is the smallest row, so reruns agree."""
+    """One line per literal duplicate. The survivor is the smallest row, so reruns agree.
+
+    The keys are counted first, alone, by hash; only lines whose key repeats are compared in full.
+    """
     rest = [c for c in df.columns if c not in DUP_KEYS]
-    g = df.groupBy(*DUP_KEYS).agg(F.min(F.struct(*rest)).alias("_r"))
-    return g.select(*DUP_KEYS, "_r.*")
+    twice = df.groupBy(*DUP_KEYS).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_k_{k}") for k in DUP_KEYS])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in DUP_KEYS]
+    once = df.join(twice.hint("shuffle_hash"), same, "left_anti")
+    again = df.join(twice.hint("shuffle_hash"), same, "left_semi").groupBy(*DUP_KEYS).agg(F.min(F.struct(*rest)).alias("_r"))
+    return once.select(*DUP_KEYS, *rest).unionByName(again.select(*DUP_KEYS, "_r.*"))
 
 
-def drop_services(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    return df.where(~is_service("codigo", extra))
+def drop_services(df: DataFrame, services: DataFrame | None = None) -> DataFrame:
+    """Without service codes: the usual prefixes and codes, and those of the table ``services`` (codigo)."""
+    df = df.where(~is_service("codigo"))
+    return df if services is None else df.join(services.select("codigo").distinct(), "codigo", "left_anti")
 
 
 def drop_kits(df: DataFrame, kits: DataFrame | None = None) -> DataFrame:
@@ -86,10 +94,10 @@ def assert_scale(df: DataFrame) -> None:
         raise ValueError(f"implausible currency or scale: {r.asDict()}")
 
 
-def clean_lines(df: DataFrame, kits: DataFrame | None = None) -> DataFrame:
+def clean_lines(df: DataFrame, kits: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
     """The whole hygiene chain, raw lines in, lines with net price and flags out."""
     d = dedup_lines(discounts(df))
-    d = drop_promo(drop_kits(drop_services(d), kits))
+    d = drop_promo(drop_kits(drop_services(d, services), kits))
     return line_flags(unit_values(valid_lines(d)))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lonja.scale import numbered
+
 
 def validate_request(req: DataFrame, recos: DataFrame, price_tol: float = 0.005,
                      max_step: float = 0.045) -> DataFrame:
@@ -27,6 +29,6 @@ def price_field(req: DataFrame, snap: DataFrame) -> DataFrame:
 
 
 def publishable(req: DataFrame, limit: int = 200) -> DataFrame:
-    """The next batch to publish: valid rows in code order, at most ``limit``."""
-    return (req.where("motivo is null").select("codigo", "campo", "precio")
-               .orderBy("codigo").limit(limit))
+    """Every valid row in code order with its batch ``lote``; a batch has ``limit`` rows, the last one the rest."""
+    valid = req.where("motivo is null").select("codigo", "campo", "precio")
+    return numbered(valid, ["codigo", "campo", "precio"], "_k").select("codigo", "campo", "precio", F.ceil(F.col("_k") / limit).alias("lote"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lonja.functions.stats import clip, safe_div
 from lonja.operators.forecast import _assemble
 from lonja.scale import calendar_side, exact_quantiles, quantile_of, row_order
-from lonja.session import cut_lineage
+from lonja.session import cut_lineage, side_by_side
 
 SMALL_STATE = 200_000  # rows of (group, week) state that may be broadcast
 
@@ -29,7 +29,7 @@ def _not_separated(z: DataFrame) -> DataFrame:
     """Products and weeks without any sale carry no information and have no finite effect."""
     wk = z.groupBy("grp", "t").agg(F.sum("y").alias("_yt")).where("_yt > 0")
     sk = z.groupBy("grp", "codigo").agg(F.sum("y").alias("ys")).where("ys > 0")
-    return z.join(sk, ["grp", "codigo"]).join(calendar_side(wk.select("grp", "t")), ["grp", "t"], "left_semi")
+    return z.join(sk, ["grp", "codigo"]).join(wk.select("grp", "t"), ["grp", "t"], "left_semi")
 
 
 def ppml(df: DataFrame, group: str | None = None, y: str = "u", x: str = "log_precio", tol: float = 1e-7,
@@ -60,6 +60,8 @@ def ppml(df: DataFrame, group: str | None = None, y: str = "u", x: str = "log_pr
             if state.agg(F.max("move")).first()[0] < tol:
                 break
             state = state.drop("move")
+        else:
+            raise RuntimeError(f"the Poisson slopes still move after {max_iter} passes")
         fit = _pass(z, state.drop("move"))
         by_sku = fit.groupBy("grp", "codigo").agg(
             F.sum(F.col("xt") * (F.col("y") - F.col("mu"))).alias("s"), F.sum(F.col("mu") * F.col("xt") * F.col("xt")).alias("h"),
@@ -106,6 +108,8 @@ def demean2(df: DataFrame, unit: str, time: str, cols: list[str], group: str | N
             state = new.drop("_mv")
             if new.agg(F.max("_mv")).first()[0] < tol:
                 break
+        else:
+            raise RuntimeError(f"the time effects still move after {max_iter} sweeps")
         return cut_lineage(_sweep(d, state, unit, time, cols).drop(*[f"_b_{c}" for c in cols]))
     finally:
         d.unpersist()
@@ -236,17 +240,19 @@ def dml_table(dense: DataFrame) -> DataFrame:
 
 def dml(d: DataFrame, folds: int = 5, iters: int = 40, depth: int = 6) -> DataFrame:
     """Double machine learning with folds by product; one row: theta, clustered error."""
-    from functools import reduce
+    from functools import partial, reduce
 
     from pyspark.ml.regression import GBTRegressor
 
     d = _assemble(d.withColumn("fold", F.pmod(F.xxhash64("codigo"), F.lit(folds)).cast("int")), DML_X).persist()
+    tasks = [(f, c) for f in range(folds) for c in ("Y", "D")]
+    fit = lambda f, c: GBTRegressor(featuresCol="x", labelCol=c, maxIter=iters, maxDepth=depth, stepSize=0.1, seed=7).fit(d.where(F.col("fold") != f))
+    models = dict(zip(tasks, side_by_side([partial(fit, f, c) for f, c in tasks])))
     parts = []
     for f in range(folds):
-        tr, te = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
+        te = d.where(F.col("fold") == f)
         for c in ("Y", "D"):
-            m = GBTRegressor(featuresCol="x", labelCol=c, maxIter=iters, maxDepth=depth, stepSize=0.1, seed=7).fit(tr)
-            te = m.transform(te).withColumn(f"r{c}", F.col(c) - F.col("prediction")).drop("prediction")
+            te = models[f, c].transform(te).withColumn(f"r{c}", F.col(c) - F.col("prediction")).drop("prediction")
         parts.append(te.select("codigo", "rY", "rD"))
     r = cut_lineage(reduce(DataFrame.unionByName, parts))
     d.unpersist()

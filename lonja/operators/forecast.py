@@ -6,7 +6,7 @@ cuts, each iteration being a distributed fit.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lonja.functions.stats import clip, safe_div
 from lonja.operators.metrics import TERCILES, qcut, scale_of, wape
 from lonja.scale import calendar_side, exact_quantiles
+from lonja.session import side_by_side
 
 FEATURES = ["ult", "media4", "media8", "media12", "std4", "tendencia", "sem_activas", "log_precio",
             "cambio_precio_4s", "mes", "sem_anio"]
@@ -178,7 +179,7 @@ def _eval_at(dense: DataFrame, cut: int, iters: int, depth: int, h: int) -> Data
 def rolling_origin(dense: DataFrame, n: int = 4, step: int = 3, h: int = H, iters: int = 60, depth: int = 6) -> DataFrame:
     """Retrained without leak at each of ``n`` origins; one row per product and origin."""
     last = dense.agg(F.max("t")).first()[0]
-    return reduce(DataFrame.unionByName, [_eval_at(dense, last - h - k * step, iters, depth, h) for k in range(n)])
+    return reduce(DataFrame.unionByName, side_by_side([partial(_eval_at, dense, last - h - k * step, iters, depth, h) for k in range(n)]))
 
 
 def robustness(ev: DataFrame) -> DataFrame:

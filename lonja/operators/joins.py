@@ -83,6 +83,12 @@ def prior_frequency(quotes: DataFrame, sales: DataFrame, keys: list[str], days:
     return quotes.join(n, [*keys, "fecha"], "left")
 
 
+def package_lines(quotes: DataFrame) -> DataFrame:
+    """Quote lines that can form a package: priced list or offer lines, no kits, no projects."""
+    kit, project = F.coalesce("kit", F.lit("")) == "Si", F.coalesce(F.lower("concepto").contains("royecto"), F.lit(False))
+    return quotes.where("precio > 0 and cantidad > 0 and tipo_precio in (1, 3)").where(~kit & ~project)
+
+
 def package_wins(quotes: DataFrame, sales: DataFrame, days: int = 28, cover: float = 0.80) -> DataFrame:
     """Best invoice contained in each quote that covers at least ``cover`` of its products.
 
@@ -128,18 +134,20 @@ def pair_counts(items: DataFrame, basket: list[str], item: str, min_joint: int,
     Exact pruning first: a pair cannot be joint more often than either item appears. A
     basket of many items is then cut into blocks of about ``block`` items and each pair of
     blocks becomes its own join key, so that one giant basket is spread over many tasks
-    and small baskets stay whole. Counts are combined map side.
+    and small baskets stay whole. Each pair is joined once,
+    whichever way round, and mirrored after counting. Counts are combined map side.
     """
     d = items.select(*basket, item).distinct()
     often = d.groupBy(item).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_joint).select(item)
     d = d.join(often, item, "left_semi")
     size = d.groupBy(*basket).agg(F.ceil(F.count("*") / block).cast("int").alias("_nb"))
     d = d.join(size, basket).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_nb")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    x = d.select(*basket, F.col(item).alias("X"), F.col("_own").alias("_bx"), others.alias("_by"))
-    y = d.select(*basket, F.col(item).alias("Y"), others.alias("_bx"), F.col("_own").alias("_by"))
-    return (x.join(y, [*basket, "_bx", "_by"]).where("X <> Y")
-             .groupBy("X", "Y").agg(F.count("*").alias("co_folios")).where(F.col("co_folios") >= min_joint))
+    later, earlier = F.explode(F.sequence(F.col("_own"), F.col("_nb") - 1)), F.explode(F.sequence(F.lit(0), F.col("_own")))
+    x = d.select(*basket, F.col(item).alias("_x"), F.col("_own").alias("_bx"), later.alias("_by"))
+    y = d.select(*basket, F.col(item).alias("_y"), earlier.alias("_bx"), F.col("_own").alias("_by"))
+    half = (x.join(y, [*basket, "_bx", "_by"]).where("_bx < _by or _x < _y")
+             .groupBy(F.least("_x", "_y").alias("X"), F.greatest("_x", "_y").alias("Y")).agg(F.count("*").alias("co_folios")).where(F.col("co_folios") >= min_joint))
+    return half.unionByName(half.select(F.col("Y").alias("X"), F.col("X").alias("Y"), "co_folios"))
 
 
 def basket_lines(lines: DataFrame) -> DataFrame:
@@ -180,7 +188,7 @@ def nearest_snapshot(d: DataFrame, snaps: DataFrame, key: str, t: str, cols: lis
 
 
 def price_at(events: DataFrame, snaps: DataFrame, cols: list[str]) -> DataFrame:
-    """Snapshot of the very day of detection; the earliest later one when that day is missing."""
+    """Snapshot of the very day of detection, NULL when that day has none."""
     s = snaps.select("codigo", "fecha", *[F.col(c).alias(f"{c}_det") for c in cols])
     return events.join(s, ["codigo", "fecha"], "left")
 

@@ -162,10 +162,15 @@ def conversion_flags(web: DataFrame, min_views: int = 100) -> DataFrame:
 
 
 def mirror_diff(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Column by column differences of two copies, NULL equal to NULL; one row per column."""
-    ga = a.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_a") for c in cols], F.count("*").alias("_na"))
-    gb = b.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_b") for c in cols], F.count("*").alias("_nb"))
-    j = ga.join(gb, keys, "full_outer")
+    """Column by column differences of two copies, NULL equal to NULL; one row per column.
+
+    Rows of one key are numbered in the order of all compared columns, and compared number by number.
+    """
+    def numbered(df: DataFrame, side: str) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(*cols)
+        return df.select(*keys, F.row_number().over(w).alias("_k"), *[F.col(c).alias(f"{c}_{side}") for c in cols], F.lit(1).alias(f"_n{side}"))
+
+    j = numbered(a, "a").join(numbered(b, "b"), [*keys, "_k"], "full_outer")
     pair = F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), (~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))).alias("dif"))
                                for c in cols],
                              F.struct(F.lit("_filas").alias("columna"), (~F.col("_na").eqNullSafe(F.col("_nb"))).alias("dif"))))

@@ -32,7 +32,7 @@ def package_close(packages: DataFrame, quotes: DataFrame) -> DataFrame:
     from lonja.scale import exact_quantiles
     disc = quotes.groupBy(F.col("folio").alias("fc")).agg((1 - F.sum("subtotal") / F.sum(F.col("precio") * F.col("cantidad"))).alias("desc_fol"))
     d = packages.join(disc, "fc", "left")
-    size = cut("nq", [0, 1, 2, 5, 10, 25, 10 ** 6], ["1 SKU", "2", "3-5", "6-10", "11-25", ">25"])
+    size = cut("nq", [0, 1, 2, 5, 10, 25, float("inf")], ["1 SKU", "2", "3-5", "6-10", "11-25", ">25"])
     deep = F.when(F.col("nq") >= 2, cut(100 * F.col("desc_fol"), [-1, 20, 30, 40, 100], ["≤20%", "20-30", "30-40", ">40%"]))
     one = lambda dim, c: F.struct(F.lit(dim).alias("dimension"), c.alias("grupo"))
     d = d.withColumn("x", F.explode(F.array(one("tamaño", size), one("descuento", deep)))).select("x.*", "cerrado_paquete", "ncom", "nq").where("grupo is not null")

@@ -76,7 +76,7 @@ def _(t):
 
 @query("el08_dml")
 def _(t):
-    return L.dml(L.dml_table(t.densa), folds=2, iters=5, depth=3)
+    return L.dml(L.dml_table(t.densa))
 
 
 @query("el09_triangulate", """WITH a AS (SELECT segmento, avg(eps) AS ea FROM prior GROUP BY 1), b AS (SELECT tercil AS segmento, median(e_hat) AS eb FROM ev_precio JOIN pred_terc USING (codigo) GROUP BY 1)

@@ -7,8 +7,6 @@ from lonja.plans.metrics import pred_m4
 from lonja.plans.registry import define, query
 from lonja.sources.tables import read_ext_forecast
 
-ITERS, DEPTH = 8, 4  # small boosters: the registered queries check behaviour, not accuracy
-
 
 def cut(t):
     return C.last_t(t.densa) - 3
@@ -91,14 +89,14 @@ def _(t):
     return C.training_rows(t.densa, cut(t)).select("codigo", "t", "y", "ratio")
 
 
-def rolled(t, n=3):
-    return t.keep(f"rodante_{n}", lambda: C.rolling_origin(t.densa, n=n, iters=ITERS, depth=DEPTH))
+def rolled(t):
+    return t.keep("rodante", lambda: C.rolling_origin(t.densa))
 
 
 @query("fc09_residual_gbm")
 def _(t):
     last = t.densa.agg(F.max("t")).first()[0]
-    m = C.fit_residual_gbm(C.training_rows(t.densa, F.lit(last - 3)), iters=ITERS, depth=DEPTH)
+    m = C.fit_residual_gbm(C.training_rows(t.densa, F.lit(last - 3)))
     return C.predict_residual(m, C.weekly_features(t.densa).where(F.col("t") == last - 3)).select("codigo", "t", "media4", "pred")
 
 
@@ -108,7 +106,7 @@ def _(t):
 
 
 def duel(t):
-    return t.keep("duelo", lambda: C.class_duel(rolled(t), t.densa, P.classify_series(t.panel), wins=2))
+    return t.keep("duelo", lambda: C.class_duel(rolled(t), t.densa, P.classify_series(t.panel)))
 
 
 @query("fc11_class_duel")
@@ -117,7 +115,7 @@ def _(t):
 
 
 def u0(t):
-    return t.keep("u0", lambda: C.u0(t.densa, P.classify_series(t.panel), duel(t), iters=ITERS, depth=DEPTH))
+    return t.keep("u0", lambda: C.u0(t.densa, P.classify_series(t.panel), duel(t)))
 
 
 @query("fc12_u0")
@@ -126,7 +124,7 @@ def _(t):
 
 
 def u0_band(t):
-    return t.keep("u0_banda", lambda: C.quantile_band(t.densa, u0(t), classes=("suave", "grumosa (lumpy)", "intermitente"), depth=DEPTH))
+    return t.keep("u0_banda", lambda: C.quantile_band(t.densa, u0(t), classes=("suave", "grumosa (lumpy)", "intermitente")))
 
 
 @query("fc13_quantile_band")
@@ -168,7 +166,7 @@ def _(t):
 
 @query("fc17_monthly_ensemble")
 def _(t):
-    return C.monthly_ensemble(grid(t), iters=ITERS, depth=DEPTH)
+    return C.monthly_ensemble(grid(t))
 
 
 define("duelo_mes", """SELECT CAST(mes AS VARCHAR) AS mes, sum(abs(base - y)) / sum(y) AS wr, sum(abs(exp(l1) - 1 - y)) / sum(y) AS wb FROM rasgos_mes WHERE y > 0 GROUP BY mes""")

@@ -134,7 +134,7 @@ def _(t):
 define("web_embudo", """
   SELECT codigo, count_if(tipo = 'vista') AS vistas, count_if(tipo = 'click') AS clicks,
     count_if(tipo = 'add_carrito') AS carritos, count_if(tipo = 'compra') AS compras,
-    count_if(tipo = 'add_carrito') / nullif(count_if(tipo = 'vista'), 0) AS conversion
+    count_if(tipo = 'compra') / greatest(count_if(tipo = 'vista'), 1) AS conversion
   FROM web JOIN mapa_web USING (id_producto) GROUP BY codigo""")
 
 
@@ -172,7 +172,7 @@ def _(t):
   v AS (SELECT *, CASE WHEN cambio_pct = 0 THEN 'MANTENER' WHEN abs(precio_sugerido / precio_actual - 1) > 0.045 THEN 'PASO'
      WHEN NOT coalesce(p3, 0) <= 0 AND precio_sugerido >= p1 AND p1 > 0 THEN 'REQUIERE_P1' END AS motivo FROM r)
   SELECT codigo, CASE WHEN coalesce(p3, 0) <= 0 THEN 'precio_nuevo1' ELSE 'precio_nuevo3' END AS campo,
-    R(precio_sugerido) AS precio FROM v WHERE motivo IS NULL ORDER BY codigo LIMIT 200""")
+    R(precio_sugerido) AS precio, CAST(ceil(row_number() OVER (ORDER BY codigo) / 200) AS BIGINT) AS lote FROM v WHERE motivo IS NULL""")
 def _(t):
     ult = t.existencias_sem.where(F.col("semana") == t.existencias_sem.agg(F.max("semana")).scalar())
     recos = t.registro.select("codigo", F.col("precio_antes").alias("precio_actual"),

@@ -60,7 +60,7 @@ def _(t):
 
 
 @query("str02_sliding_funnel", """WITH w AS (SELECT *, date_trunc('day', ts) - to_days(CAST(unnest([0, 1, 2, 3, 4, 5, 6]) AS INT)) AS ini FROM ev)
-   SELECT strftime(ini, '%Y-%m-%d') AS ini, codigo, count_if(tipo = 'vista') AS vistas, count_if(tipo = 'click') AS clicks, count_if(tipo = 'add_carrito') AS carritos, count_if(tipo = 'compra') AS compras, R(count_if(tipo = 'add_carrito') / nullif(count_if(tipo = 'vista'), 0)) AS conversion
+   SELECT strftime(ini, '%Y-%m-%d') AS ini, codigo, count_if(tipo = 'vista') AS vistas, count_if(tipo = 'click') AS clicks, count_if(tipo = 'add_carrito') AS carritos, count_if(tipo = 'compra') AS compras, R(count_if(tipo = 'compra') / greatest(count_if(tipo = 'vista'), 1)) AS conversion
    FROM w, marca_agua WHERE ini + INTERVAL 7 DAY <= mx - INTERVAL 2 DAY GROUP BY ALL""")
 def _(t):
     return drain(t, T.sliding_funnel(event_stream(t))).select(F.date_format("ini", "yyyy-MM-dd").alias("ini"), "codigo", "vistas", "clicks", "carritos", "compras", "conversion")

@@ -12,8 +12,8 @@ from lonja.sources import fixtures
 from lonja.staging import staged
 
 
-# Product-week inputs that many steps read again. Lines are never kept.
-KEPT = ("familias", "existencias_sem")
+# Inputs that many steps read again: written once per run, and pruned by later scans.
+KEPT = ("familias", "existencias_sem", "ventas", "cotiz")
 
 
 class Tables:
@@ -36,7 +36,7 @@ class Tables:
 
     @cached_property
     def lineas(self) -> DataFrame:
-        return clean.clean_lines(self.ventas)
+        return self.keep("lineas", lambda: clean.clean_lines(self.ventas))
 
     @cached_property
     def panel(self) -> DataFrame:

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def build_session(app: str = "lonja", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on.
@@ -49,6 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[sc.applicationId]
 
 
+def side_by_side(steps: list[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Results of independent driver steps (model fits), whose Spark jobs then share the cluster."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession

@@ -161,15 +161,13 @@ def read_ext_forecast(pred: DataFrame, cat: DataFrame) -> DataFrame:
 
 
 def web_funnel(events: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Counts by event type per product, mapped to our codes."""
-    g = events.groupBy("id_producto").agg(
+    """Counts by event type per code of ours, over all its product ids; conversion is purchases per view."""
+    g = events.join(mapping.select("id_producto", "codigo"), "id_producto").groupBy("codigo").agg(
         F.count_if(F.col("tipo") == "vista").alias("vistas"),
         F.count_if(F.col("tipo") == "click").alias("clicks"),
         F.count_if(F.col("tipo") == "add_carrito").alias("carritos"),
         F.count_if(F.col("tipo") == "compra").alias("compras"))
-    return (g.join(mapping, "id_producto")
-             .withColumn("conversion", safe_div("carritos", "vistas"))
-             .select("codigo", "vistas", "clicks", "carritos", "compras", "conversion"))
+    return g.withColumn("conversion", F.col("compras") / F.greatest("vistas", F.lit(1)))
 
 
 def with_fallback(primary: DataFrame, backup: DataFrame, unit: list[str],

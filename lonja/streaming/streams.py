@@ -29,7 +29,7 @@ def sliding_funnel(events: DataFrame, delay: str = "2 days", size: str = "7 days
     g = events.withWatermark("ts", delay).groupBy(F.window("ts", size, step), "codigo").agg(
         hit("vista").alias("vistas"), hit("click").alias("clicks"), hit("add_carrito").alias("carritos"), hit("compra").alias("compras"))
     return g.select(F.col("window.start").alias("ini"), F.col("window.end").alias("fin"), "codigo", "vistas", "clicks", "carritos", "compras",
-                    (F.col("carritos") / F.nullif(F.col("vistas"), F.lit(0))).alias("conversion"))
+                    (F.col("compras") / F.greatest("vistas", F.lit(1))).alias("conversion"))
 
 
 def gap_registry(events: DataFrame, gap: str = "21 days", delay: str = "1 day") -> DataFrame:
