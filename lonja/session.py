@@ -57,8 +57,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def side_by_side(steps: list[Callable[[], T]], at_once: int = 4) -> list[T]:
     """Results of independent driver steps (model fits), whose Spark jobs then share the cluster."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(at_once) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+        return [f.result() for f in [pool.submit(inherit(step)) for step in steps]]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
