@@ -40,6 +40,7 @@ def month_chain(monthly: DataFrame, restricted: DataFrame, steps: int, min_valid
 
 
 STEP, Z95, FLOOR = 0.04, 1.96, 0.03
+# Fixed values.
 GRID = [-10, -8, -6, -4, -3, -2, -1, 0, 1, 2, 3, 4, 6, 8, 10]
 
 

@@ -286,6 +286,7 @@ def discount_leak(events: DataFrame, channel_lines: DataFrame, recent_weeks: int
     return r.where((F.col("fuga_4sem") > min_extra) & (F.col("share_post") - F.col("share_pre") > min_share))
 
 
+# Fixed values.
 REPLAY_EDGES, REPLAY_LABELS = [0.015, 0.035, 0.055, 0.09, 1.0], ["2-3%", "4-5%", "6-8%", ">9%"]
 
 

@@ -18,6 +18,7 @@ from lonja.operators.metrics import TERCILES, qcut, scale_of, wape
 from lonja.scale import calendar_side, exact_quantiles
 from lonja.session import side_by_side
 
+# Fixed values.
 FEATURES = ["ult", "media4", "media8", "media12", "std4", "tendencia", "sem_activas", "log_precio",
             "cambio_precio_4s", "mes", "sem_anio"]
 H = 3
@@ -248,6 +249,7 @@ def hybrids(ev: DataFrame) -> DataFrame:
 
 # ---- monthly -----------------------------------------------------------------------------
 
+# Fixed values.
 M_FEATURES = ["l1", "l2", "l3", "lnivel", "ceros6", "mes_cal", "tend"]
 
 

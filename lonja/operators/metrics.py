@@ -74,6 +74,7 @@ def coverage(df: DataFrame, by: str) -> DataFrame:
     return cov.join(exact_quantiles(both, ["grupo"], "ancho", {"ancho_mediano": 0.5}), "grupo")
 
 
+# Fixed values.
 WIN_EDGES = [-1, 15, 18, 20, 22, 25, 30, 40, 71]
 WIN_LABELS = ["<15%", "15-18", "18-20", "20-22 (estándar)", "22-25", "25-30", "30-40", ">40%"]
 

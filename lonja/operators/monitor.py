@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lonja.functions.stats import safe_div
 from lonja.operators.joins import nearest_snapshot, pair_snapshots
+from lonja.session import cut_lineage
 from lonja.scale import calendar_side
 
 
@@ -73,6 +74,25 @@ def brakes(reg: DataFrame, live: DataFrame, is_live: bool = True, cover_ok: floa
                     (F.col("alertado") | F.coalesce(hit, F.lit(False))).alias("alertado"))
 
 
+def register_brakes(reg: DataFrame, recos: DataFrame, dormant: DataFrame, today: Column) -> DataFrame:
+    """New follow-ups: brakes that were applied (a rise for the reason "frenar") and dormant products that wait for stock.
+
+    ``recos``: codigo, direccion, revisar, precio_actual, precio_sugerido, u_sem_actual, cobertura_sem,
+    reposicion; ``dormant``: codigo, direccion, precio_epoca_viva, precio_hoy, u_sem_epoca_viva, reposicion.
+    A product in the registry is never added again.
+    """
+    def entry(df: DataFrame, tipo: str, before: str, now: str, units: str, cover: Column) -> DataFrame:
+        return df.join(reg.select("codigo"), "codigo", "left_anti").select(
+            "codigo", F.lit(tipo).alias("tipo"), today.alias("fecha_alta"), F.col(before).alias("precio_antes"), F.col(now).alias("precio_freno"),
+            F.col(units).alias("u_base"), cover.cast("double").alias("cobertura_alta"), F.col("reposicion").alias("reposicion_alta"),
+            F.lit("esperando_reposicion").alias("estado"), F.lit(False).alias("alertado"))
+
+    braked = recos.where(F.coalesce("revisar", F.lit("")).contains("frenar") & (F.col("direccion") == "SUBIR"))
+    waiting = dormant.where("direccion = 'ESPERAR STOCK'")
+    return entry(braked, "freno", "precio_actual", "precio_sugerido", "u_sem_actual", F.col("cobertura_sem")).unionByName(
+        entry(waiting, "dormido", "precio_epoca_viva", "precio_hoy", "u_sem_epoca_viva", F.lit(0.0)))
+
+
 def accept(reg: DataFrame, recos: DataFrame, today: Column) -> DataFrame:
     """Register accepted decisions with their frozen projection; an open measurement of the same product is censored."""
     new = recos.select("codigo").distinct().withColumn("_nuevo", F.lit(True))
@@ -115,9 +135,9 @@ def market_factor(reg: DataFrame, market: DataFrame, h: int) -> DataFrame:
 
 def verdicts(reg: DataFrame, checks: DataFrame, market: DataFrame, today: Column, horizons=(4, 8, 12), band: float = 0.02) -> DataFrame:
     """Realised profit against the market-adjusted profit of holding, with a neutral band."""
-    out = None
+    out, measured = None, cut_lineage(reg.join(checks, ["codigo", "fecha_aceptado"]))
     for h in horizons:
-        d = reg.join(checks, ["codigo", "fecha_aceptado"]).join(calendar_side(market_factor(reg, market, h)), "fecha_aceptado", "left")
+        d = measured.join(calendar_side(market_factor(reg, market, h)), "fecha_aceptado", "left")
         cols = [F.col(f"sem{k}_real") for k in range(1, h + 1)]
         total = cols[0]
         for c in cols[1:]:

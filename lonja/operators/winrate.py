@@ -41,6 +41,7 @@ def package_close(packages: DataFrame, quotes: DataFrame) -> DataFrame:
     return g.join(exact_quantiles(d, ["dimension", "grupo"], "cob", {"cobertura_mediana": 0.5}), ["dimension", "grupo"], "left")
 
 
+# Fixed values.
 FEATS = ["rel_precio", "es_linea", "tipo_precio", "mes", "n_folio", "log_cant", "log_lista", "rot_sku", "freq_previa"]
 
 

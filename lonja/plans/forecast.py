@@ -78,9 +78,9 @@ define("rasgos", """SELECT codigo, t, semana, u AS ult, avg(u) OVER (w ROWS 3 PR
 _RF = ", ".join(f"R({c}) AS {c}" for c in C.FEATURES)
 
 
-@query("fc07_weekly_features", f"SELECT codigo, t, {_RF} FROM rasgos WHERE t >= 12")
+@query("fc07_weekly_features", f"SELECT codigo, t, {_RF} FROM rasgos")
 def _(t):
-    return C.weekly_features(t.densa).where("t >= 12").select("codigo", "t", *C.FEATURES)
+    return C.weekly_features(t.densa).select("codigo", "t", *C.FEATURES)
 
 
 @query("fc08_training_rows", """WITH y AS (SELECT codigo, t, avg(u) OVER (PARTITION BY codigo ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS y FROM densa)

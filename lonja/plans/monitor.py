@@ -67,6 +67,24 @@ def _(t):
     return N.brakes(reg, live)
 
 
+define("dormidos_alta", """SELECT codigo, CASE WHEN sku % 3 = 0 THEN 'ESPERAR STOCK' WHEN sku % 3 = 1 THEN 'BAJAR' ELSE 'MANTENER' END AS direccion, p1 AS precio_epoca_viva, p3 AS precio_hoy, 1.5::DOUBLE AS u_sem_epoca_viva, backorder AS reposicion
+   FROM existencias_sem WHERE semana = (SELECT max(semana) FROM existencias_sem)""")
+
+
+@query("mon03b_register_brakes", """WITH g AS (SELECT codigo FROM registro WHERE sku % 2 = 0), h AS (SELECT max(semana) AS h FROM existencias_sem),
+   a AS (SELECT codigo, 'freno' AS tipo, precio_actual AS precio_antes, precio_sugerido AS precio_freno, u0 AS u_base, cobertura_sem AS cobertura_alta FROM recos WHERE contains(revisar, 'frenar') AND direccion = 'SUBIR'
+     UNION ALL SELECT codigo, 'dormido', precio_epoca_viva, precio_hoy, u_sem_epoca_viva, 0 FROM dormidos_alta WHERE direccion = 'ESPERAR STOCK')
+   SELECT codigo, tipo, h AS fecha_alta, R(precio_antes) AS precio_antes, R(precio_freno) AS precio_freno, R(u_base) AS u_base, R(cobertura_alta) AS cobertura_alta, 'esperando_reposicion' AS estado, false AS alertado
+   FROM a ANTI JOIN g USING (codigo), h""")
+def _(t):
+    reg = t.registro.where("sku % 2 = 0").select("codigo")
+    r = recos(t).withColumn("u_sem_actual", F.col("u0")).withColumn("reposicion", F.lit(0.0))
+    e = t.existencias_sem.where(F.col("semana") == today(t)).join(t.familias.select("codigo", F.col("sku").alias("_k")), "codigo")
+    d = e.select("codigo", F.when(F.col("_k") % 3 == 0, "ESPERAR STOCK").when(F.col("_k") % 3 == 1, "BAJAR").otherwise("MANTENER").alias("direccion"), F.col("p1").alias("precio_epoca_viva"), F.col("p3").alias("precio_hoy"),
+                 F.lit(1.5).alias("u_sem_epoca_viva"), F.col("backorder").cast("double").alias("reposicion"))
+    return N.register_brakes(reg, r, d, today(t)).drop("reposicion_alta")
+
+
 @query("mon04_accept", """WITH h AS (SELECT max(semana) AS h FROM existencias_sem), n AS (SELECT DISTINCT codigo FROM recos WHERE direccion <> 'MANTENER')
    SELECT g.codigo, fecha_aceptado, CASE WHEN n.codigo IS NOT NULL THEN greatest(1, date_diff('day', fecha_aceptado, h) // 7) END AS censurado_sem, CASE WHEN n.codigo IS NOT NULL THEN 'nuevo cambio aplicado' END AS causa_censura, NULL::DATE AS fecha_retoque FROM registro g LEFT JOIN n USING (codigo), h
    UNION ALL SELECT codigo, h, NULL, NULL, h + CAST(21 * greatest(2, least(4, CASE clase_serie WHEN 'suave' THEN 2 WHEN 'grumosa (lumpy)' THEN 4 ELSE 3 END + CASE WHEN u0 >= 30 AND n_clientes >= 8 THEN -1 WHEN u0 < 3 OR n_clientes < 2 THEN 1 ELSE 0 END)) AS INT) FROM recos, h WHERE direccion <> 'MANTENER'""")

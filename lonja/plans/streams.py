@@ -108,10 +108,16 @@ def _(t):
     return r.select("codigo", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "antes", "hoy", "pct")
 
 
-@query("str05b_brake_alerts")
+@query("str05b_brake_alerts", """WITH RECURSIVE s AS (SELECT codigo, fecha, existencia AS d, CASE WHEN ascii(codigo) % 2 = 0 THEN 'dormido' ELSE 'freno' END AS tipo, 10.0 + 5 * (length(codigo) % 5) AS base, row_number() OVER (PARTITION BY codigo ORDER BY fecha) AS k FROM snap),
+   f AS (SELECT codigo, k, fecha, d, tipo, base, CASE WHEN tipo = 'dormido' THEN d > 0 ELSE d / 20.0 >= 6 END AS alerta, CASE WHEN tipo = 'dormido' THEN d > 0 ELSE d / 20.0 >= 6 END AS lleno FROM s WHERE k = 1
+     UNION ALL SELECT s.codigo, s.k, s.fecha, s.d, s.tipo, s.base, NOT f.lleno AND (CASE WHEN s.tipo = 'dormido' THEN s.d > 0 ELSE s.d / 20.0 >= 6 END),
+       CASE WHEN f.lleno THEN s.d > 0 ELSE (CASE WHEN s.tipo = 'dormido' THEN s.d > 0 ELSE s.d / 20.0 >= 6 END) END FROM f JOIN s ON s.codigo = f.codigo AND s.k = f.k + 1)
+   SELECT codigo, strftime(fecha, '%Y-%m-%d') AS ts, R(d / 20.0) AS cobertura, CASE WHEN tipo = 'dormido' THEN 'RE-EVALUAR' WHEN d / (20 * 4.345) >= 12 THEN 'BAJAR' WHEN 1 - 20 / base > 0.2 THEN 'REVERTIR' ELSE 'MANTENER' END AS recomendacion FROM f WHERE alerta""")
 def _(t):
-    s = snap_stream(t).select("codigo", F.col("fecha").cast("timestamp").alias("ts"), "disponible", F.lit(20.0).alias("venta_sem"))
-    return rocks(t, lambda: drain(t, T.brake_alerts(s)))
+    s = snap_stream(t).select("codigo", F.col("fecha").cast("timestamp").alias("ts"), F.when(F.ascii("codigo") % 2 == 0, "dormido").otherwise("freno").alias("tipo"),
+                              (10.0 + 5 * (F.length("codigo") % 5)).alias("u_base"), F.col("disponible").cast("double").alias("disponible"), F.lit(20.0).alias("venta_sem"))
+    r = rocks(t, lambda: drain(t, T.brake_alerts(s)))
+    return r.select("codigo", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "cobertura", "recomendacion")
 
 
 @query("str06_view_to_purchase", """SELECT b.user_id, b.codigo, strftime(v.ts, '%Y-%m-%d %H:%M:%S') AS t_vista, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS t_compra FROM ev v JOIN ev b ON v.tipo = 'vista' AND b.tipo = 'compra' AND v.user_id = b.user_id AND v.codigo = b.codigo

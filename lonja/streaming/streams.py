@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lonja.operators.topk import topk
@@ -90,23 +90,29 @@ def enrich(events: DataFrame, dim: DataFrame, key: str = "codigo") -> DataFrame:
     return events.join(dim, key, "left")
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def registry_writer(path: str, keys: list[str], order: str, partition: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: last row per key wins, only the touched partitions are rewritten.
 
+    ``partition`` has to be one of ``keys``, so that a key never moves to another partition.
+
     The new partitions are written to a versioned folder of the batch first, so a repeated
     batch gives the same table and a reader never sees half of one.
     """
+    if partition not in keys:
+        raise ValueError("the partition column has to be one of the keys")
+
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = topk(batch, keys, [F.desc(order)], 1).drop("pos")
-        try:
+        merged = topk(batch, keys, [F.desc(order)], 1).drop("pos")
+        if stored(spark, path):
             old = spark.read.schema(batch.schema).parquet(path)
-            touched = old.join(new.select(partition).distinct(), partition, "left_semi")
-            merged = topk(touched.unionByName(new), keys, [F.desc(order)], 1).drop("pos")
-        except Exception as e:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            merged = new
+            touched = old.join(merged.select(partition).distinct(), partition, "left_semi")
+            merged = topk(touched.unionByName(merged), keys, [F.desc(order)], 1).drop("pos")
         stage = f"{path}_lotes/epoch={epoch}"
         merged.write.mode("overwrite").parquet(stage)
         (spark.read.schema(batch.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -116,7 +122,11 @@ def registry_writer(path: str, keys: list[str], order: str, partition: str) -> C
 
 
 class BrakeTracker(StatefulProcessor):
-    """State machine per product: waiting -> restocked at enough cover; one alert; 90 silent days end it."""
+    """State machine per product: waiting -> restocked at enough cover (dormant products: at any stock).
+
+    Alerts carry the batch form's recommendation. After ``quiet_ms`` of event time without a row
+    the timer removes the product's state.
+    """
 
     def __init__(self, cover_ok: float, quiet_ms: int):
         self.cover_ok, self.quiet_ms = cover_ok, quiet_ms
@@ -124,26 +134,39 @@ class BrakeTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("freno", "estado string")
+        self.fall = 0.20
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         estado = self.state.get()[0] if self.state.exists() else "esperando_reposicion"
         out = []
-        for ts, disp, venta in pd.concat(list(rows)).sort_values("ts")[["ts", "disponible", "venta_sem"]].itertuples(index=False):
-            cover = disp / max(venta, 1e-9)
-            if estado == "esperando_reposicion" and cover >= self.cover_ok:
+        last = None
+        for ts, tipo, base, disp, venta in pd.concat(list(rows)).sort_values("ts")[["ts", "tipo", "u_base", "disponible", "venta_sem"]].itertuples(index=False):
+            last, cover, dormant = ts, disp / max(venta, 1e-9), tipo == "dormido"
+            if estado == "esperando_reposicion" and (disp > 0 if dormant else cover >= self.cover_ok):
                 estado = "reabastecido"
-                rec = "BAJAR" if cover / 4.345 >= 12 else "MANTENER"
+                rec = ("RE-EVALUAR" if dormant else "BAJAR" if disp / max(venta * 4.345, 1e-9) >= 12
+                       else "REVERTIR" if 1 - venta / max(base, 1e-9) > self.fall else "MANTENER")
                 out.append((key[0], ts, float(cover), rec))
             elif estado == "reabastecido" and disp <= 0:
                 estado = "esperando_reposicion"
         self.state.update((estado,))
+        if last is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(last.timestamp() * 1000) + self.quiet_ms)
         yield pd.DataFrame(out, columns=["codigo", "ts", "cobertura", "recomendacion"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=["codigo", "ts", "cobertura", "recomendacion"])
+
     def close(self) -> None:
         pass
 
 
-def brake_alerts(snaps: DataFrame, cover_ok: float = 6.0) -> DataFrame:
-    return snaps.select("codigo", "ts", "disponible", "venta_sem").groupBy("codigo").transformWithStateInPandas(
-        statefulProcessor=BrakeTracker(cover_ok, 90 * 86_400_000), outputStructType="codigo string, ts timestamp, cobertura double, recomendacion string",
-        outputMode="Append", timeMode="None")
+def brake_alerts(snaps: DataFrame, cover_ok: float = 6.0, quiet_days: int = 90, delay: str = "1 day") -> DataFrame:
+    """Alerts of products in follow-up: codigo, ts, tipo, u_base, disponible, venta_sem in, one row per restock out."""
+    s = snaps.select("codigo", "ts", "tipo", "u_base", "disponible", "venta_sem").withWatermark("ts", delay)
+    return s.groupBy("codigo").transformWithStateInPandas(
+        statefulProcessor=BrakeTracker(cover_ok, quiet_days * 86_400_000), outputStructType="codigo string, ts timestamp, cobertura double, recomendacion string",
+        outputMode="Append", timeMode="EventTime")
