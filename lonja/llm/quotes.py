@@ -75,17 +75,19 @@ def threads(parents: DataFrame) -> DataFrame:
 
     ``parents``: conv_id, turn, parent_conv, parent_turn; one row per message that has a parent.
     """
-    jump = written(parents.select("conv_id", "turn", F.col("parent_conv").alias("a_conv"), F.col("parent_turn").alias("a_turn"), F.lit(1).cast("long").alias("depth")), "jump")
+    jump = written(parents.select("conv_id", "turn", F.col("parent_conv").alias("a_conv"), F.col("parent_turn").alias("a_turn"),
+                                  F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open")), "jump")
     while True:
-        up = jump.select(F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("a_conv").alias("n_conv"), F.col("a_turn").alias("n_turn"), F.col("depth").alias("more"))
-        on = jump.join(up, ["a_conv", "a_turn"], "left")
-        moved = F.col("more").isNotNull()
-        jump = written(on.select("conv_id", "turn", F.when(moved, F.col("n_conv")).otherwise(F.col("a_conv")).alias("a_conv"),
-                                 F.when(moved, F.col("n_turn")).otherwise(F.col("a_turn")).alias("a_turn"),
-                                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")), "jump")
-        if not jump.filter("moved").limit(1).count():
+        up = jump.select(F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("a_conv").alias("n_conv"), F.col("a_turn").alias("n_turn"),
+                         F.col("depth").alias("more"), F.col("open").alias("n_open"))
+        on = jump.filter("open").join(up, ["a_conv", "a_turn"], "left")  # only messages whose start isn't known yet
+        found = F.col("more").isNotNull()
+        moved = on.select("conv_id", "turn", F.when(found, F.col("n_conv")).otherwise(F.col("a_conv")).alias("a_conv"),
+                          F.when(found, F.col("n_turn")).otherwise(F.col("a_turn")).alias("a_turn"),
+                          (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("n_open", F.lit(False)).alias("open"))
+        jump = written(jump.filter("not open").unionByName(moved), "jump")
+        if not jump.filter("open").limit(1).count():
             return jump.select("conv_id", "turn", F.col("a_conv").alias("thread_conv"), F.col("a_turn").alias("thread_turn"), "depth")
-        jump = jump.drop("moved")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
