@@ -96,14 +96,15 @@ define("tc_sem", "SELECT semana, median(tc) AS tc FROM panel GROUP BY semana")
 
 @query("prj14_to_usd", """
   WITH rec AS (SELECT median(tc) AS m FROM tc_sem WHERE semana >= (SELECT max(semana) FROM tc_sem) - 56),
-  c AS (SELECT *, fecha AS semana FROM competencia)
+  c AS (SELECT *, fecha AS semana FROM (SELECT * FROM competencia UNION ALL SELECT * REPLACE (fecha + 1456 AS fecha) FROM competencia))
   SELECT c.fuente, c.modelo, c.fecha, R(CASE WHEN moneda = 'MXN' THEN precio_venta / coalesce(tc, (SELECT m FROM rec))
     ELSE precio_venta END) AS precio_venta_usd FROM c
-  LEFT JOIN (SELECT * FROM tc_sem WHERE semana < DATE '2001-06-04') r USING (semana)""")
+  LEFT JOIN tc_sem r USING (semana)""")
 def _(t):
     rates = C.weekly_rates(t.panel)
     rec = rates.where(F.col("semana") >= F.date_sub(rates.agg(F.max("semana")).scalar(), 56)).agg(F.median("tc")).scalar()
-    return (C.to_usd(t.competencia, rates.where("semana < '2001-06-04'"), recent=rec)
+    later = t.competencia.withColumn("fecha", F.date_add("fecha", 1456))  # partly beyond the last known rate
+    return (C.to_usd(t.competencia.unionByName(later), rates, recent=rec)
              .select("fuente", "modelo", "fecha", "precio_venta_usd"))
 
 

@@ -93,13 +93,13 @@ def _(t):
 
 define("hist_precio", """SELECT codigo, semana AS fecha, p1, p3 FROM (
    SELECT *, lag(p3) OVER (PARTITION BY codigo ORDER BY semana) AS p_ant FROM existencias_sem)
-   WHERE p3 IS DISTINCT FROM p_ant AND semana >= DATE '1995-03-06'""")
+   WHERE p3 IS DISTINCT FROM p_ant""")
 
 
 def price_history(t):
     from pyspark.sql import Window as W
     prev = F.lag("p3").over(W.partitionBy("codigo").orderBy("semana"))
-    return (t.existencias_sem.withColumn("_a", prev).where("not (p3 <=> _a) and semana >= '1995-03-06'")
+    return (t.existencias_sem.withColumn("_a", prev).where("not (p3 <=> _a)")
              .select("codigo", F.col("semana").alias("fecha"), "p1", "p3"))
 
 
