@@ -134,12 +134,11 @@ def weekly_features(dense: DataFrame) -> DataFrame:
     """The 11 features at every cut; ratios are clipped."""
     w = _w()
     back = lambda k: F.avg("u").over(w.rowsBetween(-(k - 1), 0))
-    p4 = F.coalesce(F.lag("p", 4).over(w), F.first("p").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    chg = F.coalesce(F.col("p") / F.greatest(p4, F.lit(1e-9)) - 1, F.lit(0.0))
+    p4 = F.when(F.lag("t", 4).over(w).isNull(), F.first("p").over(w.rowsBetween(W.unboundedPreceding, 0))).otherwise(F.lag("p", 4).over(w))
     d = dense.select("codigo", "t", "semana", "u", "p", back(4).alias("media4"), back(8).alias("media8"), back(12).alias("media12"),
                      F.stddev_pop("u").over(w.rowsBetween(-3, 0)).alias("std4"),
                      F.sum((F.col("u") > 0).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("double").alias("sem_activas"),
-                     F.when(F.lag("t", 4).over(w).isNull() | F.lag("p", 4).over(w).isNotNull(), chg).otherwise(0.0).alias("_c"))
+                     p4.alias("_p4")).withColumn("_c", F.when(F.col("_p4").isNotNull(), F.coalesce(F.col("p") / F.greatest("_p4", F.lit(1e-9)) - 1, F.lit(0.0))).otherwise(0.0))
     return d.select("codigo", "t", "semana", F.col("u").alias("ult"), "media4", "media8", "media12", "std4",
                     clip(F.col("media4") / F.greatest("media12", F.lit(0.5)), 0, 10).alias("tendencia"), "sem_activas",
                     F.log1p(F.coalesce("p", F.lit(0.0))).alias("log_precio"), clip(F.col("_c"), -0.5, 0.5).alias("cambio_precio_4s"),
