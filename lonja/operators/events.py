@@ -169,7 +169,7 @@ def event_pairs(events: DataFrame, lines: DataFrame, attach: float = 0.10, min_j
     v = basket_lines(lines)
     xs = events.select(F.col("codigo").alias("X"), "t", "semana", "rel").distinct()
     wanted = xs.select(F.col("X").alias("codigo")).distinct()
-    per_week = weekly_pairs(v, wanted)
+    per_week = weekly_pairs(v, wanted, min_joint)
     tot = v.groupBy(F.col("codigo").alias("X"), F.col("semana").alias("sw")).agg(F.count("*").alias("n"))
     ev = xs.withColumn("sw", F.explode(F.sequence(F.date_sub("semana", 7 * weeks), F.date_sub("semana", 7), F.expr("interval 7 days"))))
     nx = ev.join(tot, ["X", "sw"]).groupBy("X", "t").agg(F.sum("n").alias("n_x")).where(F.col("n_x") >= min_joint)
@@ -179,8 +179,13 @@ def event_pairs(events: DataFrame, lines: DataFrame, attach: float = 0.10, min_j
               .select("X", "Y", "t", "semana", "rel", "co_folios", "attach"))
 
 
-def weekly_pairs(v: DataFrame, wanted: DataFrame, block: int = 256) -> DataFrame:
-    """(X, Y, week, baskets): X limited to the raised products; big baskets split in blocks."""
+def weekly_pairs(v: DataFrame, wanted: DataFrame, min_joint: int = 1, block: int = 256) -> DataFrame:
+    """(X, Y, week, baskets): X limited to the raised products; big baskets split in blocks.
+
+    A product in fewer than ``min_joint`` baskets can't be joint that often and is left out first.
+    """
+    often = v.groupBy("codigo").agg(F.count("*").alias("_f")).where(F.col("_f") >= min_joint).select("codigo")
+    v = v.join(often, "codigo", "left_semi")
     size = v.groupBy("folio").agg(F.ceil(F.count("*") / block).cast("int").alias("_nb"))
     d = v.join(size, "folio").withColumn("_own", F.pmod(F.xxhash64("codigo"), F.col("_nb")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))

@@ -235,9 +235,9 @@ def block_match(comp: DataFrame, ours: DataFrame, rivals: DataFrame, mm_tol: flo
     """Best substitute inside a block of equal type, megapixels and technology.
 
     Lane RIVAL when the block holds a rival brand, else VECTOR (any other brand, similarity of
-    supplied vectors added). Candidates within ``near`` of the log price come from an equality on
-    price buckets; the distance alone bounds the score, so only products whose best score exceeds
-    ``near`` look at their whole block.
+    supplied vectors added). Candidates within a ring of the log price come from an equality on
+    price buckets. The price distance alone bounds the score, so a product whose best score is
+    within the ring is done; the others go on with twice the ring, until it spans all prices.
     """
     blk = ["tipo", "mp", "tec", "gama"]
     c = comp.where("tipo is not null and mp is not null and tec is not null and mm is not null and precio > 0")
@@ -249,14 +249,11 @@ def block_match(comp: DataFrame, ours: DataFrame, rivals: DataFrame, mm_tol: flo
     c = c.withColumn("_l", F.ln("precio"))
     s = s.select(*blk, F.col("codigo"), F.col("marca").alias("marca_s"), F.col("mm").alias("mm_s"), F.col("precio").alias("precio_s"), F.col("vec").alias("vec_s"), F.ln("precio").alias("_ls"))
     riv = rivals.select("marca", F.col("rival").alias("marca_s"), F.lit(True).alias("_ok"))
-    bucket = lambda x: F.floor(F.col(x) / near)
-
-    def best(q, wide):
-        if wide:
-            j = q.join(s, blk)
-        else:
-            j = (q.withColumn("_k", F.explode(F.array(bucket("_l") - 1, bucket("_l"), bucket("_l") + 1)))
-                  .join(s.withColumn("_k", bucket("_ls")), [*blk, "_k"]))
+
+    def best(q: DataFrame, ring: float) -> DataFrame:
+        bucket = lambda x: F.floor(F.col(x) / ring)
+        j = (q.withColumn("_k", F.explode(F.array(bucket("_l") - 1, bucket("_l"), bucket("_l") + 1)))
+              .join(s.withColumn("_k", bucket("_ls")), [*blk, "_k"]))
         j = j.where(F.abs(F.col("mm_s") - F.col("mm")) <= mm_tol + 1e-9).join(riv, ["marca", "marca_s"], "left")
         j = j.where(F.when(F.col("via") == "RIVAL", F.coalesce("_ok", F.lit(False))).otherwise(F.col("marca_s") != F.col("marca")))
         sim = cosine("vec", "vec_s")
@@ -264,10 +261,17 @@ def block_match(comp: DataFrame, ours: DataFrame, rivals: DataFrame, mm_tol: flo
             F.abs(F.col("_ls") - F.col("_l")) + 0.10 * F.abs(F.col("mm_s") - F.col("mm")) + F.when(F.col("via") == "VECTOR", 1 - F.col("sim")).otherwise(0.0), 9))
         return (j.groupBy("modelo", "via", "marca", "precio").agg(F.min_by(F.struct("codigo", "marca_s", "precio_s", "cerc", "sim"), F.struct("cerc", "codigo")).alias("b")))
 
-    first = cut_lineage(best(c, False))
-    sure = first.where(F.col("b.cerc") <= near)
-    rest = best(c.join(sure.select("modelo"), "modelo", "left_anti"), True)
-    r = sure.unionByName(rest).withColumn("gap_pct", F.bround(100 * (F.col("precio") / F.col("b.precio_s") - 1), 1))
+    low, high = c.select("_l").unionByName(s.select(F.col("_ls").alias("_l"))).agg(F.min("_l"), F.max("_l")).first()
+    r, left, ring = None, cut_lineage(c), near
+    while True:
+        found = cut_lineage(best(left, ring))
+        last = low is None or ring >= high - low
+        sure = found if last else found.where(F.col("b.cerc") <= ring)
+        r = sure if r is None else r.unionByName(sure)
+        if last:
+            break
+        left, ring = cut_lineage(left.join(sure.select("modelo"), "modelo", "left_anti")), 2 * ring
+    r = r.withColumn("gap_pct", F.bround(100 * (F.col("precio") / F.col("b.precio_s") - 1), 1))
     level = F.when(F.abs("gap_pct") > 60, "DUDOSO").when((F.col("via") == "VECTOR") & (F.col("b.sim") < 0.55), "DUDOSO").otherwise("EQUIVALENTE")
     return r.select("modelo", "via", F.col("b.codigo").alias("codigo"), F.col("b.marca_s").alias("marca_s"), F.col("b.cerc").alias("cercania"), F.col("b.sim").alias("sim"), "gap_pct", level.alias("nivel"))
 
