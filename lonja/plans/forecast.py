@@ -137,6 +137,23 @@ def _(t):
     return C.hybrids(rolled(t))
 
 
+define("origenes", """SELECT d.codigo, c.corte, avg(u) FILTER (t > corte - 8 AND t <= corte) AS gbm, avg(u) FILTER (t > corte - 4 AND t <= corte) AS media_4s, avg(u) FILTER (t > corte AND t <= corte + 3) AS real
+   FROM densa d JOIN (SELECT max(t) - 3 - 3 * unnest([0, 1, 2, 3]) AS corte FROM densa) c ON d.t > c.corte - 8 AND d.t <= c.corte + 3 GROUP BY ALL""")
+
+
+@query("fc14b_hybrids_given", """WITH z AS (SELECT max(corte) AS z FROM origenes), p AS (SELECT codigo, sum(abs(gbm - real)) AS g, sum(abs(media_4s - real)) AS m FROM origenes, z WHERE corte < z GROUP BY codigo),
+   d AS (SELECT codigo, real, gbm, media_4s, CASE WHEN g < m THEN gbm ELSE media_4s END AS seleccion, 0.5 * gbm + 0.5 * media_4s AS promedio FROM origenes JOIN p USING (codigo), z WHERE corte = z),
+   l AS (UNPIVOT d ON gbm, media_4s, seleccion, promedio INTO NAME metodo VALUE pred)
+   SELECT metodo, R(sum(abs(pred - real)) / sum(real)) AS wape, R(sum(pred - real) / sum(real)) AS sesgo, count(*) AS n FROM l GROUP BY metodo""")
+def _(t):
+    """The hybrids on supplied predictions: the 8-week mean stands for the boosted forecast."""
+    d = t.densa
+    cut_ = d.agg(F.max("t").alias("_z")).select(F.explode(F.array(*[F.col("_z") - 3 - 3 * k for k in range(4)])).alias("corte"))
+    j = d.join(F.broadcast(cut_), (F.col("t") > F.col("corte") - 8) & (F.col("t") <= F.col("corte") + 3))
+    mean = lambda lo, hi, name: F.avg(F.when((F.col("t") > F.col("corte") + lo) & (F.col("t") <= F.col("corte") + hi), F.col("u"))).alias(name)
+    return C.hybrids(j.groupBy("codigo", "corte").agg(mean(-8, 0, "gbm"), mean(-4, 0, "media_4s"), mean(0, 3, "real")))
+
+
 define("mes_total", "SELECT codigo, mes, u, row_number() OVER (PARTITION BY codigo ORDER BY mes) - 1 AS k FROM meses_c")
 define("rasgos_mes", """WITH d AS (SELECT *, lag(u, 1) OVER w AS a, lag(u, 2) OVER w AS b, lag(u, 3) OVER w AS c, avg(u) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS n6,
      avg((u <= 0)::INT) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS z6 FROM mes_total WINDOW w AS (PARTITION BY codigo ORDER BY mes)),
