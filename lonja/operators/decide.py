@@ -389,6 +389,26 @@ def audit_costs(events: DataFrame, recos: DataFrame, snap: DataFrame) -> DataFra
                                         F.col("_v.v").alias("veredicto"), F.col("_v.r").alias("razon"))
 
 
+def restricted_share(stock: DataFrame, panel: DataFrame, weeks: int = 26) -> DataFrame:
+    """Share of the last ``weeks`` in which a product's stock was below its typical weekly demand (median of selling weeks)."""
+    since = panel.agg(F.date_sub(F.max("semana"), 7 * weeks)).scalar()
+    usual = panel.where((F.col("semana") >= since) & (F.col("unidades") > 0)).groupBy("codigo").agg(F.median("unidades").alias("_typ"))  # at most ``weeks`` rows each
+    d = stock.where(F.col("semana") >= since).join(usual, "codigo", "left")
+    short = F.coalesce(F.coalesce("disp_venta", F.lit(0.0)) < F.col("_typ"), F.lit(False))
+    return d.groupBy("codigo").agg(F.avg(short.cast("double")).alias("stock_restr"))
+
+
+def audit_context(audit: DataFrame, restricted: DataFrame, history: DataFrame, light: DataFrame, suspicious: float = 0.30) -> DataFrame:
+    """What a decision on a cost move should know: growth cut by stock, the product's own last pass-through, the competitor's gap.
+
+    ``history``: codigo, d_costo_pct, pass_through, d_venta_pct, d_margen_pts; ``light``: codigo, gap_pct, semaforo.
+    """
+    h = history.select("codigo", *[F.col(c).alias(f"h_{c}") for c in ("d_costo_pct", "pass_through", "d_venta_pct", "d_margen_pts")])
+    c = light.select("codigo", F.col("gap_pct").alias("comp_gap"), F.col("semaforo").alias("comp_sem"))
+    d = audit.join(restricted, "codigo", "left").join(h, "codigo", "left").join(c, "codigo", "left")
+    return d.withColumn("crec_sospechoso", F.coalesce("stock_restr", F.lit(0.0)) >= suspicious)
+
+
 def explain(recos: DataFrame) -> DataFrame:
     """Explanation text from the rule columns."""
     n = lambda c, k: F.format_number(F.col(c), k)
