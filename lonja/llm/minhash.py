@@ -13,6 +13,9 @@ threshold become tasks. Inside a task the intersections of all pairs are one mat
 return sums per node and a spanning forest of links, never pairs. Every link between different texts
 is counted; no bucket and no partner list is capped.
 
+Joins with the texts and the trie keys are shuffled at every size (hint ``merge``): their small side grows with
+the input, and so one plan is tested and used throughout.
+
 Words: letters and digits after lower-casing. A text with fewer than ``size`` words is one shingle.
 
 Defined cases: null and empty texts are the empty set, and equal to each other; a null doc_id is replaced
@@ -133,7 +136,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     rows = written(nodes.select("node", F.explode("prefixes").alias("prefix")), "prefixes")
     shared = written(rows.groupBy("prefix").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("n > 1"), "shared")
     twos = shared.filter("n = 2").select(F.col("least").alias("v"), F.col("most").alias("u"))
-    more = rows.join(shared.filter("n > 2").select("prefix", "least"), "prefix").select(F.col("least").alias("v"), F.col("node").alias("u"))
+    more = rows.join(shared.filter("n > 2").select("prefix", "least").hint("merge"), "prefix").select(F.col("least").alias("v"), F.col("node").alias("u"))
     return twos.unionByName(more).filter("u <> v").distinct()
 
 
@@ -246,7 +249,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int =
             items = [shingles(t, size, hashes).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(items, pa.binary())], ["node", "items"])
 
-    wanted = _plain(docs).withColumnRenamed("key", "node").join(members.select("node"), "node").select("node", "text").dropDuplicates(["node"])
+    wanted = _plain(docs).withColumnRenamed("key", "node").join(members.select("node").hint("merge"), "node").select("node", "text").dropDuplicates(["node"])
     parts = written(units(members, limit, block), "units")
     found = wanted.mapInArrow(sets, "node long, items binary").join(parts, "node").groupBy("task").applyInPandas(_verified(limit), FOUND)
     found = written(found, "found")
@@ -270,6 +273,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     inner = [f"c{i}" for i in range(len(names))]
     at = dict(zip(names, inner))
     keyed = docs.toDF(*inner).withColumn("key", doc_key(F.col(at["doc_id"]), F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))))
-    single = keyed.join(found.filter("key <> class_id or n > 1").select("key"), "key", "left_anti")
-    repeated = keyed.join(found.filter("key = class_id and n > 1").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    single = keyed.join(found.filter("key <> class_id or n > 1").select("key").hint("merge"), "key", "left_anti")
+    repeated = keyed.join(found.filter("key = class_id and n > 1").select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     return single.unionByName(repeated).select(*[F.col(a).alias(b) for a, b in zip(inner, names)])
