@@ -410,11 +410,28 @@ def audit_context(audit: DataFrame, restricted: DataFrame, history: DataFrame, l
 
 
 def explain(recos: DataFrame) -> DataFrame:
-    """Explanation text from the rule columns."""
-    n = lambda c, k: F.format_number(F.col(c), k)
-    txt = F.concat_ws("; ", F.concat(F.col("sem_con_venta").cast("string"), F.lit(" sem con venta, "), n("n_clientes", 0), F.lit(" cli/sem")),
-                      F.concat(F.lit("elasticidad "), n("eps", 2), F.lit("±"), F.format_number(Z95 * F.col("se"), 2), F.lit(" (segmento "), F.col("segmento"), F.lit(")")),
-                      F.when(F.col("revisar") != "", F.concat(F.lit("REVISAR: "), F.col("revisar"))))
+    """Explanation text from the rule columns: evidence, forecast precision, elasticity, and the reason of the rule that decided.
+
+    ``banda_propia`` (optional boolean) tells a band of the product's own from its group's.
+    """
+    n = lambda c, k: F.format_number(F.col(c) if isinstance(c, str) else c, k)
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    varied = F.when(F.coalesce(F.col("var_precio") > 1e-3, F.lit(False)), "con").otherwise("sin")
+    share = lambda c: n(100 * F.col(c) / F.greatest("u0", F.lit(1e-9)), 0)
+    own = F.coalesce(F.col("banda_propia"), F.lit(False)) if "banda_propia" in recos.columns else F.lit(False)
+    rule = F.col("revisar")
+    reason = (F.when(rule == "revertir", "revertir: la venta cayó frente al mercado tras el aumento")
+               .when(rule == "sobrestock", say("sobrestock de ", n("meses_inv", 0), " meses"))
+               .when((rule == "no rota") & (F.col("u0") >= 50), "caro: pierde participación, bajar para recuperarla")
+               .when(rule == "no rota", "caro: no rota, bajar")
+               .when(rule == "frenar", say("demanda ", n(100 * F.col("crecimiento"), 0), "%/mes (", F.col("meses_alza"), " meses al alza) con ", n("cobertura_sem", 1), " sem de stock: frenar"))
+               .when(rule == "abstención", "señal de freno sin evidencia suficiente: abstención")
+               .when(rule == "KVI", say("KVI: demanda larga sin confirmar (12m: ", F.coalesce("meses_alza_12m", F.lit("sin datos")), " meses al alza)"))
+               .otherwise(rule))
+    txt = F.concat_ws("; ", say(F.col("sem_con_venta").cast("string"), " sem con venta, ", n("n_clientes", 0), " cli/sem, ", varied, " variación de lista"),
+                      say("venta real entre ", share("b_lo"), "% y ", share("b_hi"), "% del pronóstico (banda ", F.when(own, "propia").otherwise("del grupo"), ")"),
+                      say("elasticidad ", n("eps", 2), "±", n(Z95 * F.col("se"), 2), " (segmento ", F.col("segmento"), ")"),
+                      F.when(rule != "", say("REVISAR: ", reason)))
     return recos.withColumn("explicacion", txt)
 
 

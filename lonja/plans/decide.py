@@ -396,7 +396,15 @@ def _(t):
     return D.margin_defence(recos(t), b, inv.where(F.col("semana") == today(t)), floor=0.45)
 
 
-@query("prj20_explain", """SELECT codigo, concat_ws('; ', sem_con_venta || ' sem con venta, ' || format('{:.0f}', round_even(n_clientes, 0)) || ' cli/sem', 'elasticidad ' || format('{:.2f}', eps) || '±' || format('{:.2f}', 1.96 * se) || ' (segmento ' || segmento || ')',
-   CASE WHEN revisar <> '' THEN 'REVISAR: ' || revisar END) AS explicacion FROM recos""")
+_ENT = "format('{:,.0f}', round_even(%s, 0))"
+
+
+@query("prj20_explain", f"""SELECT codigo, concat_ws('; ', sem_con_venta || ' sem con venta, ' || {_ENT % "n_clientes"} || ' cli/sem, ' || CASE WHEN var_precio > 1e-3 THEN 'con' ELSE 'sin' END || ' variación de lista',
+   'venta real entre ' || {_ENT % "100 * b_lo / greatest(u0, 1e-9)"} || '% y ' || {_ENT % "100 * b_hi / greatest(u0, 1e-9)"} || '% del pronóstico (banda del grupo)',
+   'elasticidad ' || format('{{:.2f}}', eps) || '±' || format('{{:.2f}}', 1.96 * se) || ' (segmento ' || segmento || ')',
+   CASE WHEN revisar <> '' THEN 'REVISAR: ' || CASE revisar WHEN 'revertir' THEN 'revertir: la venta cayó frente al mercado tras el aumento' WHEN 'sobrestock' THEN 'sobrestock de ' || {_ENT % "meses_inv"} || ' meses'
+     WHEN 'no rota' THEN CASE WHEN u0 >= 50 THEN 'caro: pierde participación, bajar para recuperarla' ELSE 'caro: no rota, bajar' END
+     WHEN 'frenar' THEN 'demanda ' || {_ENT % "100 * crecimiento"} || '%/mes (' || meses_alza || ' meses al alza) con ' || format('{{:,.1f}}', round_even(cobertura_sem, 1)) || ' sem de stock: frenar'
+     WHEN 'abstención' THEN 'señal de freno sin evidencia suficiente: abstención' WHEN 'KVI' THEN 'KVI: demanda larga sin confirmar (12m: ' || coalesce(meses_alza_12m, 'sin datos') || ' meses al alza)' ELSE revisar END END) AS explicacion FROM recos""")
 def _(t):
     return D.explain(recos(t)).select("codigo", "explicacion")
