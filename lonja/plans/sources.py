@@ -196,3 +196,43 @@ def _(t):
         c.where(F.col("fuente") == f"fuente{k}").drop("fuente").write.option("header", True).csv(f"{path}/FUENTE{k}")
     schema = T.StructType([T.StructField("fecha", T.DateType()), T.StructField("modelo", T.StringType()), T.StructField("precio_venta", T.DoubleType()), T.StructField("moneda", T.StringType())])
     return S.read_competitor_csv(t.spark, f"{path}/*", schema, from_folder=True).select("fuente", "modelo", "fecha", "precio_venta", "moneda")
+
+
+def folder(t, kind: str) -> str:
+    import uuid
+
+    from lonja.session import shared_dir
+    return f"{shared_dir(t.spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+@query("snk05_month_partitions", """SELECT fecha, folio, codigo, cantidad + (fecha >= DATE '1999-05-01' AND fecha < DATE '1999-06-01')::INT AS cantidad, R(subtotal) AS subtotal FROM ventas""")
+def _(t):
+    """Monthly files written, one month replaced by its correction, and all read back as one table."""
+    from lonja.sources.sinks import write_month_partitions
+    path = folder(t, "meses")
+    write_month_partitions(t.ventas, path)
+    write_month_partitions(t.ventas.where("fecha >= '1999-05-01' and fecha < '1999-06-01'").withColumn("cantidad", F.col("cantidad") + 1), path)
+    return S.read_sales(t.spark, path, ["fecha", "folio", "codigo", "cantidad", "subtotal"])
+
+
+@query("snk01_save_result", "SELECT forma, codigo, fecha_aceptado, R(precio_nuevo) AS precio_nuevo FROM registro JOIN (SELECT unnest(['parquet', 'csv']) AS forma) ON true")
+def _(t):
+    """A result in both forms, read back from both."""
+    from lonja.sources.sinks import save_result
+    path, r = folder(t, "resultados"), t.registro.select("codigo", "fecha_aceptado", "precio_nuevo")
+    save_result(r, path, "recomendaciones")
+    a = t.spark.read.parquet(f"{path}/recomendaciones.parquet")
+    b = t.spark.read.schema(r.schema).option("header", True).csv(f"{path}/recomendaciones.csv")
+    return a.withColumn("forma", F.lit("parquet")).unionByName(b.withColumn("forma", F.lit("csv")))
+
+
+@query("snk03_archive_once", "SELECT codigo, R(precio_nuevo) AS precio_nuevo, '2001-11' AS sello FROM registro")
+def _(t):
+    """A frozen archive: the second writing of the same stamp changes nothing."""
+    from lonja.sources.sinks import archive_once
+    path, r = folder(t, "archivo"), t.registro.select("codigo", "precio_nuevo")
+    first = archive_once(r, path, "2001-11")
+    again = archive_once(r.withColumn("precio_nuevo", F.lit(0.0)), path, "2001-11", on_exists="skip")
+    if not first or again:
+        raise RuntimeError("the archive was not written exactly once")
+    return t.spark.read.parquet(path).drop("archivado")
