@@ -3,8 +3,8 @@
 A small network is trained on trusted positives and unlabelled web text only: it minimises the
 non-negative unbiased risk  pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives))  with the
 logistic loss. Negative labels are never used. The class prior pi is estimated from the same two
-samples: a first network separates positives from unlabelled texts, and pi is the smallest ratio of
-the unlabelled to the positive share above a score (with a bound for the sampling error).
+samples: networks that never saw a row tell how positive it looks, and pi is the smallest ratio of
+the unlabelled to the positive share above a score (chosen with a bound for the sampling error).
 
 The training sample is bounded: about ``sample`` documents of the training fold, chosen by hash of
 their id; their vectors (a few numbers each) are all that reaches the driver. Scoring is one pass over
@@ -109,6 +109,16 @@ def class_prior(score_p: np.ndarray, score_u: np.ndarray, delta: float = 0.1) ->
     return float(np.clip(q_u[k] / q_p[k], 0.01, 0.99))
 
 
+def scouted(x: np.ndarray, positive: np.ndarray, folds: int = 4) -> np.ndarray:
+    """How positive each row looks to a network that separates the positives from all rows of the other folds."""
+    fold = np.random.default_rng(3).permutation(len(x)) % folds
+    out = np.zeros(len(x))
+    for k in range(folds):
+        rest = (fold != k) if positive[fold != k].any() else np.ones(len(x), bool)
+        out[fold == k] = fit_network(x[rest & positive], x[rest], separate_slopes, 0.5, rounds=200, decay=0.03).logit(x[fold == k])
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3)) == 1
 
@@ -134,11 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000) -> tuple[Net
     positive = np.array([bool(t) for t in rows.column("trusted").to_pylist()], bool)
     if not positive.any():
         return None, 0.5
-    order = np.random.default_rng(3).permutation(len(x))  # half fits, half measures the prior
-    half = order[:len(x) // 2] if positive[order[:len(x) // 2]].any() and positive[order[len(x) // 2:]].any() else order
-    rest = np.setdiff1d(order, half) if len(half) < len(order) else order
-    scout = fit_network(x[half][positive[half]], x[half], separate_slopes, 0.5)
-    prior = class_prior(scout.logit(x[rest][positive[rest]]), scout.logit(x[rest]))
+    apart = scouted(x, positive)
+    prior = class_prior(apart[positive], apart)
     return fit_network(x[positive], x, risk_slopes, prior), prior
 
 
