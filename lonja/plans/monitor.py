@@ -166,7 +166,7 @@ def cycle(t):
 
 
 @query("mon11_close_cycle", """WITH f AS (SELECT max(semana) AS c, max(semana) - 21 AS e FROM panel), r AS (SELECT codigo, avg(unidades_rec) AS ur FROM panel, f WHERE semana > e AND semana <= c GROUP BY codigo), w AS (SELECT semana, sum(unidades) AS u FROM panel GROUP BY semana),
-   k AS (SELECT avg(u) FILTER (semana > e AND semana <= c) / avg(u) FILTER (semana > e - 21 AND semana <= e) AS fac FROM w, f), m AS (SELECT x.*, coalesce(ur, 0) AS ur, fac FROM ciclo x LEFT JOIN r USING (codigo), k)
+   k AS (SELECT coalesce(avg(u) FILTER (semana > e AND semana <= c) / avg(u) FILTER (semana > e - 21 AND semana <= e), 1.0) AS fac FROM w, f), m AS (SELECT x.*, coalesce(ur, 0) AS ur, fac FROM ciclo x LEFT JOIN r USING (codigo), k)
    SELECT coalesce(clase_serie, 'TOTAL') AS grupo, count_if(NOT aplicado) AS n_sin, R(coalesce(sum(abs(greatest(u0, 0) - ur)) FILTER (NOT aplicado), NULL) / greatest(coalesce(sum(ur) FILTER (NOT aplicado), 1e-9), 1e-9)) AS wape, R(avg((ur BETWEEN u_p10 AND u_p90)::INT) FILTER (NOT aplicado)) AS cobertura,
      count_if(aplicado) AS n_aplicados, R(sum(ur - u0 * fac) FILTER (aplicado)) AS d_unidades, R(any_value(fac)) AS mercado FROM m GROUP BY ROLLUP (clase_serie)""")
 def _(t):
