@@ -132,7 +132,7 @@ def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]],
             parts = span.split(".")
             segments.append((i, j + 1, (
                 "bias", "shape:" + shape, f"digits:{min(digits, 20)}", f"len:{min(len(span) // 4, 12)}",
-                f"luhn:{bool(number) and luhn(number)}", f"octets:{len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}",
+                f"luhn:{bool(number) and luhn(number)}", f"octets:{len(parts) == 4 and all(p.isdecimal() and len(p) < 4 and int(p) < 256 for p in parts)}",
                 f"at:{'@' in span and '.' in span.partition('@')[2]}", f"left:{_side(text[s - 1:s])}", f"right:{_side(text[te:te + 1])}", *context)))
     return tokens, segments
 

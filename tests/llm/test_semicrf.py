@@ -122,3 +122,12 @@ def test_find_and_mask(frame):
 
 def test_empty_table(frame):
     assert C.find_pii(frame([], DOCS)).collect() == []
+
+
+def test_digits_that_are_no_numbers(frame):
+    signs = ["10.0.0.1\u00b2", "1.2.3.\u00b2", "see 1.\u2460.3.4 there", "\u00b9.\u00b2.\u00b3.4", "1.2.3.\u0664", "at 10.0.0.1\u2075 a@b.cd"]
+    model = C.fit(texts(1, 100) + signs)
+    for text in signs:
+        assert set(C.base_spans(text)) <= set(C.all_spans(text, model)[1])
+    docs = frame([(k, t) for k, t in enumerate(texts(3, 60) + signs)], DOCS)
+    assert C.find_pii(docs).count() == 66 and C.mask_pii(docs).filter("text is not null").count() == 66
