@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, object] = {}
+_LIBRARY: dict[str, object] = {}
 
 
 def default_vocabulary() -> str:
@@ -50,8 +51,20 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def library_ids(text: str, path: str) -> list[int]:
+    """The ids by the ``tokenizers`` library itself."""
+    if path not in _LIBRARY:
+        from tokenizers import Tokenizer
+
+        _LIBRARY[path] = Tokenizer.from_file(path)
+    return list(_LIBRARY[path].encode(text, add_special_tokens=False).ids)
+
+
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
-    ids = encoder(path).encode(text or "", allowed_special="all")
+    try:
+        ids = encoder(path).encode(text or "", allowed_special="all")
+    except ValueError:  # its pattern gives up on white-space runs of about a million characters
+        ids = library_ids(text, path)
     ids.append(end_id)
     return np.asarray(ids, dtype="<u4")
 

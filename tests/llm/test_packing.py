@@ -75,3 +75,13 @@ def test_pack_documents(frame):
 
 def test_empty_table(frame):
     assert P.pack_documents(frame([], DOCS)).collect() == []
+
+
+def test_white_space_runs_of_a_million(frame):
+    from tokenizers import Tokenizer
+
+    library, path = Tokenizer.from_file(P.default_vocabulary()), P.default_vocabulary()
+    for text in (" " * 1_200_000, "a <|endoftext|>" + "\n" * 1_200_000 + "b"):
+        assert P.token_ids(text, path, 2).tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+    out = P.pack_documents(frame([(1, " " * 1_200_000), (2, "x y z")], DOCS)).collect()
+    assert {r.doc_id for r in out} == {1, 2} and sum(r.length for r in out if r.doc_id == 1) == len(P.token_ids(" " * 1_200_000, path, 2))
