@@ -20,6 +20,7 @@ they are, whatever their names, by ``remove_contaminated``.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,28 +40,48 @@ STATE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spa
 
 
 class Benchmark:
-    """Vocabulary, suffixes and windows of one block of items."""
+    """Vocabulary, words and windows of one block of items.
+
+    The items lie one after another in ``words``; a suffix is its first position there and its end.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        suffixes: dict[bytes, tuple[np.ndarray, set[str], bool]] = {}
+        texts: dict[bytes, set[str]] = {}  # word numbers of an item -> ids of the items with these words
         self.window, self.depth, self.least = window, 1, window
         for item_id, text in items:
             words = word_bytes(text)
-            if not words:
-                continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=">u4")
-            size = min(window, len(ids))
-            self.depth, self.least = max(self.depth, len(ids)), min(self.least, size)
-            for j in range(len(ids) - size + 1):
-                key = (ids[j - 1:] if j else ids[j:]).tobytes() + (b"+" if j else b"-")
-                if key not in suffixes:
-                    suffixes[key] = (ids[j:], set(), ids[j - 1] if j else 0)
-                suffixes[key][1].add(item_id)
-        #: window -> the suffixes that start with it
-        self.windows: dict[bytes, list] = defaultdict(list)
-        for suffix, owners, before in suffixes.values():
-            self.windows[suffix[:window].tobytes()].append((suffix, owners, before))
+            if words:
+                ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=">u4")
+                texts.setdefault(ids.tobytes(), set()).add(item_id)
+        self.words = np.frombuffer(b"".join(texts), dtype=">u4").astype(np.uint32)
+        #: window -> the suffixes that start with it: position, end, ids of their items, word before (0: none)
+        self.windows: dict[bytes, list[tuple[int, int, set[str], int]]] = defaultdict(list)
+        start = 0
+        for flat, owners in texts.items():
+            end = start + len(flat) // 4
+            size = min(window, end - start)
+            self.depth, self.least = max(self.depth, size), min(self.least, size)
+            for p in range(start, end - size + 1):
+                at = 4 * (p - start)
+                self.windows[flat[at:at + 4 * size]].append((p, end, owners, int(self.words[p - 1]) if p > start else 0))
+            start = end
+        for key, suffixes in self.windows.items():
+            if len(suffixes) > 1:
+                self.windows[key] = self._distinct(suffixes)
+
+    def _distinct(self, suffixes: list[tuple[int, int, set[str], int]]) -> list[tuple[int, int, set[str], int]]:
+        """Equal suffixes after the same word as one, with the ids of all."""
+        out: dict[tuple, list] = defaultdict(list)
+        for p, end, owners, before in suffixes:
+            same = out[end - p, before, zlib.crc32(self.words[p:min(end, p + 64)]), zlib.crc32(self.words[max(p, end - 64):end])]
+            for k, (q, last, others, _) in enumerate(same):
+                if np.array_equal(self.words[p:end], self.words[q:last]):
+                    same[k] = (q, last, others | owners, before)
+                    break
+            else:
+                same.append((p, end, owners, before))
+        return [x for same in out.values() for x in same]
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -115,10 +136,11 @@ class Shard:
             np.add.at(self.cover, where, 1)
             np.add.at(self.cover, where + n // 4, -1)
             docs = np.searchsorted(starts, where, side="right") - 1
-            for suffix, owners, before in suffixes:
-                for d in np.unique(docs).tolist():
+            hit = np.unique(docs).tolist()
+            for p, end, owners, before in suffixes:
+                for d in hit:
                     self.items[d] |= owners
-                self._extend(words, at, where, docs, starts, suffix, min(owners), before, n // 4)
+                self._extend(words, at, where, docs, starts, bench.words[p:end], min(owners), before, n // 4)
 
     def _extend(self, words, at, where, docs, starts, suffix, owner, before, size) -> None:
         """Longest match of the suffix at each place where the match doesn't begin earlier."""

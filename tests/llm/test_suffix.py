@@ -69,3 +69,20 @@ def test_suffix_array(words):
     w = np.array(words, dtype=np.uint32)
     order = S.suffix_array(w, 64).tolist()
     assert order == sorted(range(len(words)), key=lambda p: words[p:])
+
+
+def test_memory_of_a_book_length_item():
+    import tracemalloc
+
+    rng = random.Random(6)
+    words = ["w%d" % rng.randrange(5000) for _ in range(6000)]
+    text = " ".join(words)
+    tracemalloc.start()
+    bench = S.Benchmark([("book", text), ("copy", text), ("tail", " ".join(words[3000:])), ("flat", "la " * 3000)], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # whole suffixes as keys took 97 MB
+    state = S.scan_texts([None, "x " + " ".join(words[2000:4000]) + " y", "la " * 50], [None] * 3, bench, 2_000_000)
+    assert [x["items"] for x in state] == [[], ["book", "copy", "tail"], ["flat"]]
+    assert (state[1]["longest"], state[1]["longest_item"], state[1]["longest_start"], state[1]["spans"]) == (2000, "book", 1, [1, 2001])
+    assert state[2]["longest"] == 50
