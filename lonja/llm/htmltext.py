@@ -6,9 +6,10 @@ The node whose children's densities sum highest roots the main text; the smalles
 to the body is the threshold under which link-heavy parts inside it are dropped. If the root lies in an
 ``article`` or ``main``, or holds just one, that whole element is taken.
 
-Before that, elements that are no article text by their meaning go: scripts, styles, forms, menus,
-footers, asides, page headers, and elements whose class, id or role says advert, notice, sidebar,
-comments and so on (``UNWANTED``).
+Before that, hidden elements go, and elements that are no article text by their meaning: scripts, styles,
+forms, menus, footers, asides, page headers, and elements of which a whole class name, id or role is
+sidebar, comments and so on (``UNWANTED``), but none that holds an article or main or most of the text
+(``without_named``).
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by an empty line.
@@ -37,20 +38,22 @@ DROPPED = frozenset("head nav footer aside form menu button dialog fieldset labe
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = frozenset("table td th ul ol dl body html article section div".split())
-#: Words in class, id or role of elements that hold no article text.
-UNWANTED = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|comments?|disqus|respond|replies
- |menu|navbar|navigation|nav|breadcrumbs?|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|footer|masthead|site-header|page-header
- |pagination|pager|toolbar|widget|skip-link|complementary|contentinfo|search)(?=$|[\s_-])""", re.X | re.I)
+#: Whole class names, ids and roles of elements that hold no article text.
+UNWANTED = re.compile(r"""ads?|advert(?:s|isements?)?|adsense|sponsor(?:s|ed)?|promo(?:s|tions?)?|banner|cookies?|cookie-(?:banner|consent|notice)|consent|gdpr|notices?|alerts?
+ |sidebar|side-bar|comments?|comment-list|disqus|disqus_thread|respond|replies|menu|navbar|navigation|nav|breadcrumbs?|share|share-buttons|sharing|social|related|related-posts
+ |recommended|newsletter|subscribe|signup|popup|modal|overlay|footer|site-footer|masthead|site-header|page-header|pagination|pager|toolbar|widget|skip-link|complementary
+ |contentinfo|search""", re.X | re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:["'][^>]*+)?+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "inside")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "inside", "named")
 
-    def __init__(self, tag: str, parent: "Node | None"):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: "Node | None", named: bool = False):
+        self.tag, self.parent, self.named = tag, parent, named  # named: its tag, class, id or role says that it is no article text
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.children: list[Node] = []
         self.parts: list = []  # texts and nodes in page order
@@ -58,24 +61,29 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if tag in ("body", "html", "article", "main", "h1") or "=" not in attributes and "hidden" not in attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
+def hidden(attributes: str) -> bool:
+    for m in _ATTRIBUTE.finditer(attributes) if "hidden" in attributes.lower() or "=" in attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and UNWANTED.search(value):
-            return True
     return False
 
 
+def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether the tag or a whole class name, id or role says so; ids of headings and sections are made from their titles."""
+    if tag in DROPPED or tag == "header" and not in_article:
+        return True
+    if tag in HEADINGS or tag in ("body", "html", "article", "main") or "=" not in attributes:
+        return False
+    values = {m[1].lower(): (m[2] or m[3] or m[4] or "").split() for m in _ATTRIBUTE.finditer(attributes)}
+    section = tag == "section" or "section" in map(str.lower, values.get("class", ()))
+    return any(UNWANTED.fullmatch(v) for name in ("class", "id", "role") if name != "id" or not section for v in values.get(name, ()))
+
+
 def parse(page: str) -> Node:
-    """The tree of a page without unwanted elements."""
+    """The tree of a page without hidden elements; unwanted ones are ``named``."""
     root = Node("body", None)
-    stack, at, muted = [root], 0, []  # muted: open elements below an unwanted one, itself first
+    stack, at, muted = [root], 0, []  # muted: open elements below a hidden one, itself first
 
     def text(raw: str) -> None:
         if raw and not muted:
@@ -127,13 +135,13 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in SCOPE and stack[k].tag not in shut and tag in BLOCK:
                     break
-        if unwanted(tag, m[3], stack[-1].inside):
+        if tag == "head" or tag not in ("article", "main", "h1") and hidden(m[3]):
             if not m[0].endswith("/>"):
                 muted.append(tag)
             if tag in BLOCK:
                 stack[-1].parts.append(Node("hr", stack[-1]))
             continue
-        node = Node(tag, stack[-1])
+        node = Node(tag, stack[-1], unwanted(tag, m[3], stack[-1].inside))
         stack[-1].children.append(node)
         stack[-1].parts.append(node)
         if not m[0].endswith("/>"):
@@ -173,6 +181,28 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def without_named(root: Node, share: float = 0.1) -> None:
+    """Take the ``named`` elements out of the tree.
+
+    One stays if it holds an article or main, or more than half of the page's text; the latter goes only
+    if article or main elsewhere hold at least ``share`` of its text.
+    """
+    nodes = in_order(root)
+    own = {n: sum(len("".join(p.split())) for p in n.parts if isinstance(p, str)) for n in nodes}
+    chars, marked = dict(own), {n: n.tag in ("article", "main") for n in nodes}
+    for n in reversed(nodes[1:]):
+        chars[n.parent] += chars[n]
+        marked[n.parent] |= marked[n] and chars[n] > 0
+    covered = {}
+    for n in nodes:
+        covered[n] = n.named and not marked[n] or n is not root and covered[n.parent]
+    article = sum(own[n] for n in nodes if n.inside and not covered[n])
+    gone = {n for n in nodes[1:] if n.named and not marked[n] and (2 * chars[n] <= chars[root] or article > 0 and article >= share * chars[n])}
+    for parent in {n.parent for n in gone}:
+        parent.children = [c for c in parent.children if c not in gone]
+        parent.parts = [p if p not in gone else Node("hr", parent) if p.tag in BLOCK else "" for p in parent.parts]
+
+
 def main_node(root: Node, share: float = 0.1) -> tuple[Node, float]:
     """The node with the largest sum and the threshold of its path.
 
@@ -224,6 +254,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
 
 def main_text(page: str | None) -> str:
     root = parse(page or "")
+    without_named(root)
     node, threshold = main_node(root)
     return "\n\n".join(blocks(node, threshold))
 

@@ -57,3 +57,20 @@ def test_extract(frame):
     out = H.extract(frame(rows, PAGES, ("text", "n_chars"))).collect()
     assert sorted((tuple(r) for r in out), key=str) == sorted([(1, "u", "é", 1), (None, None, "", 0), (2, "v", "", 0), (2, "v", "", 0)], key=str)
     assert H.extract(frame([], PAGES)).collect() == []
+
+
+SAY = " ".join(["word"] * 40)
+PARTS = "".join(f"<p>{SAY} {k}</p>" for k in range(10))
+TEXT = "\n\n".join(f"{SAY} {k}" for k in range(10))
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout has-sidebar", "no-sidebar", "sidebar", "search", "advertising-and-society"])
+def test_wrappers_of_the_text_stay(name):
+    assert H.main_text(f"<div class='{name}'><article>{PARTS}</article></div>") == TEXT
+    assert H.main_text(f"<div class='{name}'><div>{PARTS}</div></div><div class=sidebar>x</div>") == TEXT
+    assert H.main_text(f"<form id='{name}'><div>{PARTS}</div></form>") == TEXT
+
+
+def test_ids_from_titles_stay():
+    page = "<article><h2 id=search>Search</h2><p>a b</p><section id=related><h2>Related</h2><p>c d</p></section><div class=related><p>no</p></div></article>"
+    assert H.main_text(page) == "Search\n\na b\n\nRelated\n\nc d"
