@@ -3,8 +3,9 @@
 A page becomes a small tree. Every node has the characters and tags below it, and those of links; its
 composite density is characters per tag, weighed down by the share of link text against the page's.
 The node whose children's densities sum highest roots the main text; the smallest density on its path
-to the body is the threshold under which link-heavy parts inside it are dropped. If the root lies in an
-``article`` or ``main``, or holds just one, that whole element is taken.
+to the body is the threshold. Every block of the page that reaches it is kept, beside that node too.
+Below it, link-heavy blocks go, and bare text outside that node that is no heading, paragraph, list or
+table. ``article`` and ``main`` only decide between equal sums.
 
 Before that, hidden elements go, and elements that are no article text by their meaning: scripts, styles,
 forms, menus, footers, asides, page headers, and elements of which a whole class name, id or role is
@@ -43,6 +44,8 @@ UNWANTED = re.compile(r"""ads?|advert(?:s|isements?)?|adsense|sponsor(?:s|ed)?|p
  |sidebar|side-bar|comments?|comment-list|disqus|disqus_thread|respond|replies|menu|navbar|navigation|nav|breadcrumbs?|share|share-buttons|sharing|social|related|related-posts
  |recommended|newsletter|subscribe|signup|popup|modal|overlay|footer|site-footer|masthead|site-header|page-header|pagination|pager|toolbar|widget|skip-link|complementary
  |contentinfo|search""", re.X | re.I)
+#: Blocks of running text.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dd dt td th figcaption caption article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:["'][^>]*+)?+)>?""", re.S)
@@ -203,30 +206,32 @@ def without_named(root: Node, share: float = 0.1) -> None:
         parent.parts = [p if p not in gone else Node("hr", parent) if p.tag in BLOCK else "" for p in parent.parts]
 
 
-def main_node(root: Node, share: float = 0.1) -> tuple[Node, float]:
-    """The node with the largest sum and the threshold of its path.
-
-    It is widened to the article or main element around it, or narrowed to the only one inside it
-    that holds at least ``share`` of its text.
-    """
-    best = max(measure(root), key=lambda n: n.sum)
-    threshold, node, wide = best.density, best, best
+def main_node(root: Node) -> tuple[Node, float]:
+    """The node with the largest sum (among equals one in an article or main) and the smallest density on its path to the body."""
+    best = max(measure(root), key=lambda n: (n.sum, n.inside))
+    threshold, node = best.density, best
     while node is not None:
         threshold = min(threshold, node.density)
-        if node.tag in ("article", "main"):
-            wide = node
         node = node.parent
-    if not wide.inside:
-        marked = [n for n in in_order(wide) if n.inside and not n.parent.inside and n.chars]
-        if len(marked) == 1 and marked[0].chars >= share * wide.chars:
-            return marked[0], threshold
-    return wide, threshold
+    return best, threshold
+
 
+def blocks(root: Node, best: Node, threshold: float) -> list[str]:
+    """Texts of the kept blocks in page order.
 
-def blocks(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks below a node in page order."""
+    A block whose density reaches the threshold is kept. Below it a block goes if more than half of it
+    are links, or if it stands outside ``best`` and holds no heading, paragraph, list or table.
+    """
     out: list[str] = []
     line: list[str] = []
+    prose, path = set(), set()
+    for x in reversed(in_order(root)):
+        if x in prose or x.tag in PROSE:
+            prose |= {x, x.parent}
+    node = best
+    while node is not None:
+        path.add(node)
+        node = node.parent
 
     def close() -> None:
         words = "".join(line).split()
@@ -234,20 +239,22 @@ def blocks(node: Node, threshold: float) -> list[str]:
             out.append(" ".join(words))
         line.clear()
 
-    todo: list = [node]
+    todo: list = [(root, best is root)]
     while todo:
-        x = todo.pop()
+        x, within = todo.pop()
         if x is None:
             close()
         elif isinstance(x, str):
             line.append(x)
         else:
-            linked = x is not node and x.tag in BLOCK and x.tag != "p" and x.density < threshold and x.link_chars > 0.5 * x.chars
+            within = within or x is best or x.tag in PROSE
+            low = x not in path and x.tag in BLOCK and x.density < threshold
+            gone = low and (x.tag not in ("p", *HEADINGS) and x.link_chars > 0.5 * x.chars or not within and x not in prose)
             if x.tag in BLOCK:
                 close()
-                todo.append(None)
-            if not linked:
-                todo.extend(reversed(x.parts))
+                todo.append((None, within))
+            if not gone:
+                todo.extend((p, within) for p in reversed(x.parts))
     close()
     return out
 
@@ -255,8 +262,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
 def main_text(page: str | None) -> str:
     root = parse(page or "")
     without_named(root)
-    node, threshold = main_node(root)
-    return "\n\n".join(blocks(node, threshold))
+    return "\n\n".join(blocks(root, *main_node(root)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

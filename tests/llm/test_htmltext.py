@@ -74,3 +74,19 @@ def test_wrappers_of_the_text_stay(name):
 def test_ids_from_titles_stay():
     page = "<article><h2 id=search>Search</h2><p>a b</p><section id=related><h2>Related</h2><p>c d</p></section><div class=related><p>no</p></div></article>"
     assert H.main_text(page) == "Search\n\na b\n\nRelated\n\nc d"
+
+
+def test_sibling_containers_without_semantic_names():
+    links = "<ul>" + "".join(f"<li><a href={k}>link number {k}</a></li>" for k in range(12)) + "</ul>"
+    short = "".join(f"<p>{SAY[:89]} {k}</p>" for k in range(6))
+    for second, text in ((PARTS, TEXT), (short, "\n\n".join(f"{SAY[:89]} {k}" for k in range(6)))):
+        page = f"<div><h1>The title</h1></div>{links}<div>{PARTS}</div><div>{second}</div><div><a href=a>one</a> <a href=b>two</a></div>"
+        assert H.main_text(page) == f"The title\n\n{TEXT}\n\n{text}"
+
+
+def test_text_beside_an_article_stays():
+    assert H.main_text(f"<div>{PARTS}</div><article><p>a teaser of some words</p></article>") == TEXT + "\n\na teaser of some words"
+
+
+def test_text_in_cells_beside_the_densest_part_stays():
+    assert H.main_text(f"<div>{PARTS}</div><table><tr><td><div>a cell</div></td></tr></table><div>bare words</div>") == TEXT + "\n\na cell"
