@@ -10,8 +10,9 @@ the current estimates (one row per group) to the vectors, counts rows and moment
 distance bin with map-side combining, and takes the nearest bins that hold at least the ``core`` share
 of the group. A group with any share of the rows is therefore never gathered; what meets in one task
 is at most one row per distance bin. Two starts (median and MAD; mean and covariance) compete by
-determinant. Spreads have a floor (``FLOORS``, the resolution of a statistic), so that a statistic that
-is constant in a group can't reject by a hair. Groups of fewer than ``least`` rows use the estimate of their
+determinant. Spreads are at least ``FLOORS`` (the resolution of a statistic) in every direction, so that a
+statistic that is constant in a group can't reject by a hair. The core is half of a group, so other
+texts may be up to half of it before they shape the estimate. Groups of fewer than ``least`` rows use the estimate of their
 language, and below that of all documents.
 
 Defined cases: null and empty texts have no words and fail the plain rules; null languages and
@@ -36,7 +37,7 @@ from lonja.llm.textstats import rule_counts
 #: log mean word length, log1p symbols per word, share of repeated lines (about, per word), share of repeated words
 AXES = ("x0", "x1", "x2", "x3")
 #: Smallest spread of each axis.
-FLOORS = (0.03, 0.03, 0.05, 0.1)
+FLOORS = (0.03, 0.03, 0.05, 0.05)
 PAIRS = tuple(combinations_with_replacement(range(len(AXES)), 2))
 STATE = "grp string, start string, n long, logdet double, " + ", ".join([f"m{i} double" for i in range(4)] + [f"p{i}{j} double" for i, j in PAIRS])
 
@@ -113,8 +114,9 @@ def _estimate(grp: str, start: str, n: int, rows: pd.DataFrame, factor: float) -
 
 
 def _state(grp: str, start: str, n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
-    value, vector = np.linalg.eigh((cov + cov.T) / 2)
-    cov = (vector * np.maximum(value, 0)) @ vector.T + np.diag(np.square(FLOORS))
+    floors = np.array(FLOORS)
+    value, vector = np.linalg.eigh((cov + cov.T) / 2 / np.outer(floors, floors))  # in units of the floors
+    cov = (vector * np.maximum(value, 1)) @ vector.T * np.outer(floors, floors)
     inverse = np.linalg.inv(cov)
     return {"grp": grp, "start": start, "n": n, "logdet": float(np.linalg.slogdet(cov)[1])} | {f"m{i}": float(mean[i]) for i in range(4)} | {
         f"p{i}{j}": float(inverse[i, j]) * (1 if i == j else 2) for i, j in PAIRS}
@@ -197,7 +199,7 @@ def mcd(points: DataFrame, core: float = 0.75, steps: int = 40, tolerance: float
     return best.select("grp", *[F.col(f"b.{c}").alias(c) for c in names if c != "grp"])
 
 
-def robust_outliers(docs: DataFrame, core: float = 0.75, alpha: float = 1e-6, least: int = 200) -> DataFrame:
+def robust_outliers(docs: DataFrame, core: float = 0.5, alpha: float = 1e-3, least: int = 200) -> DataFrame:
     """Per document the counts, base_failed, kept, and the distance and group that decided."""
     rows = written(vectors(base_rules(docs)), "vectors")
     good = rows.filter(~F.col("base_failed"))

@@ -91,3 +91,23 @@ def test_robust_outliers(frame, rows):
 
 def test_empty_table(frame):
     assert O.robust_outliers(frame([], DOCS)).collect() == []
+
+
+def repeating(rng, share):
+    """About 150 words, of which ``share`` lie in one phrase said again and again, the others random."""
+    words = text(rng, 13).split()[:150]
+    k = int(150 * share) // 3
+    return " ".join(["one two three"] * k + words[3 * k:])
+
+
+def test_repeats_and_a_block_of_junk_are_rejected(frame):
+    rng = random.Random(11)
+    clean = [(k, text(rng, rng.randint(8, 30)), "en", "s") for k in range(600)]
+    repeats = [(1000 + k, repeating(rng, 0.45), "en", "s") for k in range(20)]
+    block = [(2000 + k, text(rng, rng.randint(8, 30)), "de", "s") for k in range(400)] + [(3000 + k, text(rng, 12, True), "de", "s") for k in range(200)]
+    out = O.robust_outliers(frame(clean + repeats + block, DOCS)).collect()
+    assert not any(r.base_failed for r in out)
+    kept = {r.doc_id: r.kept for r in out}
+    assert not any(kept[d] for d in kept if 1000 <= d < 2000) and not any(kept[d] for d in kept if d >= 3000)
+    good = [d for d in kept if d < 1000 or 2000 <= d < 3000]
+    assert sum(kept[d] for d in good) >= 0.99 * len(good)
