@@ -1,9 +1,10 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 Documents are sets of hashed word shingles. Documents with equal sets form one node from the start, so
-copies cost nothing further. Each of ``trees`` prefix tries holds a MinHash label per node; labels are
-``depth`` values deep, and the matched prefix is shortened until a pair exactly at the threshold
-shares it in some tree with at least the target probability. Nodes below the same trie node are
+copies cost nothing further. Each of ``trees`` trees has a MinHash label per node. The depth of the label
+is fixed before any data is seen: the longest up to ``depth`` at which a pair exactly at the threshold
+shares it in some tree with at least the target probability. This equals banding (``trees`` bands of so
+many rows); no trie is kept and no prefix is shortened from the data. Nodes with an equal label are
 candidates; they are linked to the smallest of them, and the components of these links are the units
 of verification, so every candidate pair lies inside one unit.
 
