@@ -6,9 +6,10 @@ logistic loss. Negative labels are never used. The class prior pi is estimated f
 samples: networks that never saw a row tell how positive it looks, and pi is the smallest ratio of
 the unlabelled to the positive share above a score (chosen with a bound for the sampling error).
 
-The training sample is bounded: about ``sample`` documents of the training fold, chosen by hash of
-their id; their vectors (a few numbers each) are all that reaches the driver. Scoring is one pass over
-all whole texts without a shuffle.
+The training sample is bounded: at most ``sample`` rows of the training fold, chosen by hash of id and
+text, equal rows in proportion to their number; their vectors (a few numbers each) are all that reaches
+the driver. Before, (id, text hash, count) are shuffled once. Scoring is one pass over all whole texts
+without a shuffle.
 
 The vector has statistics of the text alone; labels, lang, source and doc_id are no inputs.
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lonja.llm.common import written
 from lonja.llm.textstats import VECTOR, quality_vector
 
 
@@ -126,22 +128,40 @@ def held_out(doc_id: Column) -> Column:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = pa.array([quality_vector(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), x], ["doc_id", "x"])
+        names = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [x], names + ["x"])
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """doc_id, h, n, x: about ``sample`` rows of the training fold, of which ``n`` are equal; at most ``sample`` different ones.
+
+    Rows of one doc_id and text are counted first; of ``c`` such rows ``c`` times the share are taken, the
+    fraction rounded up or down by their hash ``h``.
+    """
+    fold = _plain(docs).filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", "text"))
+    same = written(fold.groupBy("doc_id", "h").agg(F.count("*").alias("c")), "counts")
+    share = min(1.0, sample / max(same.agg(F.sum("c")).first()[0] or 0, 1))
+    draw = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    drawn = same.withColumn("n", F.floor(F.col("c") * share + draw).cast("long")).filter("n > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n")
+    drawn = F.broadcast(drawn.orderBy("g", "d").limit(sample))
+    wanted = fold.join(drawn, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "text", "h", "n")
+    found = wanted.mapInArrow(_vectors, "doc_id long, h long, n long, x array<double>")
+    return found.groupBy("doc_id", "h", "n").agg(F.min("x").alias("x"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000) -> tuple[Network | None, float]:
-    """The network and the class prior, from about ``sample`` documents outside the held-out fold."""
-    fold = _plain(docs).filter(~held_out(F.col("doc_id")))
-    share = min(1.0, sample / max(fold.count(), 1))
-    chosen = fold.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    """The network and the class prior, from at most ``sample`` documents outside the held-out fold."""
     trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id", F.lit(True).alias("trusted"))
-    rows = chosen.mapInArrow(_vectors, "doc_id long, x array<double>").join(trusted, "doc_id", "left").orderBy("doc_id", "x").toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(VECTOR))
-    positive = np.array([bool(t) for t in rows.column("trusted").to_pylist()], bool)
+    rows = sampled(docs, sample).join(trusted, "doc_id", "left").orderBy("doc_id", "x").toArrow()
+    n, h = np.array(rows.column("n").to_pylist(), np.int64), np.array(rows.column("h").to_pylist(), np.int64)
+    order = np.argsort(h, kind="stable")
+    n[order] = np.diff(np.minimum(np.cumsum(n[order]), sample), prepend=0)  # what is over the bound goes, last by hash
+    x = np.repeat(np.array(rows.column("x").to_pylist(), float).reshape(-1, len(VECTOR)), n, axis=0)
+    positive = np.repeat(np.array([bool(t) for t in rows.column("trusted").to_pylist()], bool), n)
     if not positive.any():
         return None, 0.5
     apart = scouted(x, positive)

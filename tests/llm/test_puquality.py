@@ -76,3 +76,15 @@ def test_labels_of_the_held_out_fold_do_not_matter(frame):
 def test_empty_tables(frame):
     assert Q.score(frame([], DOCS), frame([], LABELS)).collect() == []
     assert [r.score for r in Q.score(frame([(1, "a b", "x")], DOCS), frame([], LABELS)).collect()] == [0.5]
+
+
+def test_sample_is_bounded_on_hot_keys(frame, monkeypatch):
+    rows, labels, _ = corpus(600)
+    hot = [(None, f"text number {k} of no id", "en") for k in range(600)] + [(None, "the same text", "en")] * 600 + [(3, f"other text {k}", "en") for k in range(600)]
+    seen = []
+    monkeypatch.setattr(Q, "scouted", lambda x, positive: seen.append((x, positive)) or x[:, 0])
+    Q.train(frame(rows + hot, DOCS), frame(labels, LABELS), sample=200)
+    x, positive = seen[0]
+    same = np.isclose(x, Q.quality_vector("the same text")).all(axis=1).sum()
+    fold = sum(zlib.crc32(str(d).encode() if d is not None else b"") % 3 != 1 for d, *_ in rows + hot)
+    assert 150 < len(x) <= 200 and positive.any() and abs(same - 600 / fold * 200) <= 2  # equal rows keep their share
