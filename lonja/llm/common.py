@@ -32,3 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def doc_key(doc_id: Column, text: Column) -> Column:
     """The doc_id; rows without one get a negative number made from their text."""
     return F.coalesce(doc_id.cast("long"), -F.abs(F.xxhash64(text)) - F.lit(1))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, heavy: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row per ``keys`` and the number of its rows in ``size``.
+
+    Groups with more than one ``heavy``-th of all rows (fewer than ``heavy`` of them, whatever the table) are broadcast;
+    the rows of the others are joined by a shuffle in which no key weighs much.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    big = F.broadcast(groups.filter(F.col(size) * heavy > total))
+    return rows.join(big, keys).unionByName(rows.join(big, keys, "left_anti").join(groups.filter(F.col(size) * heavy <= total), keys))

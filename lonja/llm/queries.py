@@ -148,3 +148,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = link_quotes(as_mail(table(spark, sf_dir, "conversations")))
     return found.select(*[c for c in found.columns if c != "own"], F.length("own").cast("long").alias("own_chars"), F.sha2("own", 256).alias("own_sha256"))
+
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
+g AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS k, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY k) AS keep_id, group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+
+@query("op11_exact_dedup", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.exactdedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
