@@ -162,3 +162,29 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.exactdedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+OP13 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, {'r': role, 't': text} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM c),
+b AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, flatten(list_transform(list_transform(range(1, strlen(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS INT), 1))),
+             lambda a: [CAST(a AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS bits FROM c),
+h AS (SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295, bits), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h FROM b),
+s AS (SELECT h.conv_id, 0 AS own, pos, x FROM h JOIN o ON o.conv_id = h.base AND pos <= h UNION ALL SELECT h.conv_id, 1, pos, x FROM h JOIN o ON o.conv_id = h.conv_id AND pos > h),
+p AS (SELECT h.conv_id, coalesce(list(x ORDER BY own, pos) FILTER (x IS NOT NULL), []) AS path FROM h LEFT JOIN s ON s.conv_id = h.conv_id GROUP BY h.conv_id),
+m AS (SELECT conv_id, d, list_slice(path, 1, d) AS pre, len(path) = d AS ends FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM p)),
+n AS (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+             CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(pre[d].t) END AS own FROM m GROUP BY d, pre),
+k AS (SELECT d - 1 AS d, list_slice(pre, 1, d - 1) AS pre, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, pre)),
+t AS (SELECT a AS d, list_slice(pre, 1, a) AS pre, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN t USING (d, pre) LEFT JOIN n up ON up.d = f.d - 1 AND up.pre = list_slice(f.pre, 1, f.d - 1)
+"""
+
+
+@query("op13_conversation_trie", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.convtrie import placed, prefix_trie, with_shared_heads
+
+    return prefix_trie(*with_shared_heads(*placed(table(spark, sf_dir, "conversations"))))
