@@ -188,3 +188,24 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lonja.llm.convtrie import placed, prefix_trie, with_shared_heads
 
     return prefix_trie(*with_shared_heads(*placed(table(spark, sf_dir, "conversations"))))
+
+
+OP12 = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, br) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.br ORDER BY s.score DESC, s.vec_id, s.br) AS rank, s.vec_id AS negative_id,
+       p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lonja.llm.covertree import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
