@@ -70,9 +70,15 @@ class Best:
         return ((high[:, None] >= self.need) & (low[:, None] <= self.hi)).any(1)
 
     def add(self, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        keep = np.flatnonzero((score >= self.need.min()) & (score <= self.hi.max()))
+        if not len(keep):
+            return
+        score, ids, rows = score[keep], ids[keep], rows[keep]
         for w in range(len(self.lo)):
-            keep = (score >= self.need[w]) & (score <= self.hi[w])
-            if keep.any():
+            keep = np.flatnonzero((score >= self.need[w]) & (score <= self.hi[w]))
+            if len(keep) > 4 * self.k:
+                keep = keep[score[keep] >= np.partition(score[keep], -self.k)[-self.k]]
+            if len(keep):
                 s, i, r = (np.concatenate([a, b[keep]]) for a, b in zip(self.found[w], (score, ids, rows)))
                 best = np.lexsort((r, i, -s))[:self.k]
                 self.found[w] = s[best], i[best], r[best]
@@ -110,10 +116,10 @@ class CoverTree:
                     closer = d < near
                     near[closer], who[closer], n = d[closer], n, n + 1
                 sizes = np.bincount(who, minlength=n)
-                alone = members[sizes[who] == 1]
+                alone = members[sizes[who] < max(leaf // 4, 2)]  # groups too small for a node of their own
                 by = np.argsort(who, kind="stable")
                 ends = np.cumsum(sizes)
-                for g in np.flatnonzero(sizes > 1):
+                for g in np.flatnonzero(sizes >= max(leaf // 4, 2)):
                     inside = by[ends[g] - sizes[g]:ends[g]]
                     queue.append((members[inside], centres[g], near[inside]))
             order.extend(alone.tolist())
