@@ -7,10 +7,10 @@ calendar, so it is broadcast only after its size has been checked.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lonja.functions.stats import clip, safe_div
-from lonja.operators.forecast import _assemble
 from lonja.scale import calendar_side, exact_quantiles, quantile_of, row_order
 from lonja.session import cut_lineage, side_by_side
 
@@ -244,7 +244,8 @@ def dml(d: DataFrame, folds: int = 5, iters: int = 40, depth: int = 6) -> DataFr
 
     from pyspark.ml.regression import GBTRegressor
 
-    d = _assemble(d.withColumn("fold", F.pmod(F.xxhash64("codigo"), F.lit(folds)).cast("int")), DML_X).persist()
+    folded = d.withColumn("fold", F.pmod(F.xxhash64("codigo"), F.lit(folds)).cast("int"))
+    d = VectorAssembler(inputCols=DML_X, outputCol="x").transform(folded).persist()
     tasks = [(f, c) for f in range(folds) for c in ("Y", "D")]
     fit = lambda f, c: GBTRegressor(featuresCol="x", labelCol=c, maxIter=iters, maxDepth=depth, stepSize=0.1, seed=7).fit(d.where(F.col("fold") != f))
     models = dict(zip(tasks, side_by_side([partial(fit, f, c) for f, c in tasks])))

@@ -1,27 +1,25 @@
 """Base-demand forecasting on the dense panel.
 
-Training uses Spark ML on rows of (product, cut); the only driver loop is over a handful of
-cuts, each iteration being a distributed fit.
+Training uses boosted trees on rows of (product, cut); models of several cuts are prefixes of the same rows in time
+and grow together in the same jobs.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lonja.functions.stats import clip, safe_div
+from lonja.operators.boosting import Booster, Spec, boost
 from lonja.operators.metrics import TERCILES, qcut, scale_of, wape
-from lonja.scale import calendar_side, exact_quantiles
-from lonja.session import side_by_side
+from lonja.scale import calendar_side, exact_quantiles, row_order
 
 # Fixed values.
 FEATURES = ["ult", "media4", "media8", "media12", "std4", "tendencia", "sem_activas", "log_precio",
             "cambio_precio_4s", "mes", "sem_anio"]
 H = 3
+RATE = 0.3  # shrinkage of boosted trees
 
 
 def _w():
@@ -154,32 +152,46 @@ def training_rows(dense: DataFrame, cut: Column, h: int = H, start: int = 16, st
              .drop("_cut").withColumn("ratio", clip(F.col("y") / F.greatest("media4", F.lit(0.5)), 0, 5)))
 
 
-def _assemble(df: DataFrame, cols: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="x").transform(df)
+def fit_residual_gbm(train: DataFrame, cols: list[str] = FEATURES, label: str = "ratio", iters: int = 20, depth: int = 5) -> Booster:
+    """Boosted correction factor on the 4-week mean (squared loss)."""
+    return boost(train, cols, label, [Spec()], iters, depth, RATE)
 
 
-def fit_residual_gbm(train: DataFrame, cols: list[str] = FEATURES, label: str = "ratio", iters: int = 60, depth: int = 6):
-    """Boosted correction factor on the 4-week mean (squared loss)."""
-    gbt = GBTRegressor(featuresCol="x", labelCol=label, maxIter=iters, maxDepth=depth, stepSize=0.1, seed=7, maxBins=64)
-    return gbt.fit(_assemble(train.where(F.col(label).isNotNull()), cols))
+def predict_residual(model: Booster, feats: DataFrame, base: str = "media4", out: str = "pred", k: int = 0) -> DataFrame:
+    """The correction of model ``k`` times the base level."""
+    return feats.withColumn(out, F.greatest(F.col(base), F.lit(0.0)) * clip(model.column()[k], 0, 5))
 
 
-def predict_residual(model, feats: DataFrame, base: str = "media4", cols: list[str] = FEATURES, out: str = "pred") -> DataFrame:
-    p = model.transform(_assemble(feats, cols))
-    return p.withColumn(out, F.greatest(F.col(base), F.lit(0.0)) * clip("prediction", 0, 5)).drop("x", "prediction")
+def rows_at_cuts(dense: DataFrame, cuts: list[int], h: int = H) -> DataFrame:
+    """Training rows with a bit mask ``m``: bit k admits the rows whose targets end before the hold-out of cut k."""
+    bits = [F.when(F.col("t") < c - h, 1 << k).otherwise(0) for k, c in enumerate(cuts)]
+    return training_rows(dense, F.lit(max(cuts)), h).withColumn("m", reduce(lambda a, b: a + b, bits))
 
 
-def _eval_at(dense: DataFrame, cut: int, iters: int, depth: int, h: int) -> DataFrame:
-    m = fit_residual_gbm(training_rows(dense, F.lit(cut), h), iters=iters, depth=depth)
-    p = predict_residual(m, weekly_features(dense).where(F.col("t") == cut))
-    return (p.select("codigo", F.col("pred").alias("gbm"), F.col("media4").alias("media_4s"))
-             .join(actual_after(dense, F.lit(cut), h), "codigo").withColumn("corte", F.lit(cut)))
+def origin_forecasts(dense: DataFrame, cuts: list[int], h: int = H, iters: int = 20, depth: int = 5) -> DataFrame:
+    """codigo, corte, gbm, media_4s at every cut; all models grow in one pass over the rows of the latest cut."""
+    m = boost(rows_at_cuts(dense, cuts, h).where("ratio is not null"), FEATURES, "ratio", [Spec() for _ in cuts], iters, depth, RATE, member="m")
+    f = weekly_features(dense).where(F.col("t").isin(cuts)).withColumn("_all", m.column())
+    at = F.create_map(*[F.lit(v) for k, c in enumerate(cuts) for v in (c, k)])[F.col("t")]
+    return f.select("codigo", F.col("t").alias("corte"), (F.greatest("media4", F.lit(0.0)) * clip(F.get("_all", at), 0, 5)).alias("gbm"), F.col("media4").alias("media_4s"))
 
 
-def rolling_origin(dense: DataFrame, n: int = 4, step: int = 3, h: int = H, iters: int = 60, depth: int = 6) -> DataFrame:
-    """Retrained without leak at each of ``n`` origins; one row per product and origin."""
+def origins(dense: DataFrame, n: int = 4, step: int = 3, h: int = H) -> list[int]:
+    """The last week, then ``n`` earlier origins whose targets are known."""
     last = dense.agg(F.max("t")).first()[0]
-    return reduce(DataFrame.unionByName, side_by_side([partial(_eval_at, dense, last - h - k * step, iters, depth, h) for k in range(n)]))
+    return [last] + [last - h - k * step for k in range(n)]
+
+
+def with_actuals(forecasts: DataFrame, dense: DataFrame, h: int = H) -> DataFrame:
+    """Forecasts at origins beside the mean of the ``h`` weeks after each; origins without later weeks fall away."""
+    cuts = sorted(r[0] for r in forecasts.select("corte").distinct().collect())  # a handful
+    real = reduce(DataFrame.unionByName, [actual_after(dense, F.lit(c), h).withColumn("corte", F.lit(c)) for c in cuts])
+    return forecasts.join(real, ["codigo", "corte"])
+
+
+def rolling_origin(dense: DataFrame, n: int = 4, step: int = 3, h: int = H, iters: int = 20, depth: int = 5) -> DataFrame:
+    """Retrained without leak at each of ``n`` origins; one row per product and origin."""
+    return with_actuals(origin_forecasts(dense, origins(dense, n, step, h)[1:], h, iters, depth), dense, h)
 
 
 def robustness(ev: DataFrame) -> DataFrame:
@@ -203,11 +215,10 @@ def class_duel(ev: DataFrame, dense: DataFrame, classes: DataFrame, wins: int =
         "usa_sba", F.col("gana_sba") >= wins)
 
 
-def u0(dense: DataFrame, classes: DataFrame, duel: DataFrame, iters: int = 60, depth: int = 6) -> DataFrame:
-    """Official weekly base demand: final GBM, SBA where its class won the duel."""
-    last = dense.agg(F.max("t")).first()[0]
-    m = fit_residual_gbm(training_rows(dense, F.lit(last)), iters=iters, depth=depth)
-    g = predict_residual(m, weekly_features(dense).where(F.col("t") == last)).select("codigo", F.col("pred").alias("gbm"))
+def u0(dense: DataFrame, classes: DataFrame, duel: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Official weekly base demand: the boosted forecast at the last week, SBA where its class won the duel."""
+    last = dense.agg(F.max("t")).scalar()
+    g = forecasts.where(F.col("corte") == last).select("codigo", "gbm")
     s = series(dense, observed=False).select("codigo", sba("y").alias("sba"))
     d = g.join(s, "codigo", "left").join(classes.select("codigo", "clase"), "codigo", "left").join(duel.select("clase", "usa_sba"), "clase", "left")
     use = F.coalesce("usa_sba", F.lit(False))
@@ -216,22 +227,57 @@ def u0(dense: DataFrame, classes: DataFrame, duel: DataFrame, iters: int = 60, d
                     F.when(use, "sba").otherwise("gbm_residual").alias("metodo"))
 
 
-def quantile_band(dense: DataFrame, base: DataFrame, classes: tuple[str, ...] = ("suave", "grumosa (lumpy)"),
-                  lo: float = 0.10, hi: float = 0.90, depth: int = 6) -> DataFrame:
-    """Conditional band: exact target quantiles in the leaves of a regression tree, ordered around u0.
+# Fixed values.
+BAND = (0.10, 0.90)
+BAND_CLASSES = ("suave", "grumosa (lumpy)")
 
-    Spark's boosted trees have no quantile loss; leaf quantiles are the quantile-forest estimate.
-    """
+
+def conditional_bands(dense: DataFrame, cuts: list[int], band: tuple[float, float] = BAND, h: int = H, iters: int = 20, depth: int = 4) -> DataFrame:
+    """codigo, corte, lo, hi: pinball-boosted quantiles of demand after every cut, both ends and all cuts grown in one pass."""
+    rows = rows_at_cuts(dense, cuts, h).where("y is not null")
+    both = sum((F.shiftright("m", k).bitwiseAND(1) * (3 << 2 * k) for k in range(len(cuts))), F.lit(0).cast("long"))
+    m = boost(rows.withColumn("m", both), FEATURES, "y", [Spec("pinball", a) for _ in cuts for a in band], iters, depth, RATE, member="m")
+    f = weekly_features(dense).where(F.col("t").isin(cuts)).withColumn("_all", m.column())
+    at = F.create_map(*[F.lit(v) for k, c in enumerate(cuts) for v in (c, 2 * k)])[F.col("t")]
+    lo = F.greatest(F.get("_all", at), F.lit(0.0))
+    return f.select("codigo", F.col("t").alias("corte"), lo.alias("lo"), F.greatest(F.get("_all", at + 1), lo).alias("hi"))
+
+
+def quantile_band(dense: DataFrame, base: DataFrame, classes: tuple[str, ...] = BAND_CLASSES, band: tuple[float, float] = BAND, iters: int = 20, depth: int = 4) -> DataFrame:
+    """Conditional band in the chosen classes, ordered around u0."""
     last = dense.agg(F.max("t")).first()[0]
-    tree = DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=depth, leafCol="hoja", minInstancesPerNode=20, seed=7, maxBins=64)
-    train = _assemble(training_rows(dense, F.lit(last)).where("y is not null"), FEATURES)
-    m = tree.fit(train)
-    q = exact_quantiles(m.transform(train).select("hoja", "y"), ["hoja"], "y", {"q_lo": lo, "q_hi": hi})
-    now = m.transform(_assemble(weekly_features(dense).where(F.col("t") == last), FEATURES)).select("codigo", "hoja")
-    d = base.join(now, "codigo").join(q, "hoja", "left")
+    return band_around(base, conditional_bands(dense, [last], band, iters=iters, depth=depth), classes)
+
+
+def band_around(base: DataFrame, bands: DataFrame, classes: tuple[str, ...] = BAND_CLASSES) -> DataFrame:
+    """Band (codigo, lo, hi) of the chosen classes, widened where it doesn't hold u0."""
     on = F.col("clase").isin(*classes)
-    return d.select("codigo", "clase", "u0", "metodo", F.when(on, F.least(F.greatest("q_lo", F.lit(0.0)), F.col("u0"))).alias("u_p10"),
-                    F.when(on, F.greatest(F.greatest("q_hi", F.lit(0.0)), F.col("u0"))).alias("u_p90"))
+    return base.join(bands.select("codigo", "lo", "hi"), "codigo").select(
+        "codigo", "clase", "u0", "metodo", F.when(on, F.least("lo", "u0")).alias("u_p10"), F.when(on, F.greatest("hi", "u0")).alias("u_p90"))
+
+
+def band_exam(ev: DataFrame, target: float = 0.80) -> DataFrame:
+    """Coverage and median width of two rival bands per class; the conditional one wins where its coverage is nearer ``target``.
+
+    ``ev``: clase, real, lo_q, hi_q (conditional), lo_t, hi_t (tercile).
+    """
+    def side(x: str) -> list[Column]:
+        inside = (F.col("real") >= F.col(f"lo_{x}")) & (F.col("real") <= F.col(f"hi_{x}"))
+        return [F.struct(F.lit(x).alias("banda"), inside.cast("double").alias("dentro"), (F.col(f"hi_{x}") - F.col(f"lo_{x}")).alias("ancho"))]
+
+    long = ev.select("clase", F.explode(F.array(*side("q"), *side("t"))).alias("b")).select("clase", "b.*")
+    cover = long.groupBy("clase", "banda").agg(F.avg("dentro").alias("cobertura"), F.count("*").alias("n"))
+    both = cover.join(exact_quantiles(long, ["clase", "banda"], "ancho", {"ancho": 0.5}), ["clase", "banda"])
+    wide = both.groupBy("clase").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("banda") == x, F.col(c))).alias(f"{c}_{x}") for x in "qt" for c in ("cobertura", "ancho")])
+    return wide.withColumn("gana_cuantil", F.abs(F.col("cobertura_q") - target) < F.abs(F.col("cobertura_t") - target))
+
+
+def tercile_bands(points: DataFrame, factors: DataFrame) -> DataFrame:
+    """Bands from a point forecast (codigo, corte, pt) and the p10, p90 factors (tercil, p10, p90) of its volume tercile."""
+    ranked = row_order(points, ["corte"], "pt", "codigo", "_k", total="_n")
+    tercil = F.when(3 * F.col("_k") <= F.col("_n") + 2, "bajo").when(3 * F.col("_k") <= 2 * F.col("_n") + 1, "medio").otherwise("alto")
+    d = ranked.withColumn("tercil", tercil).join(F.broadcast(factors), "tercil", "left")  # three rows
+    return d.select("codigo", "corte", (F.col("pt") * F.coalesce("p10", F.lit(0.0))).alias("lo_t"), (F.col("pt") * F.coalesce("p90", F.lit(2.0))).alias("hi_t"))
 
 
 def hybrids(ev: DataFrame) -> DataFrame:
@@ -305,13 +351,13 @@ def seasonal_forecast(grid: DataFrame, stockout: DataFrame, horizon: int = 5, k:
     return out.select("codigo", "mes", "h", F.greatest(p, F.lit(0.0)).alias("pred"))
 
 
-def monthly_ensemble(grid: DataFrame, horizon: int = 5, iters: int = 50, depth: int = 6) -> DataFrame:
+def monthly_ensemble(grid: DataFrame, horizon: int = 5, iters: int = 20, depth: int = 5) -> DataFrame:
     """Half boosted factor on the base, half last month, for the next months (static state)."""
     m = fit_residual_gbm(monthly_features(grid), M_FEATURES, iters=iters, depth=depth)
     st = monthly_features(grid, ahead=True)
     st = st.where(F.col("k") == grid.agg(F.max("k")).scalar()).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     st = st.withColumn("mes", F.add_months("mes", F.col("h"))).withColumn("mes_cal", F.month("mes").cast("double"))
-    p = predict_residual(m, st, "base", M_FEATURES)
+    p = predict_residual(m, st, "base")
     return p.select("codigo", "mes", "h", F.greatest(0.5 * F.col("pred") + 0.5 * F.col("ingenuo"), F.lit(0.0)).alias("pred"))
 
 

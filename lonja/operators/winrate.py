@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lonja.functions.text import channel
+from lonja.operators.boosting import Booster, Spec, boost
 from lonja.operators.clean import rel_price
 
 
@@ -57,40 +58,42 @@ def negotiations_full(neg: DataFrame, sales: DataFrame, panel: DataFrame, tol: f
              .withColumn("log_cant", F.log1p(F.col("cantidad").cast("double"))).withColumn("log_lista", F.log1p("precio")).drop("_of"))
 
 
-def fit_bid_response(train: DataFrame, target: str = "ganada", weight: str | None = None, feats: list[str] = FEATS, iters: int = 60):
-    """Logistic win model whose price coefficient cannot be positive: never rising in price."""
+def fit_bid_response(train: DataFrame, target: str = "ganada", weight: str | None = None, feats: list[str] = FEATS, iters: int = 20, depth: int = 4) -> Booster:
+    """Boosted win model; the chance never rises in a relative price (``rel_*``)."""
+    falling = tuple(-1 if f.startswith("rel_") else 0 for f in feats)
+    return boost(train.withColumn("_y", F.col(target).cast("double")), feats, "_y", [Spec("logistic", monotone=falling)], iters, depth, 0.3, weight=weight)
+
+
+def predict_win(model: Booster, df: DataFrame, out: str = "p") -> DataFrame:
+    return model.predict(df, out)
+
+
+def fit_price_logistic(train: DataFrame, target: str = "ganada", iters: int = 60):
+    """The baseline: a logistic model of the relative price alone."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.linalg import DenseMatrix
-    n = len(feats)
-    bound = [0.0 if f.startswith("rel_") else float("inf") for f in feats]
-    lr = LogisticRegression(featuresCol="x", labelCol="_y", maxIter=iters, regParam=1e-4, upperBoundsOnCoefficients=DenseMatrix(1, n, bound))
-    if weight:
-        lr = lr.setWeightCol(weight)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="x"), lr])
-    return pipe.fit(train.withColumn("_y", F.col(target).cast("double")))
+    lr = LogisticRegression(featuresCol="x", labelCol="_y", maxIter=iters, regParam=1e-4)
+    return Pipeline(stages=[VectorAssembler(inputCols=["rel_precio"], outputCol="x"), lr]).fit(train.withColumn("_y", F.col(target).cast("double")))
 
 
-def predict_win(model, df: DataFrame, out: str = "p") -> DataFrame:
+def predict_logistic(model, df: DataFrame, out: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
-    p = model.transform(df).withColumn(out, vector_to_array("probability")[1])
-    return p.drop("x", "rawPrediction", "probability", "prediction")
+    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
 def compare_bid_models(df: DataFrame, split, target: str = "ganada", gain: float = 0.01) -> DataFrame:
-    """Out-of-time AUC and Brier of constant, price-only logistic and bounded model; adopted on ``gain``."""
+    """Out-of-time AUC and Brier of constant, price-only logistic and boosted model; adopted on ``gain``."""
+    from lonja.session import cut_lineage
     tr, te = df.where(F.col("fecha") < split).persist(), df.where(F.col("fecha") >= split).persist()
-    full, price = fit_bid_response(tr, target), fit_bid_response(tr, target, feats=["rel_precio"])
+    full, price = fit_bid_response(tr, target), fit_price_logistic(tr, target)
     base = tr.agg(F.avg(F.col(target).cast("double"))).scalar()
-    p = predict_win(price, predict_win(full, te, "p_modelo"), "p_precio").withColumn("p_const", base)
+    p = predict_logistic(price, predict_win(full, te, "p_modelo"), "p_precio").withColumn("p_const", base)
     p = p.select(F.col(target).cast("int").alias("y"), F.lit(1.0).alias("w"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("modelo"), F.col(f"p_{n}").alias("p")) for n in ("modelo", "precio", "const")])).alias("m")).select("y", "w", "m.*")
     r = score_binary(p, ["modelo"])
     ref = r.agg(F.max(F.when(F.col("modelo") == "precio", F.col("auc")))).scalar()
-    r = r.withColumn("entra", (F.col("modelo") == "modelo") & (F.col("auc") >= ref + gain))
-    from lonja.session import cut_lineage
-    r = cut_lineage(r)
+    r = cut_lineage(r.withColumn("entra", (F.col("modelo") == "modelo") & (F.col("auc") >= ref + gain)))
     tr.unpersist(), te.unpersist()
     return r
 
@@ -124,15 +127,20 @@ def calibration_deciles(df: DataFrame) -> DataFrame:
     return d.groupBy("decil").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("pred"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("real"), F.count("*").alias("n"))
 
 
-def win_vs_discount(model, df: DataFrame, context: Column | None = None, feats: list[str] = FEATS) -> DataFrame:
-    """P(win) along the price grid with every other column at its exact median of ``context`` rows."""
+def context_grid(df: DataFrame, context: Column | None = None, feats: list[str] = FEATS) -> DataFrame:
+    """The price grid with every other column at its exact median of ``context`` rows."""
     from lonja.scale import exact_quantiles
     d = df if context is None else df.where(context)
     rest = [f for f in feats if f != "rel_precio"]
     long = d.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in rest])).alias("x")).select("x.*")
     med = exact_quantiles(long, ["f"], "v", {"m": 0.5}).agg(*[F.max(F.when(F.col("f") == f, F.col("m"))).alias(f) for f in rest])
-    grid = med.withColumn("rel_precio", F.explode(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: 0.55 + i * 0.025)))
-    return predict_win(model, grid).select("rel_precio", (100 * (1 - F.col("rel_precio"))).alias("desc_pct"), F.col("p").alias("p_ganar"))
+    return med.withColumn("rel_precio", F.explode(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: 0.55 + i * 0.025)))
+
+
+def win_vs_discount(model: Booster, df: DataFrame, context: Column | None = None, feats: list[str] = FEATS) -> DataFrame:
+    """P(win) along the price grid at a fixed context."""
+    grid = predict_win(model, context_grid(df, context, feats))
+    return grid.select("rel_precio", (100 * (1 - F.col("rel_precio"))).alias("desc_pct"), F.col("p").alias("p_ganar"))
 
 
 def quotes_v1(lines: DataFrame, art: DataFrame, costs: DataFrame, clients: DataFrame, via_weight: dict[str, float] | None = None,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lonja.operators import forecast as C, panel as P
+from lonja.operators import forecast as C, metrics as M, panel as P
 from lonja.plans.metrics import pred_m4
 from lonja.plans.registry import define, query
 from lonja.sources.tables import read_ext_forecast
@@ -89,8 +89,12 @@ def _(t):
     return C.training_rows(t.densa, cut(t)).select("codigo", "t", "y", "ratio")
 
 
+def forecasts(t):
+    return t.keep("pronosticos", lambda: C.origin_forecasts(t.densa, C.origins(t.densa)))
+
+
 def rolled(t):
-    return t.keep("rodante", lambda: C.rolling_origin(t.densa))
+    return t.keep("rodante", lambda: C.with_actuals(forecasts(t), t.densa))
 
 
 @query("fc09_residual_gbm")
@@ -115,7 +119,7 @@ def _(t):
 
 
 def u0(t):
-    return t.keep("u0", lambda: C.u0(t.densa, P.classify_series(t.panel), duel(t)))
+    return t.keep("u0", lambda: C.u0(t.densa, P.classify_series(t.panel), duel(t), forecasts(t)))
 
 
 @query("fc12_u0")
@@ -132,6 +136,19 @@ def _(t):
     return u0_band(t)
 
 
+@query("fc13b_band_exam")
+def _(t):
+    """Two windows: the conditional band against the factors of volume terciles, per demand class."""
+    last = t.densa.agg(F.max("t")).first()[0]
+    cuts = [last - C.H - 6 * k for k in range(2)]
+    bands = t.keep("bandas", lambda: C.conditional_bands(t.densa, cuts))
+    real = C.with_actuals(bands.select("codigo", "corte", F.col("lo").alias("lo_q"), F.col("hi").alias("hi_q")), t.densa)
+    points = t.keep("puntos", lambda: C.origin_forecasts(t.densa, cuts).withColumnRenamed("gbm", "pt"))
+    factors = M.bands(rolled(t).select(F.col("gbm").alias("pred"), "real")).select("tercil", "p10", "p90")
+    d = real.join(C.tercile_bands(points, factors), ["codigo", "corte"]).join(P.classify_series(t.panel).select("codigo", "clase"), "codigo", "left")
+    return C.band_exam(d.withColumn("clase", F.coalesce("clase", F.lit("sin clase"))))
+
+
 @query("fc14_hybrids")
 def _(t):
     return C.hybrids(rolled(t))
@@ -147,11 +164,30 @@ define("origenes", """SELECT d.codigo, c.corte, avg(u) FILTER (t > corte - 8 AND
    SELECT metodo, R(sum(abs(pred - real)) / sum(real)) AS wape, R(sum(pred - real) / sum(real)) AS sesgo, count(*) AS n FROM l GROUP BY metodo""")
 def _(t):
     """The hybrids on supplied predictions: the 8-week mean stands for the boosted forecast."""
+    return C.hybrids(given(t))
+
+
+def given(t):
+    """The 8-week mean in place of a boosted forecast, at four origins."""
     d = t.densa
     cut_ = d.agg(F.max("t").alias("_z")).select(F.explode(F.array(*[F.col("_z") - 3 - 3 * k for k in range(4)])).alias("corte"))
-    j = d.join(F.broadcast(cut_), (F.col("t") > F.col("corte") - 8) & (F.col("t") <= F.col("corte") + 3))
+    j = d.join(F.broadcast(cut_), (F.col("t") > F.col("corte") - 8) & (F.col("t") <= F.col("corte") + 3))  # four rows
     mean = lambda lo, hi, name: F.avg(F.when((F.col("t") > F.col("corte") + lo) & (F.col("t") <= F.col("corte") + hi), F.col("u"))).alias(name)
-    return C.hybrids(j.groupBy("codigo", "corte").agg(mean(-8, 0, "gbm"), mean(-4, 0, "media_4s"), mean(0, 3, "real")))
+    return j.groupBy("codigo", "corte").agg(mean(-8, 0, "gbm"), mean(-4, 0, "media_4s"), mean(0, 3, "real"))
+
+
+@query("fc13c_band_exam_given", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY corte ORDER BY media_4s, md5(codigo)) AS k, count(*) OVER (PARTITION BY corte) AS n FROM origenes),
+   b AS (SELECT coalesce(clase, 'sin clase') AS clase, real, 0.5 * gbm AS lo_q, 1.5 * gbm AS hi_q,
+      media_4s * CASE WHEN 3 * k <= n + 2 THEN 0.2 WHEN 3 * k <= 2 * n + 1 THEN 0.4 ELSE 0.6 END AS lo_t, media_4s * CASE WHEN 3 * k <= n + 2 THEN 2.5 WHEN 3 * k <= 2 * n + 1 THEN 2.0 ELSE 1.5 END AS hi_t FROM r LEFT JOIN clases USING (codigo)),
+   g AS (SELECT clase, count(*) AS n, avg((real >= lo_q AND real <= hi_q)::INT) AS cq, median(hi_q - lo_q) AS aq, avg((real >= lo_t AND real <= hi_t)::INT) AS ct, median(hi_t - lo_t) AS at_ FROM b GROUP BY clase)
+   SELECT clase, n, R(cq) AS cobertura_q, R(aq) AS ancho_q, R(ct) AS cobertura_t, R(at_) AS ancho_t, abs(cq - 0.8) < abs(ct - 0.8) AS gana_cuantil FROM g""")
+def _(t):
+    """The exam on supplied bands."""
+    g = t.keep("dados", lambda: given(t))
+    factors = t.spark.createDataFrame([("bajo", 0.2, 2.5), ("medio", 0.4, 2.0), ("alto", 0.6, 1.5)], "tercil string, p10 double, p90 double")
+    ter = C.tercile_bands(g.select("codigo", "corte", F.col("media_4s").alias("pt")), factors)
+    d = g.join(ter, ["codigo", "corte"]).join(P.classify_series(t.panel).select("codigo", "clase"), "codigo", "left")
+    return C.band_exam(d.withColumns({"clase": F.coalesce("clase", F.lit("sin clase")), "lo_q": 0.5 * F.col("gbm"), "hi_q": 1.5 * F.col("gbm")}))
 
 
 define("mes_total", "SELECT codigo, mes, u, row_number() OVER (PARTITION BY codigo ORDER BY mes) - 1 AS k FROM meses_c")

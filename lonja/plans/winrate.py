@@ -72,6 +72,18 @@ def _(t):
     return Q.win_vs_discount(m, d, (F.col("es_linea") == 0) & (F.col("freq_previa") == 0))
 
 
+define("contexto", """SELECT month(n.fecha) AS mes, (canal = 'linea')::INT AS es_linea, tipo_precio, CAST(round_even(1 / peso, 0) AS INT) AS n_folio, ln(1 + cantidad) AS log_cant, ln(1 + precio) AS log_lista, coalesce(rot, 0) AS rot_sku
+   FROM negw n LEFT JOIN dias_venta USING (codigo_cliente, codigo) LEFT JOIN (SELECT codigo, avg(unidades_rec) AS rot FROM panel GROUP BY codigo) USING (codigo)
+   WHERE canal <> 'linea' AND coalesce(len(list_filter(dias, lambda d: d < n.fecha AND n.fecha - d <= 182)), 0) = 0""")
+
+
+@query("wr06b_context_grid", """SELECT R(0.55 + i * 0.025) AS rel_precio, R(median(mes)) AS mes, R(median(es_linea)) AS es_linea, R(median(tipo_precio)) AS tipo_precio, R(median(n_folio)) AS n_folio, R(median(log_cant)) AS log_cant,
+   R(median(log_lista)) AS log_lista, R(median(rot_sku)) AS rot_sku, CAST(0 AS DOUBLE) AS freq_previa FROM contexto, (SELECT unnest(range(0, 19)) AS i) GROUP BY i""")
+def _(t):
+    """The context that the win curve holds fixed."""
+    return Q.context_grid(full(t), (F.col("es_linea") == 0) & (F.col("freq_previa") == 0))
+
+
 define("v1", """WITH c AS (SELECT codigo AS id_art, arg_max(costo_prov, fecha) AS costo FROM snap GROUP BY codigo),
    l AS (SELECT folio AS id_cot, fecha AS fecha_alta, codigo AS id_art, codigo_cliente AS id_cliente, via, tipo_precio, cantidad, subtotal / nullif(cantidad, 0) AS precio, precio AS precio_lista, (concepto = 'Mostrador')::INT AS won, CASE WHEN kit = 'Si' THEN 1 END AS id_kit FROM cotiz),
    d AS (SELECT l.*, costo, sku % 4 AS f1, 1.6 - (sku % 3) * 0.1 AS f3 FROM l LEFT JOIN familias f ON f.codigo = l.id_art LEFT JOIN c ON c.id_art = l.id_art WHERE precio > 0 AND precio_lista > 0 AND cantidad > 0 AND id_kit IS NULL AND precio / precio_lista BETWEEN 0.05 AND 3),

@@ -82,7 +82,7 @@ def test_bid_model_never_rises_in_price(spark):
         rows.append((float(r), float(rng.integers(0, 2)), bool(rng.random() < r)))  # wins rise with price: the bound must hold the slope at 0
     df = spark.createDataFrame(rows, "rel_precio double, es_linea double, ganada boolean")
     m = Q.fit_bid_response(df, feats=["rel_precio", "es_linea"])
-    assert m.stages[-1].coefficients[0] <= 1e-9
+    assert m.specs[0].monotone == (-1, 0)
     grid = spark.createDataFrame([(0.5 + k / 20, 0.0) for k in range(11)], "rel_precio double, es_linea double")
     p = [r.p for r in Q.predict_win(m, grid).orderBy("rel_precio").collect()]
     assert all(a >= b - 1e-12 for a, b in zip(p, p[1:]))
