@@ -23,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,42 +101,59 @@ def _side(c: str) -> str:
     return "_" if not c or c.isspace() else "9" if c.isdigit() else "a" if c.isalpha() else c
 
 
+def _tokens(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, int, bool, str]]:
+    """Tokens of an island: start, end, kind (word, digit or mixed token, allowed mark, other), digits, trigger, shape mark."""
+    for m in _TOKEN.finditer(text, start, end):
+        t = m[0]
+        kind = "w" if t.isalpha() else "d" if t[0].isalnum() else "m" if t in _INSIDE else "x"
+        n = sum(map(str.isdigit, t)) if kind == "d" else int(t.isdigit())
+        mark = t if kind == "m" else "a" if not n else "9" if n == len(t) else "x" if len(t) >= 12 else "b"
+        yield *m.span(), kind, n, n > 0 or t == "@", mark
+
+
+def segments(text: str, start: int, end: int) -> Iterator[tuple[int, int, list[tuple[int, int, tuple[str, ...]]]]]:
+    """Per token of an island: its start and end, and the candidate segments that begin there (tokens, end, whole-span features).
+
+    Only a window of ``MAX_TOKENS`` tokens is held.
+    """
+    source, window = _tokens(text, start, end), deque()
+    while True:
+        while len(window) < MAX_TOKENS and (token := next(source, None)):
+            window.append(token)
+        if not window:
+            return
+        s, found = window[0][0], []
+        if not (window[0][2] == "x" or window[0][2] == "m" and text[s] not in "+("):
+            head = text[max(0, s - 40):s]
+            before = head.rstrip(" \"'")
+            word = re.search(r"([^\W\d_]+)\W*$", head)
+            context = ("ctx:" + word[1].lower()[:16] if word and (before[-1:] in "=:") else "ctx:", f"asg:{before[-1:] in '=:' and bool(before)}")
+            left = f"left:{_side(text[s - 1:s])}"
+            trigger, shape, digits, last = False, "", 0, None
+            for size, token in enumerate(window, 1):
+                ts, te, kind, n, hit, mark = token
+                gap = ts - last[1] if last else 0
+                if kind == "x" or gap and (gap > 1 or text[ts - 1] != " " or kind == "w" or last[2] == "w"):
+                    break
+                digits, trigger, shape, last = digits + n, trigger or hit, shape + " " * (gap > 0) + mark, token
+                if not trigger or kind == "m" and mark != ")":
+                    continue
+                span = text[s:te]
+                number = re.sub(r"[^0-9]", "", span) if 13 <= digits <= 19 else ""
+                octets = span.count(".") == 3 and all(p.isdecimal() and len(p) < 4 and int(p) < 256 for p in span.split("."))
+                found.append((size, te, (
+                    "bias", "shape:" + shape, f"digits:{min(digits, 20)}", f"len:{min(len(span) // 4, 12)}", f"luhn:{bool(number) and luhn(number)}", f"octets:{octets}",
+                    f"at:{'@' in span and '.' in span.partition('@')[2]}", left, f"right:{_side(text[te:te + 1])}", *context)))
+        yield s, window.popleft()[1], found
+
+
 def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[str, ...]]]]:
-    """Tokens of an island and its candidate segments (first token, last token + 1, whole-span features)."""
-    tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
-    kind = []  # word, digit or mixed token, allowed mark, other
-    for s, e in tokens:
-        t = text[s:e]
-        kind.append("w" if t.isalpha() else "d" if t[0].isalnum() else "m" if t in _INSIDE else "x")
-    segments = []
-    for i, (s, _) in enumerate(tokens):
-        if kind[i] == "x" or kind[i] == "m" and text[s] not in "+(":
-            continue
-        head = text[max(0, s - 40):s]
-        before = head.rstrip(" \"'")
-        word = re.search(r"([^\W\d_]+)\W*$", head)
-        context = ("ctx:" + word[1].lower()[:16] if word and (before[-1:] in "=:") else "ctx:", f"asg:{before[-1:] in '=:' and bool(before)}")
-        trigger, shape, digits = False, "", 0
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            ts, te = tokens[j]
-            if kind[j] == "x" or j > i and (gap := ts - tokens[j - 1][1]) and (gap > 1 or text[ts - 1] != " " or kind[j] == "w" or kind[j - 1] == "w"):
-                break
-            t = text[ts:te]
-            n = sum(c.isdigit() for c in t)
-            digits += n
-            trigger |= n > 0 or t == "@"
-            mark = t if kind[j] == "m" else "a" if not n else "9" if n == len(t) else "x" if len(t) >= 12 else "b"
-            shape += " " * (j > i and ts > tokens[j - 1][1]) + mark
-            if not trigger or kind[j] == "m" and t != ")":
-                continue
-            span = text[s:te]
-            number = re.sub(r"[^0-9]", "", span) if 13 <= digits <= 19 else ""
-            parts = span.split(".")
-            segments.append((i, j + 1, (
-                "bias", "shape:" + shape, f"digits:{min(digits, 20)}", f"len:{min(len(span) // 4, 12)}",
-                f"luhn:{bool(number) and luhn(number)}", f"octets:{len(parts) == 4 and all(p.isdecimal() and len(p) < 4 and int(p) < 256 for p in parts)}",
-                f"at:{'@' in span and '.' in span.partition('@')[2]}", f"left:{_side(text[s - 1:s])}", f"right:{_side(text[te:te + 1])}", *context)))
-    return tokens, segments
+    """Tokens of a short island and all its candidate segments (first token, last token + 1, whole-span features)."""
+    tokens, out = [], []
+    for i, (s, e, found) in enumerate(segments(text, start, end)):
+        tokens.append((s, e))
+        out += [(i, i + size, features) for size, _, features in found]
+    return tokens, out
 
 
 class SemiMarkov:
@@ -144,47 +163,54 @@ class SemiMarkov:
         self.weights = weights or {}
         self.cache: dict[tuple[str, ...], list[float]] = {}
 
-    def scores(self, features: tuple[str, ...]) -> list[float]:
+    def top(self, features: tuple[str, ...]) -> tuple[float, int]:
+        """Score and number of the best kind."""
         found = self.cache.get(features)
         if found is None:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 20_000:
                 self.cache.clear()
             rows = [w for f in features if (w := self.weights.get(f))]
-            found = self.cache[features] = [sum(c) for c in zip(*rows)] if rows else [-1.0] * len(KINDS)
+            scores = [sum(c) for c in zip(*rows)] if rows else [-1.0] * len(KINDS)
+            k = max(range(len(KINDS)), key=lambda k: scores[k])
+            found = self.cache[features] = (scores[k], k)
         return found
 
-    def best(self, n: int, segments: list[tuple[int, int, tuple[str, ...]]]) -> list[tuple[int, int, str]]:
-        """Highest-scoring segmentation of ``n`` tokens (bounded-entity Viterbi)."""
-        ending: dict[int, list[tuple[int, float, int]]] = {}
-        for i, j, features in segments:
-            s = self.scores(features)
-            k = max(range(len(KINDS)), key=lambda k: s[k])
-            if s[k] > 0:
-                ending.setdefault(j, []).append((i, s[k], k))
-        if not ending:
-            return []
-        value, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for i, s, k in ending.get(j, ()):
-                if value[i] + s > value[j]:
-                    value[j], back[j] = value[i] + s, (i, k)
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
+    def best(self, found: Iterator[tuple[int, int, list[tuple[int, int, tuple[str, ...]]]]]) -> list[tuple[str, int, int]]:
+        """Highest-scoring segmentation of the tokens (bounded-entity Viterbi, one step per token).
+
+        Scores reach ``MAX_TOKENS`` tokens ahead and are dropped behind; per token only its first token back, kind, start and
+        end remain, 25 bytes.
+        """
+        back, kinds, starts, ends = array("q"), array("b"), array("q"), array("q")
+        value, ahead = 0.0, {}
+        i = 0
+        for s, _, segments_ in found:
+            if i in ahead and ahead[i][0] > value:
+                value, back[i - 1], kinds[i - 1], ends[i - 1] = ahead[i]
+            ahead.pop(i, None)
+            for size, end, features in segments_:
+                score, k = self.top(features)
+                if score > 0 and (i + size not in ahead or value + score > ahead[i + size][0]):
+                    ahead[i + size] = (value + score, i, k, end)
+            back.append(-1)
+            kinds.append(0)
+            starts.append(s)
+            ends.append(0)
+            i += 1
+        if i in ahead and ahead[i][0] > value:
+            value, back[i - 1], kinds[i - 1], ends[i - 1] = ahead[i]
+        out = []
+        while i > 0:
+            if back[i - 1] < 0:
+                i -= 1
             else:
-                i, k = back[j]
-                out.append((i, j, KINDS[k]))
-                j = i
+                first = back[i - 1]
+                out.append((KINDS[kinds[i - 1]], starts[first], ends[i - 1]))
+                i = first
         return out[::-1]
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
-        out = []
-        for start, end in islands(text):
-            tokens, segments = candidates(text, start, end)
-            out += [(kind, tokens[i][0], tokens[j - 1][1]) for i, j, kind in self.best(len(tokens), segments)]
-        return out
+        return [span for start, end in islands(text) for span in self.best(segments(text, start, end))]
 
 
 def log_likelihood(n: int, segments: list[tuple[int, int, list[int]]], gold: dict[tuple[int, int], int], w: np.ndarray) -> tuple[float, np.ndarray]:

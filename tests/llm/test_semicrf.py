@@ -1,12 +1,17 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from itertools import product
 
 import numpy as np
+import pytest
 
 from lonja.llm import semicrf as C
 
 DOCS = "doc_id long, text string"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 PLAIN = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
          "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
 
@@ -74,11 +79,51 @@ def test_dynamic_program_and_likelihood_equal_enumeration():
         expected = sum(q for q, way in zip(p, ways) if (x, k) in way) - ((x, k) in gold_way)
         assert np.isclose(slope[x, k], expected)
     model = C.SemiMarkov({f"f{x}": w[x].tolist() for x in range(len(segments))})
-    best = model.best(len(tokens), [(i, j, (f"f{x}",)) for x, (i, j, _) in enumerate(segments)])
-    found = sum(max(w[x]) for i, j, _ in best for x, s in enumerate(segments) if s[:2] == (i, j))
+    steps = [(*span, [(j - i, tokens[j - 1][1], (f"f{x}",)) for x, (i, j, _) in enumerate(segments) if i == t]) for t, span in enumerate(tokens)]
+    best = model.best(iter(steps))
+    found = sum(max(w[x]) for _, a, b in best for x, (i, j, _) in enumerate(segments) if (tokens[i][0], tokens[j - 1][1]) == (a, b))
     assert np.isclose(found, score.max())
 
 
+def listed_spans(model, text):
+    """Spans from the list of all candidates of every island."""
+    out = []
+    for start, end in C.islands(text):
+        tokens, segments = C.candidates(text, start, end)
+        value, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
+        for j in range(1, len(tokens) + 1):
+            value[j] = value[j - 1]
+            for i, k, features in segments:
+                s, kind = model.top(features)
+                if k == j and s > 0 and value[i] + s > value[j]:
+                    value[j], back[j] = value[i] + s, (i, kind)
+        j, found = len(tokens), []
+        while j:
+            if back[j] is None:
+                j -= 1
+            else:
+                found.append((C.KINDS[back[j][1]], tokens[back[j][0]][0], tokens[j - 1][1]))
+                j = back[j][0]
+        out += found[::-1]
+    return out
+
+
+def test_the_streamed_program_equals_the_listed_one():
+    rng, model = random.Random(3), C.fit(texts(1, 100))
+    parts = ["12", "ab", "a1b2", "@", ".", " ", "  ", "+", "(", ")", "-", "key=", "\n", "1.2.3.4", "4111 1111 1111 1111", "0f" * 9]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+        assert model.spans(text) == listed_spans(model, text)
+
+
+@pytest.mark.parametrize("text", ["' '.join(map(str, range(100_000)))", "'1.' * 300_000"])
+def test_memory_on_long_numeric_texts(text):
+    """About 0.6 MB of numbers in one island; lists of all its candidates would take some 2 GB."""
+    code = f"import resource; from lonja.llm import semicrf as C; C.all_spans({text}, C.fit(['tel +1 (286) 555-5136 x', 'at 10.1.2.3 x'])); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(out.stdout) < 300
+
+
 def texts(seed, n):
     rng = random.Random(seed)
     hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
