@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lonja.functions.stats import clip, safe_div
 from lonja.scale import calendar_side, exact_quantiles, quantile_of, row_order
 from lonja.session import cut_lineage, side_by_side
+from lonja.sources.commits import VersionedTable
 
 SMALL_STATE = 200_000  # rows of (group, week) state that may be broadcast
 
@@ -196,6 +197,26 @@ def assert_not_applied(prior: DataFrame) -> None:
         raise ValueError("the product layer is already applied: shrinking twice is refused")
 
 
+def apply_sku_layer(table: VersionedTable, events: DataFrame, k: float = 4, min_events: int = 3) -> int:
+    """Replace the published slopes by their product layer, once.
+
+    The layer is computed from the version it replaces; if another driver published in between, the newer version is
+    looked at, and a layer that is applied already is refused.
+    """
+    def step_from(n: int, now: dict) -> bool:
+        if "capa SKU" in now.get("layers", []):
+            raise ValueError("the product layer is already applied: shrinking twice is refused")
+        prior = table.read(n)
+        assert_not_applied(prior)
+        folder = table.stage(sku_layer(events, prior, k, min_events))
+        return table.log.put(n + 1, {**now, "parts": [folder], "layers": [*now.get("layers", []), "capa SKU"]})
+
+    while True:
+        n, now = table.log.latest()
+        if step_from(n, now):
+            return n + 1
+
+
 def sku_layer(events: DataFrame, prior: DataFrame, k: float = 4, min_events: int = 3) -> DataFrame:
     """Own events shrunk to the prior: w = n / (n + k), slope in [-5, 0], blended error at least .02."""
     g = events.withColumn("e", clip("e_hat", -5, 1)).groupBy("codigo").agg(

@@ -8,6 +8,7 @@ from lonja.functions.stats import safe_div
 from lonja.operators.joins import nearest_snapshot, pair_snapshots
 from lonja.session import cut_lineage
 from lonja.scale import calendar_side
+from lonja.sources.commits import VersionedTable
 
 
 def snapshot_moves(cost: float = 0.02, price: float = 0.001) -> Column:
@@ -181,12 +182,31 @@ def success_index(ver: DataFrame) -> DataFrame:
                                                      safe_div(F.count_if(v == "ÉXITO"), F.count_if(v != "NEUTRO")).alias("indice"))
 
 
-def emit_cycle(recos: DataFrame, path: str, stamp: str, open_cycles: DataFrame | None = None) -> bool:
-    """Freeze a cycle; only one may be open."""
-    from lonja.sources.sinks import archive_once
-    if open_cycles is not None and not open_cycles.where("estado = 'abierto'").isEmpty():
-        raise ValueError("a cycle is already open")
-    return archive_once(recos.withColumn("estado", F.lit("abierto")), path, stamp)
+def emit_cycle(recos: DataFrame, cycles: VersionedTable, stamp: str) -> int:
+    """Freeze a cycle as the next version; only one may be open. Of two that try at once, one wins."""
+    def one_open(now: dict) -> None:
+        if now.get("open"):
+            raise ValueError(f"cycle {now['open']} is already open")
+        if stamp in now.get("writes", []):
+            raise ValueError(f"cycle {stamp} was emitted before and is frozen")
+    one_open(cycles.log.latest()[1])  # before anything is written
+    folder = cycles.stage(recos.withColumn("ciclo", F.lit(stamp)))
+
+    def step(now: dict) -> dict:
+        one_open(now)
+        return {**now, "open": stamp, "parts": [*now.get("parts", []), folder], "writes": [*now.get("writes", []), stamp]}
+
+    return cycles.log.update(step)
+
+
+def end_cycle(cycles: VersionedTable, stamp: str) -> int:
+    """Close the open cycle ``stamp``; its rows stay as they were emitted."""
+    def step(now: dict) -> dict:
+        if now.get("open") != stamp:
+            raise ValueError(f"cycle {stamp} is not open")
+        return {**now, "open": None}
+
+    return cycles.log.update(step)
 
 
 def close_cycle(snap: DataFrame, panel: DataFrame, emitted: Column, closed: Column, weeks: int = 3) -> DataFrame:

@@ -1,11 +1,14 @@
 """Queries for elasticity."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lonja.operators import elasticity as L, metrics as M, panel as P
 from lonja.plans.events import price_ev
 from lonja.plans.metrics import pred_m4
 from lonja.plans.registry import define, query
+from lonja.session import shared_dir
 
 
 def modelable(t):
@@ -57,15 +60,33 @@ def _(t):
     return L.supplier_blend(prior(t), s)
 
 
-@query("el05_sku_layer", """WITH g AS (SELECT codigo, avg(e) AS m, stddev_samp(e) AS s, count(*) AS n FROM (SELECT codigo, least(greatest(e_hat, -5), 1) AS e FROM ev_precio) GROUP BY codigo HAVING count(*) >= 3)
+_LAYER = """WITH g AS (SELECT codigo, avg(e) AS m, stddev_samp(e) AS s, count(*) AS n FROM (SELECT codigo, least(greatest(e_hat, -5), 1) AS e FROM ev_precio) GROUP BY codigo HAVING count(*) >= 3)
    SELECT codigo, R(CASE WHEN n IS NULL THEN eps ELSE least(greatest(n / (n + 4) * m + (1 - n / (n + 4)) * eps, -5), 0) END) AS eps,
      R(CASE WHEN n IS NULL THEN se ELSE greatest(n / (n + 4) * coalesce(s / sqrt(n), se) + (1 - n / (n + 4)) * se, 0.02) END) AS se,
-     CASE WHEN n IS NULL THEN nivel ELSE nivel || ' + capa SKU (EB eventos)' END AS nivel FROM prior LEFT JOIN g USING (codigo)""")
+     CASE WHEN n IS NULL THEN nivel ELSE nivel || ' + capa SKU (EB eventos)' END AS nivel FROM prior LEFT JOIN g USING (codigo)"""
+
+
+@query("el05_sku_layer", _LAYER)
 def _(t):
     p = prior(t)
     return L.sku_layer(price_ev(t), p)
 
 
+@query("el06_layer_once", f"""SELECT 1 AS version, codigo, R(eps) AS eps, R(se) AS se, nivel FROM prior UNION ALL SELECT 2, * FROM ({_LAYER})""")
+def _(t):
+    """The layer is published once: a second attempt is refused, and both versions can be read."""
+    from lonja.sources.commits import VersionedTable
+    table = VersionedTable(t.spark, f"{shared_dir(t.spark)}/capas/{uuid.uuid4().hex}", "lonja_elasticidad")
+    table.save(prior(t).select("codigo", "eps", "se", "nivel"))
+    L.apply_sku_layer(table, price_ev(t))
+    try:
+        L.apply_sku_layer(table, price_ev(t))
+    except ValueError:
+        one, two = (table.read(v).select(F.lit(v).alias("version"), "codigo", "eps", "se", "nivel") for v in (1, 2))
+        return one.unionByName(two)
+    raise RuntimeError("the layer was applied twice")
+
+
 @query("el07_judge_sku_layer", """WITH g AS (SELECT codigo, avg(least(greatest(e_hat, -5), 1)) AS m, count(*) AS n FROM ev_precio WHERE semana < DATE '2000-01-03' GROUP BY codigo),
    r AS (SELECT codigo, eps AS ec, coalesce(least(greatest(n / (n + 4) * m + (1 - n / (n + 4)) * eps, CASE WHEN n IS NULL THEN NULL ELSE -5 END), CASE WHEN n IS NULL THEN NULL ELSE 0 END), eps) AS er, n FROM prior LEFT JOIN g USING (codigo)),
    d AS (SELECT n, abs(power(1 + rel, ec) - 1 - d_real) AS a, abs(power(1 + rel, er) - 1 - d_real) AS b FROM ev_precio JOIN r USING (codigo) WHERE semana >= DATE '2000-01-03')

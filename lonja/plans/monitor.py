@@ -1,5 +1,7 @@
 """Queries for the monitoring loop."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lonja.operators import monitor as N, panel as P
@@ -7,6 +9,7 @@ from lonja.plans.decide import est, recos, today
 from lonja.plans.joins import last_two_snaps
 from lonja.plans.panels import base_v2  # noqa: F401  (keeps the definitions of the panel module loaded)
 from lonja.plans.registry import define, query
+from lonja.session import shared_dir
 
 define("snap2", """SELECT a.codigo, a.existencia AS e0, b.existencia AS e1, a.bo AS b0, b.bo AS b1, a.costo_prov AS c0, b.costo_prov AS c1, a.precio_1 AS p0, b.precio_1 AS p1, a.precio_3 AS q0, b.precio_3 AS q1
    FROM snap a JOIN snap b ON b.codigo = a.codigo AND b.fecha = a.fecha + 91 AND a.fecha = (SELECT max(fecha) FROM snap) - 91""")
@@ -165,6 +168,21 @@ def cycle(t):
                            ((F.md5("codigo") < "4") & (F.col("direccion") != "MANTENER")).alias("aplicado"))
 
 
+@query("mon10_emit_cycle", "SELECT ciclo, codigo, direccion, R(u0) AS u0, aplicado FROM ciclo JOIN (SELECT unnest(['2001-09', '2001-10']) AS ciclo) ON true")
+def _(t):
+    """Two cycles, one after the other; while the first is open, the second is refused."""
+    from lonja.sources.commits import VersionedTable
+    table, c = VersionedTable(t.spark, f"{shared_dir(t.spark)}/ciclos/{uuid.uuid4().hex}", "lonja_ciclos"), cycle(t)
+    N.emit_cycle(c, table, "2001-09")
+    try:
+        N.emit_cycle(c, table, "2001-10")
+    except ValueError:
+        N.end_cycle(table, "2001-09")
+        N.emit_cycle(c, table, "2001-10")
+        return table.read().select("ciclo", "codigo", "direccion", "u0", "aplicado")
+    raise RuntimeError("two cycles were open at once")
+
+
 @query("mon11_close_cycle", """WITH f AS (SELECT max(semana) AS c, max(semana) - 21 AS e FROM panel), r AS (SELECT codigo, avg(unidades_rec) AS ur FROM panel, f WHERE semana > e AND semana <= c GROUP BY codigo), w AS (SELECT semana, sum(unidades) AS u FROM panel GROUP BY semana),
    k AS (SELECT coalesce(avg(u) FILTER (semana > e AND semana <= c) / avg(u) FILTER (semana > e - 21 AND semana <= e), 1.0) AS fac FROM w, f), m AS (SELECT x.*, coalesce(ur, 0) AS ur, fac FROM ciclo x LEFT JOIN r USING (codigo), k)
    SELECT coalesce(clase_serie, 'TOTAL') AS grupo, count_if(NOT aplicado) AS n_sin, R(coalesce(sum(abs(greatest(u0, 0) - ur)) FILTER (NOT aplicado), NULL) / greatest(coalesce(sum(ur) FILTER (NOT aplicado), 1e-9), 1e-9)) AS wape, R(avg((ur BETWEEN u_p10 AND u_p90)::INT) FILTER (NOT aplicado)) AS cobertura,

@@ -236,3 +236,31 @@ def _(t):
     if not first or again:
         raise RuntimeError("the archive was not written exactly once")
     return t.spark.read.parquet(path).drop("archivado")
+
+
+@query("snk02_versioned_table", "SELECT codigo, R(precio_nuevo) AS precio_nuevo, CAST(v AS BIGINT) AS version FROM registro JOIN (SELECT unnest([1, 2]) AS v) ON v = 2 OR md5(codigo) < '8'")
+def _(t):
+    """A write that fails after its files, one that is repeated, and an append; read as of both versions."""
+    from lonja.sources.commits import VersionedTable
+    r = t.registro.select("codigo", "precio_nuevo")
+    low = F.md5("codigo") < "8"
+    table = VersionedTable(t.spark, folder(t, "tablas"), "lonja_registro")
+    table.stage(r.withColumn("precio_nuevo", F.lit(0.0)))  # its driver is lost before it publishes
+    for _ in range(2):
+        table.save(r.where(low), write_id="first")
+    table.save(r.where(~low), mode="append", write_id="second")
+    if table.log.versions() != [1, 2]:
+        raise RuntimeError("a repeated write was published twice")
+    return table.read(1).withColumn("version", F.lit(1).cast("long")).unionByName(table.read(2).withColumn("version", F.lit(2).cast("long")))
+
+
+@query("src02_daily_pull", "SELECT fecha, count(*) AS n, sum(cantidad) AS cantidad, R(sum(subtotal)) AS subtotal, count(DISTINCT codigo) AS codigos FROM ventas GROUP BY fecha")
+def _(t):
+    """Monthly files pulled by day, one task each."""
+    from lonja.sources.daily import read_days
+    path = folder(t, "diario")
+    v = t.ventas.select("fecha", "codigo", "cantidad", "subtotal").withColumn("mes", F.date_format("fecha", "yyyy-MM"))
+    v.repartition("mes").write.partitionBy("mes").parquet(path)
+    ends = t.ventas.agg(F.min("fecha").alias("a"), F.max("fecha").alias("b")).first()
+    d = read_days(t.spark, path, v.drop("mes").schema, ends.a, ends.b)
+    return d.groupBy("fecha").agg(F.count("*").alias("n"), F.sum("cantidad").alias("cantidad"), F.sum("subtotal").alias("subtotal"), F.count_distinct("codigo").alias("codigos"))

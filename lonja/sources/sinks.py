@@ -18,13 +18,18 @@ def save_result(df: DataFrame, path: str, name: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}.csv")
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite", prefix: str = "lonja_") -> None:
-    """Replace or append a catalogue table; only own-prefix names and plain column names pass."""
+def guard(name: str, columns: list[str], prefix: str = "lonja_") -> None:
+    """Only own-prefix table names and plain column names pass."""
     if not (NAME.match(name) and name.startswith(prefix)):
         raise ValueError(f"table {name!r} must start with {prefix!r}")
-    bad = [c for c in df.columns if not NAME.match(c)]
+    bad = [c for c in columns if not NAME.match(c)]
     if bad:
         raise ValueError(f"bad column names {bad}")
+
+
+def save_table(df: DataFrame, name: str, mode: str = "overwrite", prefix: str = "lonja_") -> None:
+    """Replace or append a catalogue table; only own-prefix names and plain column names pass."""
+    guard(name, df.columns, prefix)
     if mode not in ("overwrite", "append"):
         raise ValueError(mode)
     df.write.mode(mode).format("parquet").saveAsTable(name)

@@ -183,9 +183,18 @@ def test_sinks_and_day_predicates(spark, tmp_path):
 def test_cycle_is_single_and_upsert_idempotent(spark, tmp_path):
     from lonja.operators.monitor import emit_cycle
     df = spark.createDataFrame([("A", 1)], "codigo string, n int")
-    assert emit_cycle(df, str(tmp_path), "c1")
+    from lonja.operators.monitor import end_cycle
+    from lonja.sources.commits import VersionedTable
+    cycles = VersionedTable(spark, str(tmp_path), "lonja_ciclos")
+    assert emit_cycle(df, cycles, "c1") == 1
+    for stamp in ("c2", "c1"):
+        with pytest.raises(ValueError):
+            emit_cycle(df, cycles, stamp)
     with pytest.raises(ValueError):
-        emit_cycle(df, str(tmp_path), "c2", spark.read.parquet(f"{tmp_path}/sello=c1"))
+        end_cycle(cycles, "c2")
+    assert end_cycle(cycles, "c1") == 2
+    with pytest.raises(ValueError):
+        emit_cycle(df, cycles, "c1")
     new = spark.createDataFrame([("A", 2), ("B", 3)], df.schema)
     once = S.upsert_registry(df, new, ["codigo"])
     assert sorted(S.upsert_registry(once, new, ["codigo"]).collect()) == sorted(once.collect()) == [("A", 2), ("B", 3)]
