@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -87,62 +88,103 @@ def vectors(q: DataFrame, c: DataFrame, qk: str, ck: str, min_df: int = 1) -> tu
     return unit(q, qk), unit(c, ck)
 
 
-def cosine_above(q: DataFrame, c: DataFrame, qk: str, ck: str, t: float) -> DataFrame:
-    """All pairs with cosine >= t, exactly (t > 0), or all pairs that share a gram (t = 0).
-
-    With grams ordered from rare to frequent, the first gram two texts share must lie where
-    either vector still has length >= t (Cauchy-Schwarz). So only those prefixes are joined
-    and frequent grams, the hot keys, drop out; the full product is taken on the survivors.
-    When checking those survivors would read more rows than the plain product of both
-    vectors (low t, small vocabulary), the plain product is taken; frequency tables tell.
-    """
-    full = q.select(qk, "gram", F.col("w").alias("_a")).join(c.select(ck, "gram", F.col("w").alias("_b")), "gram")
-    if t > 0:
-        pq, pc = prefix(q, qk, t), prefix(c, ck, t)
-        per_text = q.groupBy(qk).count().agg(F.coalesce(F.avg("count"), F.lit(0.0))).first()[0]
-        if _join_rows(pq, pc) * per_text / 4 <= _join_rows(q, c):
-            pairs = pq.select(qk, "gram").join(pc.select(ck, "gram"), "gram").select(qk, ck).distinct()
-            full = (pairs.join(q.select(qk, "gram", F.col("w").alias("_a")), qk).join(c.select(ck, "gram", F.col("w").alias("_b")), [ck, "gram"]))
-    return full.groupBy(qk, ck).agg(F.round(F.sum(F.col("_a") * F.col("_b")), 9).alias("cos")).where(F.col("cos") >= t - 1e-9)
-
-
-def prefix(d: DataFrame, key: str, t: float) -> DataFrame:
-    """Grams up to the last one from which the vector still has length >= t, rare grams first."""
-    from pyspark.sql import Window as W
-    w = W.partitionBy(key).orderBy(F.desc("df"), F.desc("gram")).rowsBetween(W.unboundedPreceding, 0)
-    return d.withColumn("_s", F.sum(F.col("w") * F.col("w")).over(w)).where(F.col("_s") >= t * t - 1e-9)
-
-
-def _join_rows(q: DataFrame, c: DataFrame) -> float:
-    """Rows of the join on gram, from the two frequency tables."""
-    n = lambda d, a: d.groupBy("gram").agg(F.count("*").cast("double").alias(a))
-    return n(q, "a").join(n(c, "b"), "gram").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0))).first()[0]
-
-
-def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, ladder: tuple[float, ...]) -> DataFrame:
-    """The k nearest catalogue texts of each query text.
-
-    High thresholds first: a query that already has k neighbours above one is done. The rest go
-    on down the ladder, whose last step (0) compares every text that shares a gram. A step whose
-    candidates would cost more to check than that full comparison (a small vocabulary shared by
-    all texts) goes to it at once; the frequency tables tell beforehand.
+# Texts in one block of the catalogue, and queries in one batch.
+TEXTS, QUERIES = 5_000, 2_000
+
+
+class Postings:
+    """One block of catalogue vectors by gram: for every gram its texts, their weights, and the largest weight."""
+
+    def __init__(self, keys: np.ndarray, grams: np.ndarray, texts: np.ndarray, weights: np.ndarray):
+        order = np.lexsort((texts, grams))
+        self.keys, self.texts, self.weights = keys, texts[order], weights[order]
+        self.grams, start = np.unique(grams[order], return_index=True)
+        self.ends = np.append(start, len(order))
+        self.most = np.maximum.reduceat(self.weights, start) if len(order) else np.empty(0)
+
+    def top(self, grams: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys and cosines of the k best texts that share a gram and reach ``least``, and the postings read.
+
+        A gram adds at most its weight times the largest weight of its list. Long lists that together add less than the
+        threshold can't bring a text in on their own: they are left out when texts are collected, and
+        looked up for the texts that can still reach it.
+        """
+        at = np.searchsorted(self.grams, grams)
+        known = at < len(self.grams)
+        known[known] = self.grams[at[known]] == grams[known]
+        at, w = at[known], weights[known]
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0), 0
+        sizes, bound = self.ends[at + 1] - self.ends[at], w * self.most[at]
+        order = np.argsort(bound / sizes, kind="stable")
+        rest = np.minimum(np.cumsum(bound[order]), np.sqrt(np.cumsum(w[order] ** 2)))
+        left = int(np.searchsorted(rest, least - 1e-9)) if least > 0 else 0
+        open_ = rest[left - 1] if left else 0.0
+        lists = [slice(self.ends[at[j]], self.ends[at[j] + 1]) for j in order]
+        read = int(sizes[order[left:]].sum())
+        score = np.zeros(len(self.keys))
+        if left < len(order):
+            docs = np.concatenate([self.texts[x] for x in lists[left:]])
+            score = np.bincount(docs, np.concatenate([self.weights[x] * w[j] for x, j in zip(lists[left:], order[left:])]), len(self.keys))
+        found = np.flatnonzero((score > 0) & (score + open_ >= least - 1e-9))
+        for x, j in zip(lists[:left], order[:left]):
+            docs = self.texts[x]
+            hit = np.searchsorted(docs, found)
+            ok = hit < len(docs)
+            ok[ok] = docs[hit[ok]] == found[ok]
+            score[found[ok]] += w[j] * self.weights[x][hit[ok]]
+        read += left * len(found)
+        s = np.round(score[found], 9)
+        found, s = found[s >= least - 1e-9], s[s >= least - 1e-9]
+        best = np.lexsort((self.keys[found], -s))[:k]
+        return self.keys[found[best]], s[best], read
+
+
+def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, least: float = 0.0) -> DataFrame:
+    """The k nearest catalogue texts of each query text with cosine >= ``least`` (0: that share a gram), exactly; keys are numbers.
+
+    The catalogue goes into blocks of about ``TEXTS`` texts, kept by gram. A query visits one block first; the
+    k-th cosine found there is its threshold in all others, so most long lists are never read. Queries go in
+    batches; a task holds one block and one batch.
     """
     from lonja.operators.topk import topk
-    done, left = None, q
-    full_rows = _join_rows(q, c) if 0.0 in ladder else float("inf")
-    per_text = q.groupBy(qk).count().agg(F.avg("count")).first()[0] if 0.0 in ladder else 1.0
-    for i, t in enumerate(ladder):
-        if 0.0 in ladder and 0 < t and _join_rows(prefix(left, qk, t), prefix(c, ck, t)) * per_text / 4 > full_rows:
-            i, t = len(ladder) - 1, 0.0
-        best = topk(cosine_above(left, c, qk, ck, t), [qk], [F.desc("cos"), ck], k)
-        if i < len(ladder) - 1:
-            best = cut_lineage(best)
-            full = best.groupBy(qk).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(qk)
-            left = cut_lineage(left.join(full, qk, "left_anti"))
-            best = best.join(full, qk, "left_semi")
-        done = best if done is None else done.unionByName(best)
-        if t == ladder[-1]:
-            return done
+    n_texts, n_queries = c.select(ck).distinct().count(), q.select(qk).distinct().count()
+    blocks, batches = max(1, -(-n_texts // TEXTS)), max(1, -(-n_queries // QUERIES))
+    number = cut_lineage(c.select("gram").distinct().withColumn("g", F.monotonically_increasing_id()))
+
+    def pack(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        keys, texts = np.unique(d["key"].to_numpy(), return_inverse=True)
+        return pd.DataFrame({"block": [key[0]], "keys": [keys.tobytes()], "grams": [d["g"].to_numpy().tobytes()], "texts": [texts.tobytes()], "weights": [d["w"].to_numpy().tobytes()]})
+
+    rows = c.join(number, "gram").select((F.pmod(F.xxhash64(ck), F.lit(blocks))).cast("int").alias("block"), F.col(ck).cast("long").alias("key"), "g", "w")
+    packed = cut_lineage(rows.groupBy("block").applyInPandas(pack, "block int, keys binary, grams binary, texts binary, weights binary"))
+    lists = F.sort_array(F.collect_list(F.struct("g", "w")))
+    asked = q.join(number, "gram").groupBy(F.col(qk).cast("long").alias("q")).agg(lists.alias("v"))
+    home = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
+    asked = cut_lineage(asked.select("q", F.col("v.g").alias("g"), F.col("v.w").alias("w"), home.alias("home"), F.pmod(F.xxhash64("q", F.lit(7)), F.lit(batches)).cast("int").alias("batch"), F.lit(float(least)).alias("least")))
+
+    def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(block) and len(queries):
+            b = block.iloc[0]
+            lists = Postings(*(np.frombuffer(b[n], t) for n, t in (("keys", np.int64), ("grams", np.int64), ("texts", np.int64), ("weights", float))))
+            for r in queries.itertuples(index=False):
+                keys, s, _ = lists.top(np.asarray(r.g), np.asarray(r.w), k, r.least)
+                out += zip([r.q] * len(keys), keys.tolist(), s.tolist())
+        return pd.DataFrame(out, columns=["q", "c", "cos"])
+
+    def visit(queries: DataFrame, where: Column) -> DataFrame:
+        by, n = ["block", "batch"], blocks * batches
+        each = packed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).repartition(n, *by)
+        sent = queries.withColumn("block", F.explode(where)).repartition(n, *by)
+        return cut_lineage(each.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(search, "q long, c long, cos double"))
+
+    first = visit(asked, F.array("home"))
+    kth = first.groupBy("q").agg(F.min("cos").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    rest = asked.join(kth, "q", "left").withColumn("least", F.greatest("least", F.coalesce("kth", F.lit(0.0)))).drop("kth", "n")
+    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b != F.col("home"))
+    found = first if blocks == 1 else first.unionByName(visit(rest, others))
+    return topk(found.select(F.col("q").alias(qk), F.col("c").alias(ck), "cos"), [qk], [F.desc("cos"), ck], k)
 
 
 def _lcs(a: str, b: str) -> int:
@@ -181,7 +223,7 @@ def fuzzy_candidates(comp: DataFrame, cat: DataFrame, n: tuple[int, int] = (2, 4
     q, c = numbered(q, "q", "qid"), numbered(cat.select(F.col("m_norm").alias("c")).distinct(), "c", "cid")
     pad = lambda x: F.concat(F.lit(" "), F.col(x), F.lit(" "))
     qv, cv = vectors(grams(q, "qid", pad("q"), *n), grams(c, "cid", pad("c"), *n), "qid", "cid")
-    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k, (min_cos,))
+    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k, min_cos)
     return top.join(q, "qid").join(c, "cid").select("q", "c", "cos", "pos")
 
 
@@ -210,7 +252,7 @@ def match_text(comp: DataFrame, cat: DataFrame, name: str, desc: str, n: tuple[i
     codes = numbered(cat.withColumn("c", plain_text(desc)).where("c <> ''").groupBy("c").agg(F.min("codigo").alias("codigo")), "c", "cid")
     texts = numbered(q.select("q").distinct(), "q", "qid")
     qv, cv = vectors(grams(texts, "qid", "q", *n), grams(codes, "cid", "c", *n), "qid", "cid", min_df)
-    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k, (0.8, 0.5, 0.0))
+    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k)
     return (q.select("modelo", "q").distinct().join(texts, "q").join(top, "qid").join(codes, "cid")
              .select("modelo", F.col("pos").alias("rank"), "codigo", F.col("cos").alias("sim")))
 

@@ -106,19 +106,41 @@ def test_package_containment(spark):
     assert (r.ff, r.ncom, r.cerrado_paquete) == (10, 4, True)
 
 
-def test_cosine_is_exact_at_every_threshold(spark):
+@pytest.mark.parametrize("texts, queries, k, least", [(5_000, 2_000, 2, 0.0), (10, 7, 3, 0.0), (10, 7, 2, 0.3), (7, 100, 50, 0.5)])
+def test_nearest_texts_equal_brute_force(spark, monkeypatch, texts, queries, k, least):
+    monkeypatch.setattr(match, "TEXTS", texts)
+    monkeypatch.setattr(match, "QUERIES", queries)
     rng = random.Random(2)
-    words = ["".join(rng.choice("abcd1") for _ in range(rng.randrange(4, 9))) for _ in range(60)]
-    q = spark.createDataFrame([(w,) for w in words[:25]], "q string").distinct()
-    c = spark.createDataFrame([(w,) for w in words[20:]], "c string").distinct()
-    qv, cv = match.vectors(match.grams(q, "q", "q", 2, 3), match.grams(c, "c", "c", 2, 3), "q", "c")
-    every = {(r.q, r.c): r["cos"] for r in match.cosine_above(qv, cv, "q", "c", 0.0).collect()}
-    for t in (0.2, 0.5, 0.8):
-        got = {(r.q, r.c): r["cos"] for r in match.cosine_above(qv, cv, "q", "c", t).collect()}
-        assert got.keys() == {k for k, v in every.items() if v >= t - 1e-9}
-    best = {(r.q, r.pos): r["cos"] for r in match.topk_cosine(qv, cv, "q", "c", 2, (0.8, 0.0)).collect()}
-    for w in {k[0] for k in every}:
-        assert math.isclose(best[w, 1], max(v for k, v in every.items() if k[0] == w))
+    words = ["".join(rng.choice("abcd1") for _ in range(rng.randrange(1, 9))) for _ in range(90)]
+    q = spark.createDataFrame([(n, w) for n, w in enumerate(words[:45] + ["zzzz"])], "qid long, q string")
+    c = spark.createDataFrame([(n + 1000, w) for n, w in enumerate(words[35:])], "cid long, c string")
+    qv, cv = match.vectors(match.grams(q, "qid", "q", 2, 3), match.grams(c, "cid", "c", 2, 3), "qid", "cid")
+    a, b = ({}, {})
+    for side, rows, key in ((a, qv, "qid"), (b, cv, "cid")):
+        for r in rows.collect():
+            side.setdefault(r[key], {})[r.gram] = r.w
+    want = {}
+    for x, v in a.items():
+        s = sorted((-round(sum(w * u[g] for g, w in v.items() if g in u), 9), y) for y, u in b.items() if v.keys() & u.keys())
+        want[x] = [(y, -t) for t, y in s if -t >= least][:k]
+    got = {}
+    for r in match.topk_cosine(qv, cv, "qid", "cid", k, least).orderBy("qid", "pos").collect():
+        got.setdefault(r.qid, []).append((r.cid, r["cos"]))
+    assert got == {x: v for x, v in want.items() if v}
+
+
+def test_a_high_threshold_leaves_long_lists_alone():
+    """Every text ends alike; the lists of that ending are looked up for the few texts in question only."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    rare = rng.integers(100, 1500, n)
+    grams = np.concatenate([np.repeat(np.arange(8), n), rare])
+    texts = np.concatenate([np.tile(np.arange(n), 8), np.arange(n)])
+    weights = np.concatenate([np.full(8 * n, 0.15), np.full(n, 0.905)])
+    lists = match.Postings(np.arange(n) + 7, grams, texts, weights)
+    for g in np.unique(rare)[:50]:
+        keys, cos, read = lists.top(np.array([*range(8), g]), np.array([*[0.15] * 8, 0.905]), 5, 0.6)
+        assert keys.tolist() == (np.flatnonzero(rare == g)[:5] + 7).tolist() and np.allclose(cos, 8 * 0.15 ** 2 + 0.905 ** 2) and read < n / 50
 
 
 def test_lcs_against_dynamic_programme():
