@@ -264,3 +264,43 @@ def _(t):
     ends = t.ventas.agg(F.min("fecha").alias("a"), F.max("fecha").alias("b")).first()
     d = read_days(t.spark, path, v.drop("mes").schema, ends.a, ends.b)
     return d.groupBy("fecha").agg(F.count("*").alias("n"), F.sum("cantidad").alias("cantidad"), F.sum("subtotal").alias("subtotal"), F.count_distinct("codigo").alias("codigos"))
+
+
+@query("src01b_drifting_months", """SELECT substr(CAST(fecha AS VARCHAR), 1, 7) AS mes, count(*) AS n, sum(cantidad) AS cantidad, R(sum(subtotal)) AS subtotal, CAST(1 AS BIGINT) AS rotos FROM ventas GROUP BY mes""")
+def _(t):
+    """Months in three shapes (integer, decimal and text amounts; one without a column) and a file that is no parquet."""
+    from pyspark.sql import types as T
+
+    from lonja.sources.intake import read_drifting
+    path = folder(t, "deriva")
+    v = t.ventas.select("fecha", "codigo", "cantidad", "subtotal", F.date_format("fecha", "yyyy-MM").alias("mes"))
+    shape = F.month("fecha") % 3
+    for k, df in enumerate((v, v.withColumn("cantidad", F.col("cantidad").cast("double")).drop("codigo"), v.withColumns({c: F.col(c).cast("string") for c in ("cantidad", "subtotal")}))):
+        df.where(shape == k).write.parquet(f"{path}/forma{k}")
+    t.spark.createDataFrame([("no parquet file",)], "x string").coalesce(1).write.text(f"{path}/roto")
+    schema = T.StructType([T.StructField("mes", T.StringType()), T.StructField("codigo", T.StringType()), T.StructField("cantidad", T.LongType()), T.StructField("subtotal", T.DoubleType())])
+    rows, bad = read_drifting(t.spark, path, schema)
+    g = rows.groupBy("mes").agg(F.count("*").alias("n"), F.sum("cantidad").alias("cantidad"), F.sum("subtotal").alias("subtotal"))
+    return g.withColumn("rotos", bad.agg(F.count("*")).scalar())
+
+
+@query("src14b_feed_quarantine", """SELECT fuente, modelo, fecha, R(precio_venta) AS precio_venta, moneda, NULL::VARCHAR AS motivo FROM competencia UNION ALL SELECT 'rota', NULL, NULL, NULL, NULL, 'OSError'""")
+def _(t):
+    """Compressed feeds, one of them cut off: it is left out whole and named."""
+    from pyspark.sql import types as T
+
+    from lonja.sources.intake import read_feeds
+    path = folder(t, "feeds")
+    c = t.competencia.select("fuente", "fecha", "modelo", "precio_venta", "moneda")
+    for k in range(4):
+        c.where(F.col("fuente") == f"fuente{k}").drop("fuente").write.option("header", True).option("compression", "gzip").csv(f"{path}/FUENTE{k}")
+    feed = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/FUENTE1").where("length > 200").orderBy("length").select("content").first()[0]
+    jvm = t.spark.sparkContext._jvm
+    cut = jvm.org.apache.hadoop.fs.Path(f"{path}/ROTA/part-0.csv.gz")
+    out = cut.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).create(cut)
+    out.write(bytearray(feed[:len(feed) // 2]))
+    out.close()
+    schema = T.StructType([T.StructField("fecha", T.DateType()), T.StructField("modelo", T.StringType()), T.StructField("precio_venta", T.DoubleType()), T.StructField("moneda", T.StringType())])
+    rows, bad = read_feeds(t.spark, path, schema, from_folder=True)
+    named = bad.select(F.lower(F.regexp_extract("path", r"/([A-Za-z0-9]+)/[^/]+$", 1)).alias("fuente"), F.regexp_extract("reason", r"^(\w+)", 1).alias("motivo"))
+    return rows.select("fuente", "modelo", "fecha", "precio_venta", "moneda").unionByName(named, allowMissingColumns=True)

@@ -135,7 +135,7 @@ def active_codes(lines: DataFrame, n: int = 3) -> DataFrame:
              .where("cantidad > 0 and precio > 0").select("codigo").distinct())
 
 
-def read_competitor_csv(spark: SparkSession, path: str, schema: T.StructType, from_folder: bool = False) -> DataFrame:
+def read_competitor_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, from_folder: bool = False) -> DataFrame:
     """One CSV per source; the source name comes from the file (or folder) name, bad rows become NULLs."""
     raw = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
     name = (F.regexp_extract(F.col("_metadata.file_path"), r"/([A-Za-z0-9]+)/[^/]+$", 1) if from_folder

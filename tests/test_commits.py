@@ -127,3 +127,30 @@ def test_an_interrupted_pull_resumes_without_repeats(spark, months, tmp_path):
     pull("2024-03-31")
     pull("2024-03-31")
     assert first == 60 and sorted(r.n for r in table.read().collect()) == list(range(200))
+
+
+def test_files_that_drift_or_break(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from lonja.sources.intake import read_drifting, read_feeds
+
+    path = f"{tmp_path}/in"
+    spark.createDataFrame([(1, 2)], "a int, b int").write.parquet(f"{path}/one")
+    spark.createDataFrame([(3.0, "x")], "a double, c string").write.parquet(f"{path}/two")
+    spark.createDataFrame([("7",), ("no number",)], "a string").write.parquet(f"{path}/three")
+    (tmp_path / "in" / "broken.parquet").write_bytes(b"PAR1 cut off")
+    (tmp_path / "in" / "empty.parquet").write_bytes(b"")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    rows, bad = read_drifting(spark, path, schema)
+    assert sorted(rows.collect(), key=str) == sorted([(1, 2), (3, None), (7, None), (None, None)], key=str) and rows.schema == schema
+    assert sorted(r.path.rsplit("/", 1)[1] for r in bad.collect()) == ["broken.parquet"] and all(r.reason for r in bad.collect())
+    import gzip
+    feeds = tmp_path / "feeds"
+    feeds.mkdir()
+    whole = gzip.compress(b"a,b\n1,2\n" + b"".join(b"%d,4\n" % k for k in range(3000)))
+    (feeds / "Good.csv.gz").write_bytes(whole)
+    (feeds / "Cut.csv.gz").write_bytes(whole[:len(whole) // 2])
+    (feeds / "Plain.csv").write_bytes(b"a,b\n5,x\n")
+    rows, bad = read_feeds(spark, str(feeds), schema)
+    got = {r.fuente: r.n for r in rows.groupBy("fuente").agg(F.count("*").alias("n")).collect()}
+    assert got == {"good": 3001, "plain": 1} and [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["Cut.csv.gz"]
