@@ -25,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,6 +88,29 @@ def parse(page: str) -> Node:
     """The tree of a page without hidden elements; unwanted ones are ``named``."""
     root = Node("body", None)
     stack, at, muted = [root], 0, []  # muted: open elements below a hidden one, itself first
+    # how many elements of each tag are open: in all, from the nearest scope on, below a hidden one; searches only run if they will find
+    open_, regions, hushed = Counter(), [Counter()], Counter()
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_[node.tag] += 1
+        if node.tag in SCOPE:
+            regions.append(Counter())
+        regions[-1][node.tag] += 1
+
+    def close(tags) -> None:
+        """Close the topmost element of ``tags``, which is open, and all in it."""
+        tag = None
+        while tag not in tags:
+            tag = stack.pop().tag
+            open_[tag] -= 1
+            regions[-1][tag] -= 1
+            if tag in SCOPE:
+                regions.pop()
+
+    def mute(tag: str) -> None:
+        muted.append(tag)
+        hushed[tag] += 1
 
     def text(raw: str) -> None:
         if raw and not muted:
@@ -102,16 +126,18 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if muted:
-                if tag in muted:
-                    del muted[len(muted) - 1 - muted[::-1].index(tag):]
-                elif tag in ("body", "html") or tag in ("article", "main", "section") and any(n.tag == tag for n in stack):
+                if hushed[tag]:
+                    last = None
+                    while last != tag:
+                        last = muted.pop()
+                        hushed[last] -= 1
+                elif tag in ("body", "html") or tag in ("article", "main", "section") and open_[tag]:
                     muted.clear()
-                if muted or tag not in ("article", "main", "section") or not any(n.tag == tag for n in stack):
+                    hushed.clear()
+                if muted or tag not in ("article", "main", "section") or not open_[tag]:
                     continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_[tag]:
+                close({tag})
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at) if not m[0].endswith("/>") else None
@@ -125,22 +151,18 @@ def parse(page: str) -> Node:
         if muted:
             if not m[0].endswith("/>"):
                 if muted[-1] in CLOSES.get(tag, ()) or muted[-1] == "p" and tag in BLOCK and len(muted) > 1:
-                    muted.pop()
-                muted.append(tag)
+                    hushed[muted.pop()] -= 1
+                mute(tag)
             continue
         if tag in ("body", "html"):
             continue
         if tag in BLOCK or tag in CLOSES:
             shut = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in shut:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and stack[k].tag not in shut and tag in BLOCK:
-                    break
+            if any((regions[-1] if tag in BLOCK else open_)[t] > 0 for t in shut):
+                close(shut)
         if tag == "head" or tag not in ("article", "main", "h1") and hidden(m[3]):
             if not m[0].endswith("/>"):
-                muted.append(tag)
+                mute(tag)
             if tag in BLOCK:
                 stack[-1].parts.append(Node("hr", stack[-1]))
             continue
@@ -148,7 +170,7 @@ def parse(page: str) -> Node:
         stack[-1].children.append(node)
         stack[-1].parts.append(node)
         if not m[0].endswith("/>"):
-            stack.append(node)
+            push(node)
     text(page[at:])
     return root
 

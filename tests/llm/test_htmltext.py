@@ -1,3 +1,4 @@
+import time
 import random
 
 import pytest
@@ -52,6 +53,14 @@ def test_deep_and_long_pages():
     assert len(H.main_text("<p>" + "word " * 200_000)) == 999_999
 
 
+@pytest.mark.parametrize("page", ["<b>" * 200_000 + "</i>" * 200_000, "<p><td>" + "<b>" * 100_000 + "<li>x" * 100_000, "<div hidden>" + "<b>" * 200_000 + "</i>" * 200_000,
+                                  "<div hidden>" + "<b>" * 1_000 + "</section>" * 200_000])
+def test_unclosed_and_unopened_tags_are_linear(page):
+    began = time.process_time()
+    H.parse(page)
+    assert time.process_time() - began < 30  # each end tag looking through all open ones takes many minutes
+
+
 def test_extract(frame):
     rows = [(1, "u", "<p>é</p>"), (None, None, None), (2, "v", ""), (2, "v", "")]
     out = H.extract(frame(rows, PAGES, ("text", "n_chars"))).collect()
