@@ -137,3 +137,16 @@ def _(t):
 def _(t):
     s = event_stream(t).select("user_id", "codigo", "event_id", "value", "tipo")
     return upsert(t, s, ["user_id", "codigo", "tipo"], "event_id", "tipo")
+
+
+@query("str09_weekly_checkpoints", """WITH f AS (SELECT max(fecha) - 1 AS mx FROM lineas), k AS (SELECT unnest(range(1, 13)) AS semana)
+   SELECT g.codigo, strftime(g.fecha_aceptado, '%Y-%m-%d') AS fecha_aceptado, CAST(semana AS INT) AS semana, R(coalesce(sum(cantidad), 0)) AS u FROM (SELECT DISTINCT codigo, fecha_aceptado FROM registro) g JOIN k ON true JOIN f ON g.fecha_aceptado + CAST(7 * semana AS INT) <= mx
+   LEFT JOIN lineas v ON v.codigo = g.codigo AND v.fecha >= g.fecha_aceptado + CAST(7 * semana - 7 AS INT) AND v.fecha < g.fecha_aceptado + CAST(7 * semana AS INT) GROUP BY ALL""")
+def _(t):
+    """The weekly checkpoints as a stream over all sales lines; the registry is handed over as initial state."""
+    s = t.lineas.select("codigo", F.col("fecha").cast("timestamp").alias("ts"), F.col("cantidad").cast("double").alias("cantidad"))
+    path = _dir(t, "lineas")
+    s.write.parquet(path)
+    sales = t.spark.readStream.schema(s.schema).parquet(path)
+    r = rocks(t, lambda: drain(t, T.weekly_checkpoints(sales, t.registro)))
+    return r.select("codigo", F.date_format("fecha_aceptado", "yyyy-MM-dd").alias("fecha_aceptado"), "semana", "u")

@@ -170,3 +170,73 @@ def brake_alerts(snaps: DataFrame, cover_ok: float = 6.0, quiet_days: int = 90,
     return s.groupBy("codigo").transformWithStateInPandas(
         statefulProcessor=BrakeTracker(cover_ok, quiet_days * 86_400_000), outputStructType="codigo string, ts timestamp, cobertura double, recomendacion string",
         outputMode="Append", timeMode="EventTime")
+
+
+class WeeklyBuckets(StatefulProcessor):
+    """Units of the first ``weeks`` 7-day buckets after each accepted decision of a product.
+
+    The decisions come as initial state from the batch registry. A bucket is emitted, also an empty one, when event time
+    has passed its end; the last bucket of a decision removes it.
+    """
+
+    DAY = 86_400_000
+
+    def __init__(self, weeks: int):
+        self.weeks = weeks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.decisions = handle.getMapState("decisiones", "inicio long", "desde long")
+        self.units = handle.getMapState("cubetas", "inicio long, semana int", "u double")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for day in initialState["fecha_aceptado"]:
+            start = int(pd.Timestamp(day).timestamp() * 1000)
+            self.decisions.updateValue((start,), (start,))
+            for k in range(1, self.weeks + 1):
+                self.handle.registerTimer(start + 7 * k * self.DAY)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        starts, found = [s for s, in self.decisions.keys()], {}
+        for part in rows:
+            for ts, u in zip(part["ts"], part["cantidad"]) if starts else ():
+                at = int(ts.timestamp() * 1000)
+                for s in starts:
+                    k = (at - s) // (7 * self.DAY) + 1
+                    if at >= s and k <= self.weeks:
+                        found[s, k] = found.get((s, k), 0.0) + float(u)
+        for bucket, u in found.items():
+            before = self.units.getValue(bucket)[0] if self.units.containsKey(bucket) else 0.0
+            self.units.updateValue(bucket, (before + u,))
+        yield pd.DataFrame([], columns=["codigo", "inicio", "semana", "u"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for s in [s for s, in self.decisions.keys()]:
+            k = (end - s) // (7 * self.DAY)
+            if (end - s) % (7 * self.DAY) or not 1 <= k <= self.weeks:
+                continue
+            u = 0.0
+            if self.units.containsKey((s, k)):
+                u = self.units.getValue((s, k))[0]
+                self.units.removeKey((s, k))
+            out.append((key[0], s, k, u))
+            if k == self.weeks:
+                self.decisions.removeKey((s,))
+        yield pd.DataFrame(out, columns=["codigo", "inicio", "semana", "u"])
+
+    def close(self) -> None:
+        pass
+
+
+def weekly_checkpoints(sales: DataFrame, registry: DataFrame, weeks: int = 12, delay: str = "1 day") -> DataFrame:
+    """Closed weekly buckets of every decision: codigo, fecha_aceptado, semana, u.
+
+    ``sales`` is a stream of codigo, ts, cantidad; ``registry`` a batch table of codigo, fecha_aceptado, read
+    when the query starts for the first time. Needs the RocksDB state store.
+    """
+    s = sales.select("codigo", "ts", "cantidad").withWatermark("ts", delay)
+    closed = s.groupBy("codigo").transformWithStateInPandas(
+        statefulProcessor=WeeklyBuckets(weeks), outputStructType="codigo string, inicio long, semana int, u double", outputMode="Append", timeMode="EventTime",
+        initialState=registry.select("codigo", "fecha_aceptado").distinct().groupBy("codigo"))
+    return closed.select("codigo", F.timestamp_millis("inicio").cast("date").alias("fecha_aceptado"), "semana", "u")
