@@ -103,12 +103,11 @@ class Booster:
         """An array with the prediction of every model, from the columns named ``features``."""
         model = self
 
-        def score(*cols):
+        def score(*cols: pd.Series) -> pd.Series:
             values = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in cols])
             return pd.Series(list(model.scores(values).T))
 
-        udf = F.pandas_udf(score, "array<double>", F.PandasUDFType.SCALAR)
-        return udf(*[F.col(c).cast("double") for c in self.features])
+        return F.pandas_udf(score, "array<double>")(*[F.col(c).cast("double") for c in self.features])
 
     def predict(self, df: DataFrame, *names: str) -> DataFrame:
         """``df`` with one column per model."""
