@@ -1,11 +1,19 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 Documents are sets of hashed word shingles. Documents with equal sets form one node from the start, so
-copies cost nothing further. Each of ``trees`` trees has a MinHash label per node. The depth of the label
-is fixed before any data is seen: the longest up to ``depth`` at which a pair exactly at the threshold
-shares it in some tree with at least the target probability. This equals banding (``trees`` bands of so
-many rows); no trie is kept and no prefix is shortened from the data. Nodes with an equal label are
-candidates; they are linked to the smallest of them, and the components of these links are the units
+copies cost nothing further. Each of ``trees`` trees holds a MinHash label of ``depth`` values per node. The
+labels of all trees are sorted across the cluster by (tree, label, node): that order is the prefix tries
+written down, since the nodes below a trie node are neighbours in it, and the longest prefix that a node
+matches is the one it shares with the row before or after. Hot prefixes are split at any node, so no trie node
+is gathered; what lies on both sides of a cut is linked by the cut's two rows. One pass gives the links
+of every prefix length.
+
+Matched prefixes start at full length. Their candidates are verified, and the least similarity at which links
+occur decides how far prefixes must be shortened so that pairs like these share one with at least the
+probability ``target``; then only the components that grew are verified again, until nothing is left to
+shorten. A corpus whose copies are all close stops at a longer prefix than one with pairs at the threshold.
+
+Candidates are linked to the smallest of their run, and the components of these links are the units
 of verification, so every candidate pair lies inside one unit.
 
 Verification is exact on whole sets. Small units are dealt together; a unit of any size is cut into
@@ -75,17 +83,17 @@ def recall(similarity: float, depth: int, trees: int) -> float:
     return 1 - (1 - similarity ** depth) ** trees
 
 
-def matched_depth(threshold: float, target: float, depth: int, trees: int) -> int:
-    """The longest prefix, shortened from ``depth``, that reaches the target recall."""
-    while depth > 1 and recall(threshold, depth, trees) < target:
+def matched_depth(similarity: float, target: float, depth: int, trees: int) -> int:
+    """The longest prefix, shortened from ``depth``, at which pairs of this similarity reach the target recall."""
+    while depth > 1 and recall(similarity, depth, trees) < target:
         depth -= 1
-    if recall(threshold, depth, trees) < target:
+    if recall(similarity, depth, trees) < target:
         raise ValueError("too few trees for this recall")
     return depth
 
 
 class Forest:
-    """MinHash labels; the same on every task."""
+    """MinHash labels of 16-bit values; the same on every task."""
 
     def __init__(self, trees: int, depth: int):
         rng = np.random.default_rng(20_24)
@@ -98,15 +106,7 @@ class Forest:
         short = mixed(items).astype(np.uint32)
         for k in range(0, len(short), 1024):
             np.minimum(low, (short[k:k + 1024, None] * self.a + self.b).min(axis=0), out=low)
-        return low.reshape(self.trees, self.depth)
-
-    def prefixes(self, items: np.ndarray) -> np.ndarray:
-        """One 63-bit key per tree for the prefix of the label."""
-        low = self.labels(items).astype(np.uint64)
-        acc = np.arange(1, self.trees + 1, dtype=np.uint64) * MIX
-        for k in range(self.depth):
-            acc = mixed((acc ^ low[:, k]) * MIX + np.uint64(k + 1))
-        return (acc >> np.uint64(1)).astype(np.int64)
+        return mixed(low.astype(np.uint64)).astype(np.uint16).reshape(self.trees, self.depth)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
-    """key, doc_id, digest of the shingle set, its size n, and the prefix keys."""
+    """key, doc_id, digest of the shingle set, its size n, and the labels of all trees, whose bytes sort like their values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -125,20 +125,60 @@ def signed(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
                 s = shingles(text, size, hashes)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                 sizes.append(len(s))
-                keys.append(forest.prefixes(s) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                                             ["key", "doc_id", "digest", "n", "prefixes"])
+                keys.append(forest.labels(s).astype(">u2").tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())],
+                                             ["key", "doc_id", "digest", "n", "labels"])
+
+    return _plain(docs).mapInArrow(run, "key long, doc_id long, digest string, n long, labels binary")
+
+
+def _runs(depth: int, least: int):
+    """Links inside one sorted part, and the part's first and last row (depth -1), which stand at its cuts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = [b for b in batches if b.num_rows]
+        if not part:
+            return
+        tree, node = (np.concatenate([b.column(n).to_numpy() for b in part]) for n in ("tree", "node"))
+        raw = [b"".join(b.column("label").to_pylist()) for b in part]
+        label = np.frombuffer(b"".join(raw), ">u2").reshape(len(tree), depth)
+        same = np.logical_and.accumulate((label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1)
+        shared = np.concatenate([[0], same.sum(axis=1)])  # the prefix that each row shares with the one before
+        seen, out = node, []
+        for d in range(depth, least - 1, -1):  # the longest prefix comes first; a link found there holds for all shorter ones
+            starts = np.flatnonzero(shared < d)
+            low = np.repeat(np.minimum.reduceat(node, starts), np.diff(starts, append=len(node)))
+            new = (low != seen) & (low != node)
+            out.append((node[new], low[new], np.full(new.sum(), d)))
+            seen = low
+        ends = [0, len(tree) - 1]
+        u, v, d = (np.concatenate(x) for x in zip(*out, (node[ends], node[ends], np.array([-1, -1]))))
+        at = [None] * (len(u) - 2)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.int32()), pa.array(at + [int(tree[i]) for i in ends], pa.int32()),
+                                          pa.array(at + [label[i].tobytes() for i in ends], pa.binary())], ["u", "v", "depth", "tree", "label"])
+
+    return run
 
-    return _plain(docs).mapInArrow(run, "key long, doc_id long, digest string, n long, prefixes array<long>")
 
+def trie_links(nodes: DataFrame, forest: Forest, least: int, part_rows: int = 200_000) -> DataFrame:
+    """(u, v, depth): u is linked to v below a trie node of ``depth`` values, the longest one where it is so.
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(u, v) between every node and the smallest node below the same trie node. ``nodes``: node, prefixes."""
-    rows = written(nodes.select("node", F.explode("prefixes").alias("prefix")), "prefixes")
-    shared = written(rows.groupBy("prefix").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("n > 1"), "shared")
-    twos = shared.filter("n = 2").select(F.col("least").alias("v"), F.col("most").alias("u"))
-    more = rows.join(shared.filter("n > 2").select("prefix", "least").hint("merge"), "prefix").select(F.col("least").alias("v"), F.col("node").alias("u"))
-    return twos.unionByName(more).filter("u <> v").distinct()
+    ``nodes``: node, labels. The links with at least some depth connect all nodes that share so long a prefix in a tree.
+    """
+    width = 2 * forest.depth
+    rows = nodes.select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+    rows = written(rows.select("tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"), "node"), "labels")
+    parts = max(1, -(-rows.count() // part_rows))
+    order = ["tree", "label", "node"]
+    sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = written(sorted_.mapInArrow(_runs(forest.depth, least), "u long, v long, depth int, tree int, label binary"), "runs")
+    inside = found.filter("depth >= 0").select("u", "v", "depth")
+    # two rows per part, in order: what both sides of a cut share
+    before = Window.orderBy("tree", "label", "u")
+    cut = found.filter("depth < 0").select("u", "tree", "label", F.lag("u").over(before).alias("v"), F.lag("tree").over(before).alias("t"), F.lag("label").over(before).alias("l"))
+    shared = sum(((F.expr(f"substring(label, 1, {2 * d})") == F.expr(f"substring(l, 1, {2 * d})")).cast("int") for d in range(1, forest.depth + 1)), F.lit(0))
+    across = cut.filter("tree = t").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), shared.alias("depth")).filter(f"u <> v and depth >= {least}")
+    return written(inside.unionByName(across).groupBy("u", "v").agg(F.max("depth").alias("depth")), "links")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
@@ -159,11 +199,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return np.rint(out).astype(np.int64)
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], limit: Fraction) -> np.ndarray:
-    """Which pairs reach the threshold, in whole numbers."""
+def linked(left: list[np.ndarray], right: list[np.ndarray], limit: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs reach the threshold, in whole numbers, and the similarity of all pairs."""
     a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     both = intersections(left, right)
-    return limit.denominator * both >= limit.numerator * (a[:, None] + b[None, :] - both)
+    union = a[:, None] + b[None, :] - both
+    return limit.denominator * both >= limit.numerator * union, both / union
 
 
 def forest_labels(links: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -176,7 +217,7 @@ def forest_labels(links: np.ndarray, names: np.ndarray) -> np.ndarray:
         label = new
 
 
-FOUND = "node long, links long, hub long"
+FOUND = "node long, links long, hub long, low double"
 
 
 def _verified(limit: Fraction):
@@ -190,17 +231,17 @@ def _verified(limit: Fraction):
             a, b = unit[unit["side"] != 2], unit[unit["side"] == 2]
             x, names_a, copies_a = sets_of(a), a["node"].to_numpy(), a["copies"].to_numpy()
             if unit["side"].iloc[0] == 0:  # all pairs of one block
-                link = linked(x, x, limit)
+                link, like = linked(x, x, limit)
                 np.fill_diagonal(link, False)
-                out.append(pd.DataFrame({"node": names_a, "links": link @ copies_a, "hub": forest_labels(link, names_a)}))
+                out.append(pd.DataFrame({"node": names_a, "links": link @ copies_a, "hub": forest_labels(link, names_a), "low": like.min(where=link, initial=2)}))
                 continue
             names_b, copies_b = b["node"].to_numpy(), b["copies"].to_numpy()
-            cross = linked(x, sets_of(b), limit)
+            cross, like = linked(x, sets_of(b), limit)
             names = np.concatenate([names_a, names_b])
             whole = np.zeros((len(names), len(names)), bool)
             whole[:len(x), len(x):] = cross
             whole |= whole.T
-            out.append(pd.DataFrame({"node": names, "links": np.concatenate([cross @ copies_b, cross.T @ copies_a]), "hub": forest_labels(whole, names)}))
+            out.append(pd.DataFrame({"node": names, "links": np.concatenate([cross @ copies_b, cross.T @ copies_a]), "hub": forest_labels(whole, names), "low": like.min(where=cross, initial=2)}))
         return pd.concat(out)
 
     return run
@@ -232,17 +273,11 @@ def units(members: DataFrame, limit: Fraction, block: int) -> DataFrame:
     return small.unionByName(one).unionByName(two)
 
 
-def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 32, depth: int = 8, target: float = 0.9999, block: int = 400) -> DataFrame:
-    """key, doc_id, class_id, n_links, n_copies of every row of ``docs``."""
-    limit = Fraction(str(threshold))
-    forest = Forest(trees, matched_depth(threshold, target, depth, trees))
-    rows = written(signed(docs, size, forest), "signed")
-    nodes = rows.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("copies"))
-    nodes = written(nodes, "nodes")
-    whole = rows.select("digest", F.col("key").alias("node"), "n", "prefixes").dropDuplicates(["digest", "node"]).join(nodes, ["digest", "node"])
-    whole = written(whole, "node_labels")
-    joined = components(candidate_edges(whole.filter("n > 0").select("node", "prefixes")))
-    members = written(joined.join(whole.select("node", "n", "copies"), "node"), "members")
+def verified_links(docs: DataFrame, nodes: DataFrame, size: int, limit: Fraction, forest: Forest, target: float, block: int) -> tuple[DataFrame, int]:
+    """(node, links, hub, low) of all links that the forest finds, and the prefix length at which it stopped.
+
+    ``nodes``: node, n, labels, copies. ``low`` is the least similarity of a link in the node's block, 2 without one.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -250,10 +285,39 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int =
             items = [shingles(t, size, hashes).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(items, pa.binary())], ["node", "items"])
 
-    wanted = _plain(docs).withColumnRenamed("key", "node").join(members.select("node").hint("merge"), "node").select("node", "text").dropDuplicates(["node"])
-    parts = written(units(members, limit, block), "units")
-    found = wanted.mapInArrow(sets, "node long, items binary").join(parts, "node").groupBy("task").applyInPandas(_verified(limit), FOUND)
-    found = written(found, "found")
+    least = matched_depth(float(limit), target, forest.depth, forest.trees)
+    links = trie_links(nodes.filter("n > 0").select("node", "labels"), forest, least)
+    depth, old, found = forest.depth, None, None
+    while True:
+        members = written(components(links.filter(F.col("depth") >= depth).select("u", "v")).join(nodes.select("node", "n", "copies"), "node"), "members")
+        changed = members
+        if old is not None:  # a component made of one earlier component and nothing else keeps what was found
+            both = members.select("node", "class").join(old.select("node", F.col("class").alias("was")), "node", "left")
+            grown = both.groupBy("class").agg((F.count("was") < F.count("*")).alias("more"), (F.min("was") < F.max("was")).alias("merged")).filter("more or merged")
+            changed = written(members.join(grown.select("class"), "class", "left_semi"), "changed")
+        wanted = _plain(docs).withColumnRenamed("key", "node").join(changed.select("node").hint("merge"), "node").select("node", "text").dropDuplicates(["node"])
+        parts = written(units(changed, limit, block), "units")
+        new = wanted.mapInArrow(sets, "node long, items binary").join(parts, "node").groupBy("task").applyInPandas(_verified(limit), FOUND)
+        if found is not None:
+            new = new.unionByName(found.join(changed.select("node"), "node", "left_anti"))
+        found, old = written(new, "found"), members
+        low = found.agg(F.min("low")).first()[0]
+        enough = depth if low is None or low > 1 else matched_depth(max(low, float(limit)), target, depth, forest.trees)
+        if enough == depth:
+            return found, depth
+        depth = enough
+
+
+def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees: int = 32, depth: int = 8, target: float = 0.9999, block: int = 400) -> DataFrame:
+    """key, doc_id, class_id, n_links, n_copies of every row of ``docs``."""
+    limit = Fraction(str(threshold))
+    forest = Forest(trees, depth)
+    rows = written(signed(docs, size, forest), "signed")
+    nodes = rows.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("copies"))
+    nodes = written(nodes, "nodes")
+    whole = rows.select("digest", F.col("key").alias("node"), "n", "labels").dropDuplicates(["digest", "node"]).join(nodes, ["digest", "node"])
+    whole = written(whole, "node_labels")
+    found, _ = verified_links(docs, whole, size, limit, forest, target, block)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(found.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))).withColumnRenamed("class", "least")
     by_node = nodes.join(links, "node", "left").join(final, "node", "left").select(

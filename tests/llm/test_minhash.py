@@ -70,14 +70,70 @@ def test_empty_table(frame):
 def test_recall_of_the_forest():
     depth = M.matched_depth(0.8, 0.9999, 8, 32)
     assert M.recall(0.8, depth, 32) >= 0.9999 > M.recall(0.8, depth + 1, 32)
-    forest, rng, hit = M.Forest(32, depth), np.random.default_rng(1), 0
+    forest, rng, hit = M.Forest(32, 8), np.random.default_rng(1), 0
     for _ in range(400):
         a = rng.integers(0, 1 << 63, 160).astype(np.uint64)
         b = np.concatenate([a[:142], rng.integers(0, 1 << 63, 18).astype(np.uint64)])  # similarity 0.798
-        hit += bool((forest.prefixes(np.unique(a)) == forest.prefixes(np.unique(b))).any())
+        hit += bool((forest.labels(np.unique(a)) == forest.labels(np.unique(b)))[:, :depth].all(axis=1).any())
     assert hit >= 398
 
 
+@pytest.mark.parametrize("part_rows", [100_000, 7])
+def test_sorted_tries_hold_every_shared_prefix(spark, part_rows):
+    rng, forest = np.random.default_rng(5), M.Forest(6, 5)
+    labels = rng.integers(0, 2, (70, 6, 5))
+    labels[40:65, :3] = labels[0, :3]  # a hot prefix over many parts
+    rows = [(100 - k, bytearray(x.astype(">u2").tobytes())) for k, x in enumerate(labels)]
+    links = [tuple(r) for r in M.trie_links(spark.createDataFrame(rows, "node long, labels binary"), forest, 2, part_rows).collect()]
+    for depth in (5, 4, 3, 2):
+        up = {n: n for n, _ in rows}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for u, v, d in links:
+            if d >= depth:
+                up[max(root(u), root(v))] = min(root(u), root(v))
+        found = {n: root(n) for n in up}
+        up = {n: n for n, _ in rows}
+        for tree in range(6):
+            first = {}
+            for k, x in enumerate(labels):
+                a, b = root(first.setdefault(tuple(x[tree, :depth]), 100 - k)), root(100 - k)
+                up[max(a, b)] = min(a, b)
+        assert found == {n: root(n) for n in up}
+
+
+def near(count, words, changes, seed):
+    """Pairs of texts of which the second has ``changes`` words of the first replaced, far apart."""
+    rng, rows = random.Random(seed), []
+    for k in range(count):
+        w = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(words)]
+        rows.append((2 * k, " ".join(w)))
+        for j in range(changes):
+            w[10 + j * 30] = "other"
+        rows.append((2 * k + 1, " ".join(w)))
+    return rows
+
+
+def test_prefixes_are_shortened_by_what_the_corpus_holds(frame, monkeypatch):
+    stopped, inner = [], M.verified_links
+    monkeypatch.setattr(M, "verified_links", lambda *a: stopped.append(inner(*a)) or stopped[-1])
+    for rows in (near(30, 400, 2, 1), near(30, 400, 8, 2)):  # similarities of 0.95 and 0.82
+        found = M.link_documents(frame(rows, DOCS)).collect()
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == brute(rows)
+    assert [depth for _, depth in stopped] == [8, 6]
+
+
+def test_recall_against_all_pairs(frame):
+    rows = near(150, 300, 6, 3) + [(1000 + d, t) for d, t in corpus(8, 10, 20)[5:]]
+    found = {r.doc_id: r.n_links for r in M.link_documents(frame(rows, DOCS)).collect()}
+    expected = {d: n for d, _, n in brute(rows)}
+    assert sum(found.values()) >= 0.999 * sum(expected.values()) > 300 and all(found[d] <= n for d, n in expected.items())
+
+
 def test_intersections_in_column_blocks():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(25)]
