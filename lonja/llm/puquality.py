@@ -6,23 +6,25 @@ logistic loss. Negative labels are never used. The class prior pi is estimated f
 samples: networks that never saw a row tell how positive it looks, and pi is the smallest ratio of
 the unlabelled to the positive share above a score (chosen with a bound for the sampling error).
 
-The training sample is bounded: at most ``sample`` rows of the training fold, chosen by hash of id and
-text, equal rows in proportion to their number; their vectors (a few numbers each) are all that reaches
-the driver. Before, (id, text hash, count) are shuffled once. Scoring is one pass over all whole texts
+The training samples are bounded: at most ``sample`` rows of the training fold as unlabelled texts and, drawn
+apart, at most half as many of its trusted positives, so that few labels in a large corpus are all used. Both are
+chosen by hash of id and text, equal rows in proportion to their number; their vectors (a few numbers each) are
+all that reaches the driver. Before, (id, text hash, count) are shuffled once. Scoring is one pass over all whole texts
 without a shuffle.
 
 The vector has statistics of the text alone; labels, lang, source and doc_id are no inputs.
 
 Defined cases: null and empty texts have the zero vector and the score of that vector; rows with a
 null doc_id belong to the training fold but match no label; of several labels of one document the
-largest counts; repeated rows are scored as often as they come; with no positives in the sample every
-score is 0.5; an empty table gives an empty result; other columns are ignored by ``score`` and kept
+largest counts; repeated rows are scored as often as they come; without any trusted positive in
+the training fold every score is 0.5 and a warning says so; an empty table gives an empty result; other columns are ignored by ``score`` and kept
 by ``keep_good``.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,14 +113,16 @@ def class_prior(score_p: np.ndarray, score_u: np.ndarray, delta: float = 0.1) ->
     return float(np.clip(q_u[k] / q_p[k], 0.01, 0.99))
 
 
-def scouted(x: np.ndarray, positive: np.ndarray, folds: int = 4) -> np.ndarray:
-    """How positive each row looks to a network that separates the positives from all rows of the other folds."""
-    fold = np.random.default_rng(3).permutation(len(x)) % folds
-    out = np.zeros(len(x))
-    for k in range(folds):
-        rest = (fold != k) if positive[fold != k].any() else np.ones(len(x), bool)
-        out[fold == k] = fit_network(x[rest & positive], x[rest], separate_slopes, 0.5, rounds=200, decay=0.03).logit(x[fold == k])
-    return out
+def scouted(x_p: np.ndarray, x_u: np.ndarray, fold_p: np.ndarray, fold_u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How positive the rows of both samples look to a network that separates the samples in the other folds."""
+    score_p, score_u = np.zeros(len(x_p)), np.zeros(len(x_u))
+    for k in np.unique(np.concatenate([fold_p, fold_u])):
+        p, u = fold_p != k, fold_u != k
+        if not (p.any() and u.any()):
+            p, u = np.ones(len(x_p), bool), np.ones(len(x_u), bool)
+        net = fit_network(x_p[p], x_u[u], separate_slopes, 0.5, rounds=200, decay=0.03)
+        score_p[fold_p == k], score_u[fold_u == k] = net.logit(x_p[fold_p == k]), net.logit(x_u[fold_u == k])
+    return score_p, score_u
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,37 +140,48 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sampled(docs: DataFrame, sample: int) -> DataFrame:
-    """doc_id, h, n, x: about ``sample`` rows of the training fold, of which ``n`` are equal; at most ``sample`` different ones.
+def sampled(docs: DataFrame, trusted: DataFrame, sample: int) -> DataFrame:
+    """doc_id, h, n, m, x: about ``sample`` rows of the training fold and half as many of its ``trusted`` (doc_id) rows.
 
-    Rows of one doc_id and text are counted first; of ``c`` such rows ``c`` times the share are taken, the
-    fraction rounded up or down by their hash ``h``.
+    Rows of one doc_id and text are counted first; of ``c`` such rows ``c`` times the share of either sample are taken
+    (``n`` and ``m``), the fraction rounded up or down by their hash ``h``. Neither has more than its bound of different rows.
     """
     fold = _plain(docs).filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", "text"))
-    same = written(fold.groupBy("doc_id", "h").agg(F.count("*").alias("c")), "counts")
-    share = min(1.0, sample / max(same.agg(F.sum("c")).first()[0] or 0, 1))
+    same = fold.groupBy("doc_id", "h").agg(F.count("*").alias("c"))
+    same = written(same.join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left"), "counts")
+    total = same.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("trusted"), F.col("c"))).alias("trusted")).first()
     draw = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
-    drawn = same.withColumn("n", F.floor(F.col("c") * share + draw).cast("long")).filter("n > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n")
-    drawn = F.broadcast(drawn.orderBy("g", "d").limit(sample))
-    wanted = fold.join(drawn, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "text", "h", "n")
-    found = wanted.mapInArrow(_vectors, "doc_id long, h long, n long, x array<double>")
-    return found.groupBy("doc_id", "h", "n").agg(F.min("x").alias("x"))
+
+    def drawn(rows: DataFrame, name: str, bound: int, count: int | None) -> DataFrame:
+        share = min(1.0, bound / max(count or 0, 1))
+        taken = rows.withColumn(name, F.floor(F.col("c") * share + draw).cast("long")).filter(f"{name} > 0")
+        return taken.orderBy("h", "doc_id").limit(bound).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), name)
+
+    both = drawn(same, "n", sample, total["all"]).unionByName(drawn(same.filter("trusted"), "m", -(-sample // 2), total["trusted"]), allowMissingColumns=True)
+    both = F.broadcast(both.groupBy("d", "g").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")))
+    wanted = fold.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "text", "h", "n", "m")
+    found = wanted.mapInArrow(_vectors, "doc_id long, h long, n long, m long, x array<double>")
+    return found.groupBy("doc_id", "h", "n", "m").agg(F.min("x").alias("x"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000) -> tuple[Network | None, float]:
-    """The network and the class prior, from at most ``sample`` documents outside the held-out fold."""
-    trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id", F.lit(True).alias("trusted"))
-    rows = sampled(docs, sample).join(trusted, "doc_id", "left").orderBy("doc_id", "x").toArrow()
-    n, h = np.array(rows.column("n").to_pylist(), np.int64), np.array(rows.column("h").to_pylist(), np.int64)
-    order = np.argsort(h, kind="stable")
-    n[order] = np.diff(np.minimum(np.cumsum(n[order]), sample), prepend=0)  # what is over the bound goes, last by hash
-    x = np.repeat(np.array(rows.column("x").to_pylist(), float).reshape(-1, len(VECTOR)), n, axis=0)
-    positive = np.repeat(np.array([bool(t) for t in rows.column("trusted").to_pylist()], bool), n)
-    if not positive.any():
+    """The network and the class prior, from at most ``sample`` unlabelled and half as many trusted rows outside the held-out fold."""
+    trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).filter("quality = 1")
+    rows = sampled(docs, trusted, sample).orderBy("doc_id", "x").toArrow()
+    h = np.array(rows.column("h").to_pylist(), np.int64)
+    x, order = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(VECTOR)), np.argsort(h, kind="stable")
+
+    def repeated(name: str, bound: int) -> np.ndarray:
+        times = np.array(rows.column(name).to_pylist(), np.int64)
+        times[order] = np.diff(np.minimum(np.cumsum(times[order]), bound), prepend=0)  # what is over the bound goes, last by hash
+        return np.repeat(np.arange(len(x)), times)
+
+    p, u = repeated("m", -(-sample // 2)), repeated("n", sample)
+    if not len(p):
+        warnings.warn("no trusted positive in the training fold: every score is 0.5", stacklevel=2)
         return None, 0.5
-    apart = scouted(x, positive)
-    prior = class_prior(apart[positive], apart)
-    return fit_network(x[positive], x, risk_slopes, prior), prior
+    prior = class_prior(*scouted(x[p], x[u], h[p] % 4, h[u] % 4))
+    return fit_network(x[p], x[u], risk_slopes, prior), prior
 
 
 def _scorer(net: Network | None):

@@ -82,9 +82,22 @@ def test_sample_is_bounded_on_hot_keys(frame, monkeypatch):
     rows, labels, _ = corpus(600)
     hot = [(None, f"text number {k} of no id", "en") for k in range(600)] + [(None, "the same text", "en")] * 600 + [(3, f"other text {k}", "en") for k in range(600)]
     seen = []
-    monkeypatch.setattr(Q, "scouted", lambda x, positive: seen.append((x, positive)) or x[:, 0])
+    monkeypatch.setattr(Q, "scouted", lambda p, u, *_: seen.append((u, p)) or (p[:, 0], u[:, 0]))
     Q.train(frame(rows + hot, DOCS), frame(labels, LABELS), sample=200)
     x, positive = seen[0]
     same = np.isclose(x, Q.quality_vector("the same text")).all(axis=1).sum()
     fold = sum(zlib.crc32(str(d).encode() if d is not None else b"") % 3 != 1 for d, *_ in rows + hot)
     assert 150 < len(x) <= 200 and positive.any() and abs(same - 600 / fold * 200) <= 2  # equal rows keep their share
+
+
+def test_few_positives_in_a_large_table_are_all_used(frame, monkeypatch):
+    rows, labels, truth = corpus(4000)
+    fold = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    few = [(d, 1) for d, q in labels if q and not fold(d)][:50]
+    seen, inner = [], Q.scouted
+    monkeypatch.setattr(Q, "scouted", lambda p, u, *folds: seen.append((len(p), len(u))) or inner(p, u, *folds))
+    out = Q.score(frame(rows, DOCS), frame(few, LABELS), sample=600).collect()
+    assert seen[0][0] == 50 and 500 < seen[0][1] <= 600
+    test = [(truth[r.doc_id], r.score) for r in out if r.held_out]
+    good, bad = [s for y, s in test if y], [s for y, s in test if not y]
+    assert np.mean([g > b for g in good[:300] for b in bad]) > 0.97
