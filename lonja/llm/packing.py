@@ -1,9 +1,9 @@
 """Sum-of-squares packing of token sequences.
 
-Every document is tokenized once; only (document, piece, length, checksum) rows are shuffled, never
-tokens. Pieces are dealt by hash to groups of about ``group_rows`` documents, each packed by itself,
-so no task sees more than a bounded share; the loss against one global packing is the few sequences
-at each group's end.
+Every document is tokenized once; its pieces (document, piece, length, checksum; never tokens) are written
+with a row number, and that number deals them to groups of about ``group_rows`` pieces, each packed by itself.
+Rows that repeat one document, with or without a doc_id, are thus spread like all others, and no task sees
+more than a bounded share; the loss against one global packing is the few sequences at each group's end.
 
 Inside a group, pieces come longest first. A piece goes to the open sequence for which the sum over
 all residual gaps of (open sequences with that gap) squared becomes smallest; among equals the
@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lonja.llm.common import written
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, object] = {}
 _LIBRARY: dict[str, object] = {}
@@ -101,14 +103,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, group_rows: int = 32768) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, group_rows: int = 131_072) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``docs`` needs doc_id and text. ``vocabulary`` is the path of a byte-level BPE file that every
     executor can open (by default the installed public one).
     """
     path = vocabulary or default_vocabulary()
-    groups = max(1, -(-docs.count() // group_rows))
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,5 +127,6 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocab
 
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     pieces = docs.select(doc_id, F.col("text").cast("string").alias("text")).mapInPandas(tokenize, PIECES)
-    grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("grp")
-    return pieces.select("*", grp).groupBy("grp").applyInPandas(place, PIECES + ", sequence_id long, offset long")
+    pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    grp = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-pieces.count() // group_rows)))).alias("grp")
+    return pieces.withColumn("grp", grp).drop("row").groupBy("grp").applyInPandas(place, PIECES + ", sequence_id long, offset long")

@@ -73,6 +73,13 @@ def test_pack_documents(frame):
     assert len(places) <= 1.02 * -(-sum(r.length for r in out) // 256) + 1
 
 
+def test_equal_rows_are_spread(frame):
+    rows = [(None, "the same text")] * 1500 + [(7, "another one")] * 500 + [(k, f"text {k}") for k in range(2000)]
+    out = P.pack_documents(frame(rows, DOCS), capacity=64, group_rows=200).collect()
+    groups = Counter(r.sequence_id >> 36 for r in out)
+    assert len(out) == 4000 and len(groups) == 20 and max(groups.values()) < 300
+
+
 def test_empty_table(frame):
     assert P.pack_documents(frame([], DOCS)).collect() == []
 
