@@ -8,8 +8,9 @@ its centre and spread says how far a document is from the bulk: beyond the chi-s
 The estimate is made over all rows by concentration steps that are plain aggregations: a step joins
 the current estimates (one row per group) to the vectors, counts rows and moments per group and
 distance bin with map-side combining, and takes the nearest bins that hold at least the ``core`` share
-of the group. A group with any share of the rows is therefore never gathered; what meets in one task
-is at most one row per distance bin. Two starts (median and MAD; mean and covariance) compete by
+of the group. Estimates of groups with a thousandth of the rows or more (at most some thousand) are broadcast, so
+their rows stay where they are; only rows of small groups are shuffled to theirs. What meets in one task
+is at most one row per distance bin and map task. Two starts (median and MAD; mean and covariance) compete by
 determinant. Spreads are at least ``FLOORS`` (the resolution of a statistic) in every direction, so that a
 statistic that is constant in a group can't reject by a hair. The core is half of a group, so other
 texts may be up to half of it before they shape the estimate. Groups of fewer than ``least`` rows use the estimate of their
@@ -31,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lonja.llm.common import written
+from lonja.llm.common import join_groups, written
 from lonja.llm.textstats import rule_counts
 
 #: log mean word length, log1p symbols per word, share of repeated lines (about, per word), share of repeated words
@@ -131,7 +132,7 @@ def distance(prefix: str = "") -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def mcd(points: DataFrame, core: float = 0.75, steps: int = 40, tolerance: float = 1e-3) -> DataFrame:
+def mcd(points: DataFrame, core: float = 0.5, steps: int = 40, tolerance: float = 1e-3) -> DataFrame:
     """Per group ``grp`` of ``points`` (grp, x0..x3) its estimate: one row of ``STATE``.
 
     Concentration steps go on until no group's log determinant falls by more than ``tolerance`` (a
@@ -155,9 +156,10 @@ def mcd(points: DataFrame, core: float = 0.75, steps: int = 40, tolerance: float
         one = counts.groupBy("grp", "axis").applyInPandas(median, "grp string, axis int, v double")
         return one.groupBy("grp").agg(*[F.max(F.when(F.col("axis") == i, F.col("v"))).alias(f"{center}{i}") for i in range(4)])
 
-    medians = written(middle(points, "c"), "medians")
-    away = points.join(medians, "grp").select("grp", *[F.abs(F.col(a) - F.col(f"c{i}")).alias(a) for i, a in enumerate(AXES)])
-    spread = middle(away, "d").join(medians, "grp").join(points.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    sizes = points.groupBy("grp").agg(F.count("*").alias("n"))
+    medians = written(middle(points, "c").join(sizes, "grp"), "medians")
+    away = join_groups(points, medians, ["grp"], "n").select("grp", *[F.abs(F.col(a) - F.col(f"c{i}")).alias(a) for i, a in enumerate(AXES)])
+    spread = middle(away, "d").join(medians, "grp")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -185,7 +187,7 @@ def mcd(points: DataFrame, core: float = 0.75, steps: int = 40, tolerance: float
     names = [c.split()[0] for c in STATE.split(", ")]
     for step in range(steps):
         bin_ = F.floor(F.log2(distance() + F.lit(2.0 ** -12)) * 16).cast("int").alias("bin")
-        sums = points.join(state, "grp").select("grp", "start", bin_, *AXES).groupBy("grp", "start", "bin").agg(*_moments())
+        sums = join_groups(points, state, ["grp"], "n").select("grp", "start", bin_, *AXES).groupBy("grp", "start", "bin").agg(*_moments())
         new = sums.groupBy("grp", "start").applyInPandas(concentrate, STATE).select("grp", "start", F.struct(*names).alias("new"))
         old = state.select("grp", "start", F.struct(*names).alias("old"))
         lower = F.col("new.logdet") < F.col("old.logdet") - tolerance if step else F.lit(True)  # the starts are no core estimates yet
@@ -205,12 +207,14 @@ def robust_outliers(docs: DataFrame, core: float = 0.5, alpha: float = 1e-3, lea
     good = rows.filter(~F.col("base_failed"))
     points = good.select(F.explode(F.array(*[g() for g in GROUPS.values()])).alias("grp"), *AXES)
     fitted = written(mcd(points, core), "estimates").drop("start", "logdet")
-    named = rows.withColumns({f"g_{k}": F.when(~F.col("base_failed"), g()) for k, g in GROUPS.items()})
-    sizes = {k: fitted.select(F.col("grp").alias(f"g_{k}"), F.col("n").alias(f"n_{k}")) for k in ("fine", "lang")}
-    for k, s in sizes.items():
-        named = named.join(s, f"g_{k}", "left")
+    # which estimate judges a language and source, decided once per pair of them
+    kinds = good.select(*[g().alias(f"g_{k}") for k, g in GROUPS.items()]).groupBy(*[f"g_{k}" for k in GROUPS]).agg(F.count("*").alias("held"))
+    for k in ("fine", "lang"):
+        kinds = kinds.join(fitted.select(F.col("grp").alias(f"g_{k}"), F.col("n").alias(f"n_{k}")), f"g_{k}")
     chosen = F.when(F.col("n_fine") >= least, F.col("g_fine")).when(F.col("n_lang") >= least, F.col("g_lang")).otherwise(F.col("g_all"))
-    scored = named.withColumn("grp", chosen).join(fitted.drop("n"), "grp", "left").withColumn("distance", distance())
+    judges = written(kinds.select("g_fine", "held", chosen.alias("grp")).join(fitted.drop("n"), "grp"), "judges")
+    judged = join_groups(good.withColumn("g_fine", GROUPS["fine"]()), judges, ["g_fine"], "held").withColumn("distance", distance())
+    scored = judged.unionByName(rows.filter("base_failed"), allowMissingColumns=True)
     limit = quantile(alpha, len(AXES))
     kept = ~F.col("base_failed") & (F.col("distance") <= limit)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),

@@ -111,3 +111,15 @@ def test_repeats_and_a_block_of_junk_are_rejected(frame):
     assert not any(kept[d] for d in kept if 1000 <= d < 2000) and not any(kept[d] for d in kept if d >= 3000)
     good = [d for d in kept if d < 1000 or 2000 <= d < 3000]
     assert sum(kept[d] for d in good) >= 0.99 * len(good)
+
+
+def test_mcd_does_not_depend_on_the_way_of_the_join(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(g, *map(float, x)) for g, n in (("a", 300), ("b", 120), ("c", 9)) for x in rng.normal(size=(n, 4))]
+    points = spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double")
+    whole, inner = O.mcd(points).orderBy("grp").collect(), O.join_groups
+    monkeypatch.setattr(O, "join_groups", lambda *a: inner(*a, heavy=2))  # nearly all groups by the shuffle
+    split = O.mcd(points).orderBy("grp").collect()
+    assert [r.grp for r in whole] == [r.grp for r in split] == ["a", "b", "c"]
+    for a, b in zip(whole, split):
+        assert a.n == b.n and np.allclose([a.m0, a.m3, a.p00, a.p13], [b.m0, b.m3, b.p00, b.p13])
