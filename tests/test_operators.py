@@ -46,6 +46,17 @@ def test_panel_modal_tie_takes_lower_type_and_projects_are_not_demand(spark):
     assert (p.unidades, p.unidades_rec, p.n_clientes, p.activo) == (12, 10, 1, False)
 
 
+def test_equal_lines_in_another_order_tie(spark):
+    """As doubles 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ, so two products with the same lines would not tie."""
+    def product(code, prices):
+        one = lines(spark, [(code, D(2024, 1, 1), 1, p, 1, 7, False) for p in prices]).coalesce(1)
+        return one.withColumn("d_dos", F.col("precio")).withColumn("d_fin", F.col("precio")).withColumn("costo_venta", F.col("precio"))
+    both = panel.build_panel(product("A", [0.1, 0.2, 0.3]).unionByName(product("B", [0.3, 0.2, 0.1])).coalesce(1))
+    a, b = (r.asDict() for r in both.orderBy("codigo").collect())
+    assert all(a[c] == b[c] for c in ("neto_prom", "costo_prom", "d_dos_prom", "dfin_prom", "margen"))
+    assert math.isclose(a["neto_prom"], 0.2) and math.isclose(a["d_dos_prom"], 0.2)
+
+
 def test_truncated_week_is_dropped(spark):
     rows = [("A", D(2024, 1, 1 + i), 1, 5.0, 1, 1, False) for i in range(7)] + [("A", D(2024, 1, 8), 1, 5.0, 1, 1, False)]
     assert panel.weekly_panel(lines(spark, rows)).count() == 1
