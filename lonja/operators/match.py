@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lonja.functions.stats import col
 from lonja.functions.text import norm_code
 from lonja.session import cut_lineage
+from lonja.staging import frozen
 
 # Attribute patterns of the product descriptions, first match wins.
 TYPES = (("domo", r"\bdomo\b"), ("bala", r"\bbala\b|\bbullet\b"), ("turret", r"\bturret\b|\beyeball\b"),
@@ -64,15 +65,16 @@ def match_exact(comp: DataFrame, cat: DataFrame) -> DataFrame:
 
 
 def grams(df: DataFrame, key: str, text, n_lo: int, n_hi: int) -> DataFrame:
-    """(key, gram, tf): character n-grams of the whole text."""
-    t = col(text)
+    """(key, gram, tf): character n-grams of the whole text; only the texts are shuffled."""
+    t = F.col("_t")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def of(n):
         cut = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
         return F.when(F.length(t) >= n, cut).otherwise(F.array().cast("array<string>"))
 
     arrs = [of(n) for n in range(n_lo, n_hi + 1)]
-    return (df.select(key, F.explode(F.flatten(F.array(*arrs))).alias("gram")).groupBy(key, "gram").agg(F.count("*").cast("double").alias("tf")))
+    return (df.select(key, col(text).alias("_t")).repartition(parts, key).select(key, F.explode(F.flatten(F.array(*arrs))).alias("gram")).groupBy(key, "gram").agg(F.count("*").cast("double").alias("tf")))
 
 
 def vectors(q: DataFrame, c: DataFrame, qk: str, ck: str, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +90,10 @@ def vectors(q: DataFrame, c: DataFrame, qk: str, ck: str, min_df: int = 1) -> tu
     return unit(q, qk), unit(c, ck)
 
 
-# Texts in one block of the catalogue, and queries in one batch.
-TEXTS, QUERIES = 5_000, 2_000
+# Texts in one block of the catalogue, and queries that share one copy of a block at least.
+TEXTS, QUERIES = 100_000, 2_000
+POSTINGS = 3_000_000  # (text, gram) rows in one block: some 0.1 GB
+TASKS = 24  # tasks that a search is spread over at least, if there are queries enough
 
 
 class Postings:
@@ -126,9 +130,16 @@ class Postings:
         if left < len(order):
             docs = np.concatenate([self.texts[x] for x in lists[left:]])
             score = np.bincount(docs, np.concatenate([self.weights[x] * w[j] for x, j in zip(lists[left:], order[left:])]), len(self.keys))
-        found = np.flatnonzero((score > 0) & (score + open_ >= least - 1e-9))
+        enough = least - open_ - 1e-9
+        found = np.flatnonzero(score >= enough if enough > 0 else score > 0)
+        if left and len(found) > k:  # k texts reach this much already, so others must be able to
+            reached = np.partition(score[found], len(found) - k)[len(found) - k]
+            found = found[score[found] + open_ >= reached - 2e-9]
         for x, j in zip(lists[:left], order[:left]):
             docs = self.texts[x]
+            if len(docs) <= len(found):  # cheaper to read than to look up
+                score[docs] += w[j] * self.weights[x]
+                continue
             hit = np.searchsorted(docs, found)
             ok = hit < len(docs)
             ok[ok] = docs[hit[ok]] == found[ok]
@@ -143,47 +154,56 @@ class Postings:
 def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, least: float = 0.0) -> DataFrame:
     """The k nearest catalogue texts of each query text with cosine >= ``least`` (0: that share a gram), exactly; keys are numbers.
 
-    The catalogue goes into blocks of about ``TEXTS`` texts, kept by gram. A query visits one block first; the
-    k-th cosine found there is its threshold in all others, so most long lists are never read. Queries go in
-    batches; a task holds one block and one batch.
+    The catalogue goes into blocks of at most about ``TEXTS`` texts, kept by gram. A query visits one block first; the
+    k-th cosine found there is its threshold in all others, so most long lists are never read. A task holds one block, and
+    queries stream past it. Few blocks are copied, so that there is work for ``TASKS`` tasks; the
+    catalogue is sent once per copy, and a query once to each block.
     """
     from lonja.operators.topk import topk
     n_texts, n_queries = c.select(ck).distinct().count(), q.select(qk).distinct().count()
-    blocks, batches = max(1, -(-n_texts // TEXTS)), max(1, -(-n_queries // QUERIES))
+    blocks = max(1, -(-n_texts // TEXTS), -(-c.count() // POSTINGS))
+    copies = max(1, min(-(-TASKS // blocks), -(-n_queries // QUERIES)))
     number = cut_lineage(c.select("gram").distinct().withColumn("g", F.monotonically_increasing_id()))
-
-    def pack(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        keys, texts = np.unique(d["key"].to_numpy(), return_inverse=True)
-        return pd.DataFrame({"block": [key[0]], "keys": [keys.tobytes()], "grams": [d["g"].to_numpy().tobytes()], "texts": [texts.tobytes()], "weights": [d["w"].to_numpy().tobytes()]})
-
-    rows = c.join(number, "gram").select((F.pmod(F.xxhash64(ck), F.lit(blocks))).cast("int").alias("block"), F.col(ck).cast("long").alias("key"), "g", "w")
-    packed = cut_lineage(rows.groupBy("block").applyInPandas(pack, "block int, keys binary, grams binary, texts binary, weights binary"))
     lists = F.sort_array(F.collect_list(F.struct("g", "w")))
-    asked = q.join(number, "gram").groupBy(F.col(qk).cast("long").alias("q")).agg(lists.alias("v"))
-    home = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
-    asked = cut_lineage(asked.select("q", F.col("v.g").alias("g"), F.col("v.w").alias("w"), home.alias("home"), F.pmod(F.xxhash64("q", F.lit(7)), F.lit(batches)).cast("int").alias("batch"), F.lit(float(least)).alias("least")))
-
-    def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(block) and len(queries):
-            b = block.iloc[0]
-            lists = Postings(*(np.frombuffer(b[n], t) for n, t in (("keys", np.int64), ("grams", np.int64), ("texts", np.int64), ("weights", float))))
-            for r in queries.itertuples(index=False):
-                keys, s, _ = lists.top(np.asarray(r.g), np.asarray(r.w), k, r.least)
-                out += zip([r.q] * len(keys), keys.tolist(), s.tolist())
-        return pd.DataFrame(out, columns=["q", "c", "cos"])
-
-    def visit(queries: DataFrame, where: Column) -> DataFrame:
-        by, n = ["block", "batch"], blocks * batches
-        each = packed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).repartition(n, *by)
-        sent = queries.withColumn("block", F.explode(where)).repartition(n, *by)
-        return cut_lineage(each.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(search, "q long, c long, cos double"))
-
-    first = visit(asked, F.array("home"))
-    kth = first.groupBy("q").agg(F.min("cos").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
-    rest = asked.join(kth, "q", "left").withColumn("least", F.greatest("least", F.coalesce("kth", F.lit(0.0)))).drop("kth", "n")
+
+    def rows(d: DataFrame, key: str) -> DataFrame:
+        one = d.join(number, "gram").groupBy(F.col(key).cast("long").alias("key")).agg(lists.alias("v"))
+        return one.select("key", F.col("v.g").alias("g"), F.col("v.w").alias("w"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("home"))
+
+    texts, asked = frozen(rows(c, ck), "texts"), frozen(rows(q, qk), "queries").withColumn("least", F.lit(float(least)))
+
+    def search(batches):
+        cell, held, index = None, [], None
+        for d in batches:
+            for now, part in d.groupby("cell"):  # the texts of a cell come before its queries
+                if now != cell:
+                    cell, held, index = now, [], None
+                t, asks = part[part["is_text"]], part[~part["is_text"]]
+                if len(t):
+                    held.append((t["key"].to_numpy(), t["g"].map(len).to_numpy(), np.concatenate(t["g"].to_list()), np.concatenate(t["w"].to_list())))
+                if not len(asks) or (index is None and not held):
+                    continue
+                if index is None:
+                    keys, sizes, grams, weights = (np.concatenate(x) for x in zip(*held))
+                    held, index = [], Postings(keys, grams, np.repeat(np.arange(len(keys)), sizes), weights)
+                hits = [(r.key, *index.top(np.asarray(r.g), np.asarray(r.w), k, r.least)) for r in asks.itertuples(index=False)]
+                yield pd.DataFrame({"q": np.repeat([h[0] for h in hits], [len(h[1]) for h in hits]), "c": np.concatenate([h[1] for h in hits]), "cos": np.concatenate([h[2] for h in hits])})
+
+    def visit(queries: DataFrame, where: Column, name: str) -> DataFrame:
+        cell = lambda block, copy: (block * copies + copy).cast("int").alias("cell")
+        cols = ["key", "g", "w", "least"]
+        each = texts.withColumn("least", F.lit(0.0)).select(*cols, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "home")
+        each = each.select(cell(F.col("home"), F.col("copy")), F.lit(True).alias("is_text"), *cols)
+        sent = queries.select(*cols, F.explode(where).alias("block")).select(
+            cell(F.col("block"), F.pmod(F.xxhash64("key", F.lit(7)), F.lit(copies))), F.lit(False).alias("is_text"), *cols)
+        cells = each.unionByName(sent).repartition(blocks * copies, "cell").sortWithinPartitions("cell", F.desc("is_text"))
+        return frozen(cells.mapInPandas(search, "q long, c long, cos double"), name)
+
+    first = visit(asked, F.array("home"), "first")
+    kth = first.groupBy(F.col("q").alias("key")).agg(F.min("cos").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    rest = asked.join(kth, "key", "left").withColumn("least", F.greatest("least", F.coalesce("kth", F.lit(0.0)))).drop("kth", "n")
     others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b != F.col("home"))
-    found = first if blocks == 1 else first.unionByName(visit(rest, others))
+    found = first if blocks == 1 else first.unionByName(visit(rest, others, "others"))
     return topk(found.select(F.col("q").alias(qk), F.col("c").alias(ck), "cos"), [qk], [F.desc("cos"), ck], k)
 
 
@@ -223,7 +243,7 @@ def fuzzy_candidates(comp: DataFrame, cat: DataFrame, n: tuple[int, int] = (2, 4
     q, c = numbered(q, "q", "qid"), numbered(cat.select(F.col("m_norm").alias("c")).distinct(), "c", "cid")
     pad = lambda x: F.concat(F.lit(" "), F.col(x), F.lit(" "))
     qv, cv = vectors(grams(q, "qid", pad("q"), *n), grams(c, "cid", pad("c"), *n), "qid", "cid")
-    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k, min_cos)
+    top = topk_cosine(frozen(qv, "vectors"), frozen(cv, "vectors"), "qid", "cid", k, min_cos)
     return top.join(q, "qid").join(c, "cid").select("q", "c", "cos", "pos")
 
 
@@ -252,7 +272,7 @@ def match_text(comp: DataFrame, cat: DataFrame, name: str, desc: str, n: tuple[i
     codes = numbered(cat.withColumn("c", plain_text(desc)).where("c <> ''").groupBy("c").agg(F.min("codigo").alias("codigo")), "c", "cid")
     texts = numbered(q.select("q").distinct(), "q", "qid")
     qv, cv = vectors(grams(texts, "qid", "q", *n), grams(codes, "cid", "c", *n), "qid", "cid", min_df)
-    top = topk_cosine(cut_lineage(qv), cut_lineage(cv), "qid", "cid", k)
+    top = topk_cosine(frozen(qv, "vectors"), frozen(cv, "vectors"), "qid", "cid", k)
     return (q.select("modelo", "q").distinct().join(texts, "q").join(top, "qid").join(codes, "cid")
              .select("modelo", F.col("pos").alias("rank"), "codigo", F.col("cos").alias("sim")))
 

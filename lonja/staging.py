@@ -28,6 +28,13 @@ def staged(spark: SparkSession, scope: str, name: str, build: Callable[[], DataF
     return spark.read.schema(schema).parquet(path)
 
 
+def frozen(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into a new folder, and read back: smaller than a checkpoint, and columns can be pruned."""
+    path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget() -> None:
     """Stage everything anew from here on (inputs changed, or a timing must start cold)."""
     _STAGED.clear()

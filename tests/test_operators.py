@@ -140,6 +140,18 @@ def test_nearest_texts_equal_brute_force(spark, monkeypatch, texts, queries, k,
     assert got == {x: v for x, v in want.items() if v}
 
 
+def test_texts_are_sent_once_per_copy_not_once_per_batch_of_queries(spark, monkeypatch):
+    """100 batches of queries used to send the catalogue 100 times."""
+    monkeypatch.setattr(match, "QUERIES", 1)
+    monkeypatch.setattr(match, "TEXTS", 5)
+    sent, plain = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda d, *a: sent.append(a) or plain(d, *a))
+    q = spark.createDataFrame([(n, f"g{n % 7}", 1.0) for n in range(100)], "qid long, gram string, w double")
+    c = spark.createDataFrame([(n, f"g{n % 7}", 1.0) for n in range(50)], "cid long, gram string, w double")
+    assert match.topk_cosine(q, c, "qid", "cid", 3).count() == 300
+    assert max(a[0] for a in sent) < 100
+
+
 def test_a_high_threshold_leaves_long_lists_alone():
     """Every text ends alike; the lists of that ending are looked up for the few texts in question only."""
     rng = np.random.default_rng(3)
