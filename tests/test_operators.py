@@ -166,6 +166,34 @@ def test_a_high_threshold_leaves_long_lists_alone():
         assert keys.tolist() == (np.flatnonzero(rare == g)[:5] + 7).tolist() and np.allclose(cos, 8 * 0.15 ** 2 + 0.905 ** 2) and read < n / 50
 
 
+def test_substitutes_over_many_cells_equal_brute_force(spark, monkeypatch):
+    """Blocks cut into cells of 4 x 4 rows, one product without a vector."""
+    monkeypatch.setattr(match, "CELL", 4)
+    rng = random.Random(8)
+
+    def side(n, brands):
+        return [(i, rng.choice(["domo", "bala"]), 2.0, "ip", False, rng.choice(brands), rng.choice([2.8, 3.6, 4.0, 6.0]), round(rng.uniform(5, 500), 2),
+                 [rng.gauss(0, 1) for _ in range(4)]) for i in range(n)]
+    a, b = side(40, ["P", "Q", "R"]), side(60, ["P", "Q", "S"])
+    a[0] = (*a[0][:8], None)
+    cols = "tipo string, mp double, tec string, gama boolean, marca string, mm double, precio double, vec array<double>"
+    got = match.block_match(spark.createDataFrame(a, "modelo int, " + cols), spark.createDataFrame(b, "codigo int, " + cols),
+                            spark.createDataFrame([("P", "Q"), ("P", "S")], "marca string, rival string"))
+    want = {}
+    for x in a:
+        rival = x[5] == "P" and any(y[1] == x[1] and y[5] in "QS" for y in b)
+        best = []
+        for y in b:
+            if y[1] != x[1] or abs(y[6] - x[6]) > 1.2 + 1e-9 or (y[5] not in "QS" if rival else y[5] == x[5]) or (x[8] is None and not rival):
+                continue
+            u, v = (np.array(z[8]) if z[8] else np.full(4, np.nan) for z in (x, y))
+            sim = u @ v / math.sqrt((u @ u) * (v @ v))
+            best.append((round(abs(math.log(y[7]) - math.log(x[7])) + 0.1 * abs(y[6] - x[6]) + (0 if rival else 1 - sim), 9), y[0]))
+        if best:
+            want[x[0]] = (*min(best), "RIVAL" if rival else "VECTOR")
+    assert {r.modelo: (round(r.cercania, 9), r.codigo, r.via) for r in got.collect()} == want
+
+
 def test_lcs_against_dynamic_programme():
     rng = random.Random(4)
     for _ in range(200):
