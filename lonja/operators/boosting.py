@@ -10,12 +10,11 @@ planning a query each time costs more than the step.
 A monotone feature admits only splits whose children keep the order, and both children inherit the middle of
 their values as a bound, so no deeper split can undo it. Pinball leaves are refit to the exact quantile of
 their residuals: counts over a fixed increasing scale narrow each leaf to an interval, and only its
-values are sorted. Predictions move forward with the blocks, written every ``FLUSH`` trees.
+values are sorted. Predictions move forward with the blocks, which are written once and then kept in memory.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +22,9 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lonja.session import shared_dir
+from lonja.staging import frozen
 
-BINS, BLOCK, FLUSH = 64, 16_384, 8
+BINS, BLOCK = 64, 16_384
 SCALE, SPAN = 128, 30 * 128  # steps of the residual scale per unit of log, and their range to either side
 SORTED = 20_000  # values of one leaf that are sorted together
 
@@ -49,15 +48,20 @@ class Tree:
     value: list[float] = field(default_factory=lambda: [0.0])
     bounds: list[tuple[float, float]] = field(default_factory=lambda: [(-np.inf, np.inf)])
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of every column of the bins ``x`` (features x rows)."""
-        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
-        at, rows = np.zeros(x.shape[1], int), np.arange(x.shape[1])
-        while len(rows):
-            rows = rows[feature[at[rows]] >= 0]
-            k = at[rows]
-            at[rows] = left[k] + (x[feature[k], rows] > cut[k])
-        return at
+    def parts(self, x: np.ndarray):
+        """(leaf, its columns of the bins ``x`` (features x rows)), one after the other."""
+        todo = [(0, np.arange(x.shape[1]))]
+        while todo:
+            node, rows = todo.pop()
+            if self.feature[node] < 0:
+                yield node, rows
+            else:
+                right = x[self.feature[node]][rows] > self.cut[node]
+                todo += [(self.left[node], rows[~right]), (self.left[node] + 1, rows[right])]
+
+    def add_to(self, f: np.ndarray, x: np.ndarray, rate: float) -> None:
+        for leaf, rows in self.parts(x):
+            f[rows] += rate * self.value[leaf]
 
     def split(self, node: int, feature: int, cut: int, values: tuple[float, float], sign: int) -> None:
         low, high = self.bounds[node]
@@ -95,7 +99,7 @@ class Booster:
         for spec, base, trees in zip(self.specs, self.base, self.trees):
             f = np.full(x.shape[1], base)
             for t in trees:
-                f += self.rate * np.array(t.value)[t.leaves(x)]
+                t.add_to(f, x, self.rate)
             out.append(1 / (1 + np.exp(-f)) if spec.loss == "logistic" else f)
         return np.stack(out)
 
@@ -171,60 +175,52 @@ class _Fit:
                     x = model.bins(part[names].to_numpy(dtype=float, na_value=np.nan))
                     yield pd.DataFrame({"x": [x.tobytes()], **{c: [part[c].to_numpy(t).tobytes()] for c, t in (("y", float), ("w", float), ("m", np.int64))}, "f": [np.zeros((k, len(part))).tobytes()]})
 
-        self.blocks = None
         # as many tasks as cores at least, and of a few blocks each
         parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (8 * BLOCK)))
-        self._keep(rows.repartition(parts).mapInPandas(pack, "x binary, y binary, w binary, m binary, f binary"))
-
-    def _keep(self, df: DataFrame) -> None:
-        """Write the blocks; the jobs until the next write keep them in memory and can reread them."""
-        path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}/blocks"
-        df.write.parquet(path)
-        if self.blocks is not None:
-            self.cells.unpersist()
-        self.blocks = df.sparkSession.read.schema(df.schema).parquet(path)
-        self.cells = self.blocks.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = frozen(rows.repartition(parts).mapInPandas(pack, "x binary, y binary, w binary, m binary, f binary"), "blocks")
+        self.older, self.cells = None, blocks.rdd.persist(StorageLevel.MEMORY_AND_DISK)
 
     def _by_key(self, each, merge, last) -> list:
         """Partial values of every task by key, merged, and ``last`` of every merged value."""
         cells = self.cells.mapPartitions(each).reduceByKey(merge, self.cells.getNumPartitions())
         return cells.map(lambda kv: last(*kv)).collect()
 
-    def _opened(self, pending: list[list[Tree]]):
-        """Reader of blocks inside tasks: x, y, w, members and predictions with the trees since the last flush."""
-        rate, n_features, k = self.model.rate, len(self.model.features), len(self.specs)
+    def _opened(self):
+        """Reader of blocks inside tasks: x, y, w, members and predictions, and the block."""
+        n_features, k = len(self.model.features), len(self.specs)
 
         def rows(blocks):
             for r in blocks:
-                y = np.frombuffer(r.y)
-                x, f = np.frombuffer(r.x, np.uint8).reshape(n_features, len(y)), np.frombuffer(r.f).reshape(k, len(y)).copy()
-                for m, trees in enumerate(pending):
-                    for t in trees:
-                        f[m] += rate * np.array(t.value)[t.leaves(x)]
-                yield r, x, y, np.frombuffer(r.w), np.frombuffer(r.m, np.int64), f
+                y = np.frombuffer(r[1])
+                yield r, np.frombuffer(r[0], np.uint8).reshape(n_features, -1), y, np.frombuffer(r[2]), np.frombuffer(r[3], np.int64), np.frombuffer(r[4]).reshape(k, len(y))
         return rows
 
-    def _level(self, trees: dict[int, Tree], open_: dict[tuple[int, int], int], pending) -> list:
+    def _level(self, trees: dict[int, Tree], open_: dict[tuple[int, int], int]) -> list:
         """Best split of every open (model, node); numbers in ``open_`` count per model."""
-        specs, rows, least, ridge = self.specs, self._opened(pending), self.least, self.ridge
+        specs, rows, least, ridge = self.specs, self._opened(), self.least, self.ridge
         shape = (len(self.model.features), BINS + 1, 3)
         numbers = {m: {n: i for (k, n), i in open_.items() if k == m} for m in trees}
 
         def add(blocks):
             sums = {m: np.zeros((len(of), *shape)) for m, of in numbers.items() if of}
             for _, x, y, w, member, f in rows(blocks):
+                plain = bool((w == 1).all())
                 for m, of in numbers.items():
                     if not of:
                         continue
-                    number = np.full(len(trees[m].feature), -1)
-                    number[list(of)] = list(of.values())
-                    node = number[trees[m].leaves(x)]
-                    use = np.flatnonzero((node >= 0) & (member >> m & 1 == 1))
+                    ours = (member >> m & 1).astype(bool)
+                    parts = [(of[n], at if ours.all() else at[ours[at]]) for n, at in trees[m].parts(x) if n in of]
+                    use = np.concatenate([at for _, at in parts])
+                    first = np.repeat([i * shape[1] for i, _ in parts], [len(at) for _, at in parts])
                     g, h = gradients(specs[m], y[use], f[m][use])
+                    ones = plain and specs[m].loss != "logistic"
+                    stats = (g,) if ones else (g * w[use], h * w[use], w[use])
                     for j in range(shape[0]):
-                        at = node[use] * shape[1] + x[j][use]
-                        for c, v in enumerate((g * w[use], h * w[use], w[use])):
+                        at = first + x[j][use]
+                        for c, v in enumerate(stats):
                             sums[m][:, j, :, c] += np.bincount(at, v, len(of) * shape[1]).reshape(len(of), shape[1])
+                        if ones:
+                            sums[m][:, j, :, 1:] += np.bincount(at, minlength=len(of) * shape[1]).reshape(len(of), shape[1], 1)
             for m, of in numbers.items():
                 for n, i in of.items():
                     yield (m, n), sums[m][i]
@@ -232,10 +228,10 @@ class _Fit:
         bounds = {(m, n): trees[m].bounds[n] for m, n in open_}
         return self._by_key(add, np.add, lambda key, hist: (*key, *best_split(hist, specs[key[0]], bounds[key], least, ridge)))
 
-    def _refit(self, trees: dict[int, Tree], pending) -> None:
+    def _refit(self, trees: dict[int, Tree]) -> None:
         """Leaves of pinball trees: the exact quantile of their residuals."""
         trees = {m: t for m, t in trees.items() if self.specs[m].loss == "pinball"}
-        specs, rows, sorted_ = self.specs, self._opened(pending), SORTED
+        specs, rows, sorted_ = self.specs, self._opened(), SORTED
         # (model, leaf) -> interval of values that holds the quantile, and the weight below it; None: the fixed scale
         inside: dict[tuple[int, int], tuple | None] = {(m, n): None for m, t in trees.items() for n, f in enumerate(t.feature) if f < 0}
         while inside:
@@ -245,29 +241,15 @@ class _Fit:
                 found: dict[tuple, list] = {}
                 for _, x, y, w, member, f in rows(blocks):
                     for m, t in trees.items():
-                        leaf, r = t.leaves(x), y - f[m]
-                        for (k, n), span in now.items():
-                            if k != m:
+                        ours, residual = (member >> m & 1).astype(bool), y - f[m]
+                        for n, at in t.parts(x):
+                            if (m, n) not in now:
                                 continue
-                            use = (leaf == n) & (member >> m & 1 == 1)
+                            at, span = at[ours[at]], now[m, n]
                             if span is not None:
-                                use &= (r >= span[0]) & (r <= span[1])
-                            v, weight = r[use], w[use]
-                            if span is None:
-                                step = scale_of(v)
-                            elif span[3] <= sorted_:
-                                step = np.zeros(len(v), int)
-                            else:
-                                step = np.minimum(4095, ((v - span[0]) / (span[1] - span[0]) * 4096).astype(int))
-                            if span is not None and span[3] <= sorted_:
-                                u, at = np.unique(v, return_inverse=True)
-                                found.setdefault((m, n), []).append(np.column_stack([u, np.bincount(at, weight, len(u)), u, u, np.bincount(at, minlength=len(u))]))
-                            elif len(v):
-                                u, at = np.unique(step, return_inverse=True)
-                                low, high = np.full(len(u), np.inf), np.full(len(u), -np.inf)
-                                np.minimum.at(low, at, v)
-                                np.maximum.at(high, at, v)
-                                found.setdefault((m, n), []).append(np.column_stack([u, np.bincount(at, weight, len(u)), low, high, np.bincount(at, minlength=len(u))]))
+                                at = at[(residual[at] >= span[0]) & (residual[at] <= span[1])]
+                            if len(at):
+                                found.setdefault((m, n), []).append(_steps(residual[at], w[at], span, sorted_))
                 for key, v in found.items():
                     yield key, _merged(np.concatenate(v))
 
@@ -287,8 +269,7 @@ class _Fit:
     def start(self) -> None:
         """Constant predictions: mean, log odds, quantile."""
         roots = {m: Tree() for m in range(len(self.specs))}
-        none: list[list[Tree]] = [[] for _ in self.specs]
-        rows = self._opened(none)
+        rows = self._opened()
 
         def total(blocks):
             for _, _, y, w, member, _ in rows(blocks):
@@ -301,31 +282,39 @@ class _Fit:
             if self.specs[m].loss == "logistic":
                 mean = float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
             self.model.base[m] = mean
-        self._refit(roots, none)
+        self._refit(roots)
         for m, t in roots.items():
             if self.specs[m].loss == "pinball":
                 self.model.base[m] = t.value[0]
-        self._flush(none, first=True)
+        self._advance({})
+
+    def _advance(self, trees: dict[int, Tree]) -> None:
+        """Add the trees to the predictions, or the constants if there are none yet. The next job keeps the new blocks in memory.
 
-    def _flush(self, pending, first: bool = False) -> None:
-        rows, base = self._opened(pending), np.array(self.model.base)[:, None] * first
+        A lost block is made again from the written ones, one tree after the other.
+        """
+        rows, rate, base = self._opened(), self.model.rate, np.array(self.model.base)[:, None]
 
-        def forward(batches):
-            for r, *_, f in rows(r for b in batches for r in b.itertuples(index=False)):
-                yield pd.DataFrame({"x": [r.x], "y": [r.y], "w": [r.w], "m": [r.m], "f": [(f + base).tobytes()]})
+        def forward(blocks):
+            for r, x, *_, f in rows(blocks):
+                f = f.copy() if trees else f + base
+                for m, t in trees.items():
+                    t.add_to(f[m], x, rate)
+                yield (*r[:4], f.tobytes())
 
-        self._keep(self.blocks.mapInPandas(forward, self.blocks.schema))
+        if self.older is not None:
+            self.older.unpersist()
+        self.older, self.cells = self.cells, self.cells.mapPartitions(forward).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def grow(self, n: int, depth: int) -> Booster:
+    def grow(self, n: int, depth: int, lead: bool) -> Booster:
         self.start()
-        pending: list[list[Tree]] = [[] for _ in self.specs]
         for k in range(n):
             trees = {m: Tree() for m in range(len(self.specs))}
             open_ = {(m, 0): 0 for m in trees}
             for _ in range(depth):
                 if not open_:
                     break
-                splits = self._level(trees, open_, pending)
+                splits = self._level(trees, open_)
                 fresh = []
                 for m, node, gain, feature, cut, left, right in sorted(splits):
                     if gain > 1e-9:
@@ -336,17 +325,33 @@ class _Fit:
                 open_ = {}
                 for m, node in fresh:
                     open_[m, node] = counts[m] = counts.get(m, -1) + 1
-            self._refit(trees, pending)
+            self._refit(trees)
             for m, t in trees.items():
-                pending[m].append(t)
+                if lead and not k:
+                    t.value = [v / self.model.rate for v in t.value]
                 self.model.trees[m].append(t)
-            if len(pending[0]) == FLUSH and k + 1 < n:
-                self._flush(pending)
-                pending = [[] for _ in self.specs]
+            if k + 1 < n:
+                self._advance(trees)
         self.cells.unpersist()
+        self.older.unpersist()
         return self.model
 
 
+def _steps(v: np.ndarray, w: np.ndarray, span: tuple | None, sorted_: int) -> np.ndarray:
+    """Rows (step, weight, least, largest, n) of values: on the fixed scale, on 4096 parts of the interval, or by value."""
+    order = np.argsort(v)
+    v, w = v[order], w[order]
+    if span is None:
+        step = scale_of(v)
+    elif span[3] <= sorted_:
+        step = v
+    else:
+        step = np.minimum(4095, ((v - span[0]) / (span[1] - span[0]) * 4096).astype(int))
+    first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+    end = np.append(first[1:], len(v))
+    return np.column_stack([step[first], np.add.reduceat(w, first), v[first], v[end - 1], end - first])
+
+
 def _merged(steps: np.ndarray) -> np.ndarray:
     """Rows (step, weight, least, largest, n) of equal steps added up."""
     u, at = np.unique(steps[:, 0], return_inverse=True)
@@ -357,9 +362,9 @@ def _merged(steps: np.ndarray) -> np.ndarray:
 
 
 def boost(df: DataFrame, features: list[str], label: str, specs: list[Spec], trees: int = 60, depth: int = 6, rate: float = 0.1,
-          weight: str | None = None, member: str | None = None, least: float = 20, ridge: float = 1.0) -> Booster:
+          weight: str | None = None, member: str | None = None, least: float = 20, ridge: float = 1.0, lead: bool = False) -> Booster:
     """Fit all ``specs`` on the rows of ``df`` whose label is not null. ``member`` names a bit mask: bit k admits a row to model k.
 
-    ``least`` is the weight a child must hold. A model without rows predicts 0 (or even odds).
+    ``least`` is the weight a child must hold. With ``lead`` the first tree counts in full, not by ``rate``. A model without rows predicts 0 (or even odds).
     """
-    return _Fit(df, features, label, specs, weight, member, rate, least, ridge).grow(trees, depth)
+    return _Fit(df, features, label, specs, weight, member, rate, least, ridge).grow(trees, depth, lead)

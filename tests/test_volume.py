@@ -45,3 +45,17 @@ def test_derived_tables_read_the_kept_ones(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert "lineitem" not in "".join(t.competencia.inputFiles() + t.snap.inputFiles())
     assert t.competencia.count() == 4 * t.familias.selectExpr("sum((w1 - w0) div 2 + 1)").first()[0]
+
+
+def test_blocks_of_trees_are_written_once(spark, tmp_path):
+    """Rows are written when they are packed; predictions then stay in memory and move forward tree by tree."""
+    from lonja.operators import boosting as B
+    written = []
+    frozen, B.frozen = B.frozen, lambda df, name: written.append(name) or frozen(df, name)
+    try:
+        d = spark.range(3000).selectExpr("id % 30 as a", "id % 7 as b", "cast((id % 30) * 2 + (id % 7) as double) as y")
+        m = B.boost(d, ["a", "b"], "y", [B.Spec()], 17, 3, 0.3, lead=True)
+    finally:
+        B.frozen = frozen
+    assert written == ["blocks"] and len(m.trees[0]) == 17
+    assert m.predict(d, "p").selectExpr("avg(abs(p - y))").first()[0] < 1.5
