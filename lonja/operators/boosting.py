@@ -128,8 +128,11 @@ def gradients(spec: Spec, y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.
     return np.where(y > f, -spec.alpha, 1 - spec.alpha), np.ones_like(f)
 
 
-def best_split(hist: np.ndarray, spec: Spec, bounds: tuple[float, float], least: float, ridge: float) -> tuple:
-    """(gain, feature, cut, left value, right value) from a histogram (features x bins x (g, h, n)); gain 0 if there is none."""
+def best_split(hist: np.ndarray, spec: Spec, bounds: tuple[float, float], least: float, ridge: float, between: bool = False) -> tuple:
+    """(gain, feature, cut, left value, right value) from a histogram (features x bins x (g, h, n)); gain 0 if there is none.
+
+    Of cuts that part the rows in the same way, the first is taken, or with ``between`` the middle one.
+    """
     low, high = bounds
     total = hist[0].sum(0)
     left = hist.cumsum(1)[:, :-1]
@@ -143,6 +146,8 @@ def best_split(hist: np.ndarray, spec: Spec, bounds: tuple[float, float], least:
     ok &= sign * (vr - vl) >= 0
     gain = np.where(ok, gain, 0.0)
     f, b = np.unravel_index(gain.argmax(), gain.shape)
+    if between and gain[f, b]:
+        b += np.flatnonzero(hist[f, b + 1:, 2])[0] // 2  # empty bins after the cut; the right side holds rows
     return float(gain[f, b]), int(f), int(b), float(vl[f, b]), float(vr[f, b])
 
 
@@ -158,13 +163,16 @@ def scale_of(r: np.ndarray) -> np.ndarray:
 
 class _Fit:
     def __init__(self, df: DataFrame, features: list[str], label: str, specs: list[Spec], weight: str | None, member: str | None,
-                 rate: float, least: float, ridge: float):
-        self.specs, self.least, self.ridge = specs, least, ridge
+                 rate: float, least: float, ridge: float, between: bool):
+        self.specs, self.least, self.ridge, self.between = specs, least, ridge, between
         rows = df.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], F.col(label).cast("double").alias("y"),
                          (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), (F.col(member).cast("long") if member else F.lit(-1).cast("long")).alias("m")).where("y is not null and w > 0")
         names = [f"x{k}" for k in range(len(features))]
-        cuts = rows.approxQuantile(names, [k / (BINS - 1) for k in range(1, BINS - 1)], 0.2 / BINS)
+        ends = 0 if between else 1
+        cuts = rows.approxQuantile(names, [k / (BINS - 1) for k in range(ends, BINS - ends)], 0.2 / BINS)
         edges = [np.unique(np.array(c, float)) for c in cuts]
+        if between:
+            edges = [(e[1:] + e[:-1]) / 2 for e in edges]
         self.model = Booster(list(features), edges, specs, [0.0] * len(specs), rate, [[] for _ in specs])
         model, k = self.model, len(specs)
 
@@ -197,7 +205,7 @@ class _Fit:
 
     def _level(self, trees: dict[int, Tree], open_: dict[tuple[int, int], int]) -> list:
         """Best split of every open (model, node); numbers in ``open_`` count per model."""
-        specs, rows, least, ridge = self.specs, self._opened(), self.least, self.ridge
+        specs, rows, least, ridge, between = self.specs, self._opened(), self.least, self.ridge, self.between
         shape = (len(self.model.features), BINS + 1, 3)
         numbers = {m: {n: i for (k, n), i in open_.items() if k == m} for m in trees}
 
@@ -226,7 +234,7 @@ class _Fit:
                     yield (m, n), sums[m][i]
 
         bounds = {(m, n): trees[m].bounds[n] for m, n in open_}
-        return self._by_key(add, np.add, lambda key, hist: (*key, *best_split(hist, specs[key[0]], bounds[key], least, ridge)))
+        return self._by_key(add, np.add, lambda key, hist: (*key, *best_split(hist, specs[key[0]], bounds[key], least, ridge, between)))
 
     def _refit(self, trees: dict[int, Tree]) -> None:
         """Leaves of pinball trees: the exact quantile of their residuals."""
@@ -362,9 +370,11 @@ def _merged(steps: np.ndarray) -> np.ndarray:
 
 
 def boost(df: DataFrame, features: list[str], label: str, specs: list[Spec], trees: int = 60, depth: int = 6, rate: float = 0.1,
-          weight: str | None = None, member: str | None = None, least: float = 20, ridge: float = 1.0, lead: bool = False) -> Booster:
+          weight: str | None = None, member: str | None = None, least: float = 20, ridge: float = 1.0, lead: bool = False,
+          between: bool = False) -> Booster:
     """Fit all ``specs`` on the rows of ``df`` whose label is not null. ``member`` names a bit mask: bit k admits a row to model k.
 
-    ``least`` is the weight a child must hold. With ``lead`` the first tree counts in full, not by ``rate``. A model without rows predicts 0 (or even odds).
+    ``least`` is the weight a child must hold. With ``lead`` the first tree counts in full, not by ``rate``. With ``between`` features are
+    cut half-way between quantiles and in the middle of a node's gaps, for values that training rows don't have. A model without rows predicts 0 (or even odds).
     """
-    return _Fit(df, features, label, specs, weight, member, rate, least, ridge).grow(trees, depth, lead)
+    return _Fit(df, features, label, specs, weight, member, rate, least, ridge, between).grow(trees, depth, lead)

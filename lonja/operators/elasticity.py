@@ -7,13 +7,16 @@ calendar, so it is broadcast only after its size has been checked.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lonja.functions.stats import clip, safe_div
+from lonja.operators.boosting import Spec, boost
 from lonja.scale import calendar_side, exact_quantiles, quantile_of, row_order
 from lonja.session import cut_lineage, side_by_side
 from lonja.sources.commits import VersionedTable
+from lonja.staging import frozen
 
 SMALL_STATE = 200_000  # rows of (group, week) state that may be broadcast
 
@@ -260,24 +263,18 @@ def dml_table(dense: DataFrame) -> DataFrame:
 
 
 def dml(d: DataFrame, folds: int = 5, iters: int = 40, depth: int = 6) -> DataFrame:
-    """Double machine learning with folds by product; one row: theta, clustered error."""
-    from functools import partial, reduce
-
-    from pyspark.ml.regression import GBTRegressor
-
-    folded = d.withColumn("fold", F.pmod(F.xxhash64("codigo"), F.lit(folds)).cast("int"))
-    d = VectorAssembler(inputCols=DML_X, outputCol="x").transform(folded).persist()
-    tasks = [(f, c) for f in range(folds) for c in ("Y", "D")]
-    fit = lambda f, c: GBTRegressor(featuresCol="x", labelCol=c, maxIter=iters, maxDepth=depth, stepSize=0.1, seed=7).fit(d.where(F.col("fold") != f))
-    models = dict(zip(tasks, side_by_side([partial(fit, f, c) for f, c in tasks])))
-    parts = []
-    for f in range(folds):
-        te = d.where(F.col("fold") == f)
-        for c in ("Y", "D"):
-            te = models[f, c].transform(te).withColumn(f"r{c}", F.col(c) - F.col("prediction")).drop("prediction")
-        parts.append(te.select("codigo", "rY", "rD"))
-    r = cut_lineage(reduce(DataFrame.unionByName, parts))
-    d.unpersist()
+    """Double machine learning with folds by product; one row: theta, clustered error.
+
+    The models of all folds grow in the same jobs, one pass for each of the two labels; a row's residual comes from the model that has not seen its fold.
+    """
+    bits = sum((F.when(F.col("fold") != k, 1 << k).otherwise(0) for k in range(folds)), F.lit(0))
+    d = d.select("codigo", *DML_X, "Y", "D", F.pmod(F.xxhash64("codigo"), F.lit(folds)).cast("int").alias("fold")).withColumn("others", bits)
+    d = frozen(d, "dml")
+    # what a model leaves of a product's size biases theta: the first tree counts in full, leaves don't shrink, and products that no model has seen fall to the nearer side
+    fit = lambda c: boost(d, DML_X, c, [Spec() for _ in range(folds)], iters, depth, 0.1, member="others", least=1, ridge=1e-9, lead=True, between=True)
+    y, x = side_by_side([partial(fit, "Y"), partial(fit, "D")])
+    unseen = lambda m, c: F.col(c) - m.column()[F.col("fold")]
+    r = cut_lineage(d.select("codigo", unseen(y, "Y").alias("rY"), unseen(x, "D").alias("rD")))
     th = r.agg(F.sum(F.col("rD") * F.col("rY")) / F.sum(F.col("rD") * F.col("rD"))).scalar()
     s = r.withColumn("theta", th).groupBy("codigo", "theta").agg(
         F.sum(F.col("rD") * (F.col("rY") - F.col("theta") * F.col("rD"))).alias("s"), F.sum(F.col("rD") * F.col("rD")).alias("h"), F.count("*").alias("n"))

@@ -139,3 +139,11 @@ def test_bands_hold_the_point_forecast_and_terciles(spark):
     pts = spark.createDataFrame([(f"p{k}", 1, float(k)) for k in range(7)], "codigo string, corte int, pt double")
     fac = spark.createDataFrame([("bajo", 0.0, 1.0), ("medio", 0.5, 2.0), ("alto", 0.9, 3.0)], "tercil string, p10 double, p90 double")
     assert [r.hi_t for r in C.tercile_bands(pts, fac).orderBy("codigo").collect()] == [0.0, 1.0, 2.0, 6.0, 8.0, 15.0, 18.0]
+
+
+def test_cut_lies_in_the_middle_of_a_gap():
+    """Bins 2 to 5 hold no row of the node: any cut from 1 to 5 parts it in the same way."""
+    hist = np.zeros((1, 9, 3))
+    hist[0, [1, 6, 7]] = [[4, 2, 2], [-3, 2, 2], [-1, 1, 1]]
+    first, middle = (B.best_split(hist, B.Spec(), (-np.inf, np.inf), 1, 1e-9, between=b) for b in (False, True))
+    assert first[2] == 1 and middle[2] == 3 and first[:2] == middle[:2] and first[3:] == middle[3:]

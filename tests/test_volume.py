@@ -59,3 +59,17 @@ def test_blocks_of_trees_are_written_once(spark, tmp_path):
         B.frozen = frozen
     assert written == ["blocks"] and len(m.trees[0]) == 17
     assert m.predict(d, "p").selectExpr("avg(abs(p - y))").first()[0] < 1.5
+
+
+def test_folds_of_dml_grow_in_the_same_jobs(spark):
+    from lonja.operators import elasticity as L
+    d = spark.range(600).selectExpr("concat('s', id % 30) as codigo", "cast(id % 11 as double) as Y", "cast(id % 7 as double) as D",
+                                    *[f"cast(id % {k + 3} as double) as {c}" for k, c in enumerate(L.DML_X)])
+
+    def jobs(folds):
+        spark.sparkContext.setJobGroup(f"dml{folds}", "")
+        assert L.dml(d, folds=folds, iters=3, depth=2).first().n == 600
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"dml{folds}"))
+
+    assert jobs(5) <= jobs(2) + 4
