@@ -8,6 +8,8 @@ over blocks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lonja.functions.stats import safe_div
@@ -83,6 +85,28 @@ def prior_frequency(quotes: DataFrame, sales: DataFrame, keys: list[str], days:
     return quotes.join(n, [*keys, "fecha"], "left")
 
 
+def sales_around(quotes: DataFrame, sales: DataFrame, keys: list[str], price: str, paid: str,
+                 days: int = 28, tol: float = 0.01, before: int = 182) -> DataFrame:
+    """``won_within``, ``won_strict`` and ``prior_frequency`` of quotes that are few per key and day, in one pass.
+
+    Quotes and sale days are dealt by key once and meet in one window; nothing is joined back. A sale day is one row with its
+    distinct prices, so a frame holds at most a row per sale day and reads each price once per quote day.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    s = (sales.where(known).select(*keys, "fecha", F.when(F.col(paid) > 0, F.col(paid)).alias("_v")).repartition(*keys)
+              .groupBy(*keys, "fecha").agg(F.collect_set("_v").alias("_vs"))
+              .withColumn("_w", F.date_trunc("week", F.col("fecha")).cast("date")))
+    d = (quotes.withColumn("_p", F.col(price)).unionByName(s, allowMissingColumns=True)
+               .withColumn("_d", F.datediff("fecha", F.lit("1970-01-01"))))
+    w = W.partitionBy(*keys).orderBy("_d")
+    after = w.rangeBetween(0, days)
+    d = d.withColumns({"ganada": F.count("_w").over(after) > 0, "_vs_after": F.collect_list("_vs").over(after),
+                       "freq_previa": F.size(F.collect_set("_w").over(w.rangeBetween(-before, -1))).cast("long")}).where("_w is null")
+    strict = (F.col("_p") > 0) & F.exists(F.flatten("_vs_after"), lambda v: F.abs(v / F.col("_p") - 1) <= tol)
+    return (d.withColumn("ganada_estricta", F.coalesce(strict, F.lit(False))).withColumn("freq_previa", F.when(known, F.col("freq_previa")))
+             .drop("_p", "_d", "_w", "_vs", "_vs_after"))
+
+
 def package_lines(quotes: DataFrame) -> DataFrame:
     """Quote lines that can form a package: priced list or offer lines, no kits, no projects."""
     kit, project = F.coalesce("kit", F.lit("")) == "Si", F.coalesce(F.lower("concepto").contains("royecto"), F.lit(False))

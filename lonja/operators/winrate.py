@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lonja.functions.text import channel
 from lonja.operators.boosting import Booster, Spec, boost
 from lonja.operators.clean import rel_price
+from lonja.staging import frozen
 
 
 def valid_offers(quotes: DataFrame, lo: float = 0.30, hi: float = 1.10) -> DataFrame:
@@ -19,12 +20,17 @@ def valid_offers(quotes: DataFrame, lo: float = 0.30, hi: float = 1.10) -> DataF
 KEYS = ["codigo_cliente", "codigo"]
 
 
-def negotiations(quotes: DataFrame, sales: DataFrame, days: int = 28) -> DataFrame:
-    """Last offer per account, product and week, weight 1 / lines of the folio, won within ``days``."""
-    from lonja.operators.joins import won_within
+OFFER = [*KEYS, "semana", "fecha", "folio", "cantidad", "precio", "tipo_precio", "subtotal", "canal", "rel_precio"]
+
+
+def negotiations(quotes: DataFrame, sales: DataFrame, days: int = 28, tol: float = 0.01) -> DataFrame:
+    """Last offer per account, product and week, weight 1 / lines of the folio, won within ``days`` (strictly: at the offered price), prior frequency."""
+    from lonja.operators.joins import sales_around
     from lonja.operators.windows import last_offer, share_weight
-    neg = share_weight(last_offer(valid_offers(quotes)), ["folio"], "peso")
-    return won_within(neg, sales.where("precio > 0 and cantidad > 0"), KEYS, days)
+    last = frozen(last_offer(valid_offers(quotes).select(*OFFER)), "ofertas")  # read twice: to count folios, and to go on
+    net = F.col("subtotal") / F.col("cantidad")
+    s = sales.where("precio > 0 and cantidad > 0").select(*KEYS, "fecha", net.alias("neto_vta"))
+    return sales_around(share_weight(last, ["folio"], "peso").withColumn("_of", net), s, KEYS, "_of", "neto_vta", days, tol).drop("_of")
 
 
 def package_close(packages: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -46,16 +52,12 @@ def package_close(packages: DataFrame, quotes: DataFrame) -> DataFrame:
 FEATS = ["rel_precio", "es_linea", "tipo_precio", "mes", "n_folio", "log_cant", "log_lista", "rot_sku", "freq_previa"]
 
 
-def negotiations_full(neg: DataFrame, sales: DataFrame, panel: DataFrame, tol: float = 0.01) -> DataFrame:
-    """Strict win, prior buying frequency, rotation, folio size and model columns."""
-    from lonja.operators.joins import prior_frequency, won_strict
-    s = sales.where("precio > 0 and cantidad > 0").withColumn("neto_vta", F.col("subtotal") / F.col("cantidad"))
+def negotiations_full(neg: DataFrame, panel: DataFrame) -> DataFrame:
+    """Rotation, folio size and model columns."""
     rot = panel.groupBy("codigo").agg(F.avg("unidades_rec").alias("rot_sku"))
-    d = won_strict(neg.withColumn("_of", F.col("subtotal") / F.col("cantidad")), s, KEYS, "_of", "neto_vta", tol=tol)
-    d = prior_frequency(d, s, KEYS).join(rot, "codigo", "left")
-    return (d.withColumn("rot_sku", F.coalesce("rot_sku", F.lit(0.0))).withColumn("n_folio", F.bround(1 / F.col("peso"), 0).cast("int"))
-             .withColumn("mes", F.month("fecha")).withColumn("es_linea", (F.col("canal") == "linea").cast("int"))
-             .withColumn("log_cant", F.log1p(F.col("cantidad").cast("double"))).withColumn("log_lista", F.log1p("precio")).drop("_of"))
+    return (neg.join(rot, "codigo", "left").withColumn("rot_sku", F.coalesce("rot_sku", F.lit(0.0))).withColumn("n_folio", F.bround(1 / F.col("peso"), 0).cast("int"))
+               .withColumn("mes", F.month("fecha")).withColumn("es_linea", (F.col("canal") == "linea").cast("int"))
+               .withColumn("log_cant", F.log1p(F.col("cantidad").cast("double"))).withColumn("log_lista", F.log1p("precio")))
 
 
 def fit_bid_response(train: DataFrame, target: str = "ganada", weight: str | None = None, feats: list[str] = FEATS, iters: int = 20, depth: int = 4) -> Booster:

@@ -12,7 +12,7 @@ define("negw", """SELECT n.*, 1.0::DOUBLE / cnt AS peso, coalesce(v.fecha <= n.f
 
 
 def neg(t):
-    return t.keep("neg", lambda: Q.negotiations(t.cotiz, t.ventas))
+    return t.keep("neg", lambda: Q.negotiations(t.cotiz, t.ventas, tol=0.05))
 
 
 @query("wr01_negotiations", "SELECT codigo_cliente, codigo, semana, fecha, canal, R(rel_precio) AS rel_precio, R(peso) AS peso, ganada FROM negw")
@@ -45,7 +45,7 @@ def _(t):
 
 
 def full(t):
-    return t.keep("neg_full", lambda: Q.negotiations_full(neg(t), t.ventas, t.panel, tol=0.05))
+    return t.keep("neg_full", lambda: Q.negotiations_full(neg(t), t.panel))
 
 
 @query("wr04_negotiations_full", """SELECT n.codigo_cliente, n.codigo, n.semana, n.fecha,

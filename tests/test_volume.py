@@ -73,3 +73,14 @@ def test_folds_of_dml_grow_in_the_same_jobs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"dml{folds}"))
 
     assert jobs(5) <= jobs(2) + 4
+
+
+def test_quotes_and_sales_are_dealt_once_for_all_outcomes(spark):
+    from lonja.operators import joins as J
+    q = spark.range(600).selectExpr("id", "cast(if(id % 50 = 0, null, if(id % 3 = 0, 0, id % 20)) as int) as k", "date_add(date'2024-01-01', cast(id * 37 % 200 as int)) as fecha", "50.0D + id * 7 % 10 as p")
+    s = spark.range(400).selectExpr("cast(if(id % 50 = 0, null, if(id % 3 = 0, 0, id * 3 % 20)) as int) as k", "date_add(date'2024-01-01', cast(id * 53 % 200 as int)) as fecha", "if(id % 9 = 0, 0, 50.0D + id * 11 % 10) as v")
+    got = J.sales_around(q, s, ["k"], "p", "v", 10, 0.02, 30)
+    assert plan_of(got).count("Exchange hashpartitioning") == 2
+    want = J.prior_frequency(J.won_strict(J.won_within(q, s, ["k"], 10), s, ["k"], "p", "v", 10, 0.02), s, ["k"], 30)
+    key = lambda d: sorted(map(tuple, d.select("id", "ganada", "ganada_estricta", "freq_previa").collect()))
+    assert key(got) == key(want) and 0 < got.where("ganada_estricta").count() < got.where("ganada").count()
