@@ -15,6 +15,9 @@ from lonja.staging import staged
 # Inputs that many steps read again: written once per run, and pruned by later scans.
 KEPT = ("familias", "existencias_sem", "ventas", "cotiz")
 
+# A product becomes some hundred weeks: the few products lie in several files, so that the tasks share the grids made of them.
+FILE_ROWS = {"familias": 500}
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -32,7 +35,7 @@ class Tables:
         raise AttributeError(name)
 
     def keep(self, name: str, build) -> DataFrame:
-        return staged(self.spark, self.sf, name, build)
+        return staged(self.spark, self.sf, name, build, FILE_ROWS.get(name, 0))
 
     @cached_property
     def lineas(self) -> DataFrame:

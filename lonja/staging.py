@@ -17,12 +17,13 @@ from lonja.session import shared_dir
 _STAGED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
-def staged(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def staged(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], file_rows: int = 0) -> DataFrame:
+    """The table ``name`` of ``scope``; with ``file_rows``, in files of at most so many rows."""
     key = (spark.sparkContext.applicationId, scope, name)
     if key not in _STAGED:
         df = build()
         path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}/{name}"
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", file_rows).parquet(path)
         _STAGED[key] = (path, df.schema)
     path, schema = _STAGED[key]
     return spark.read.schema(schema).parquet(path)

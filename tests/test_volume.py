@@ -47,6 +47,18 @@ def test_derived_tables_read_the_kept_ones(spark):
     assert t.competencia.count() == 4 * t.familias.selectExpr("sum((w1 - w0) div 2 + 1)").first()[0]
 
 
+def test_tasks_share_the_product_weeks(spark, monkeypatch):
+    from lonja import staging
+    from lonja.plans import tables
+    want = Tables(spark, "/root/testdata/sf0.01").existencias_sem
+    monkeypatch.setattr(staging, "_STAGED", {})
+    monkeypatch.setattr(tables, "FILE_ROWS", {"familias": 20})
+    t = Tables(spark, "/root/testdata/sf0.01")
+    got = t.existencias_sem
+    assert len(t.familias.inputFiles()) > 1 and len(got.inputFiles()) > 1
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_blocks_of_trees_are_written_once(spark, tmp_path):
     """Rows are written when they are packed; predictions then stay in memory and move forward tree by tree."""
     from lonja.operators import boosting as B
