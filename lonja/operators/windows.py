@@ -67,6 +67,12 @@ def ffill(c, keys, order) -> Column:
     return F.last(c, ignorenulls=True).over(_w(keys, order).rowsBetween(W.unboundedPreceding, 0))
 
 
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
 def run_length(df: DataFrame, cond: Column, keys: list[str], order: str, out: str) -> DataFrame:
     """Length of the trailing run in which ``cond`` holds, one row per key."""
     w = W.partitionBy(*keys).orderBy(F.desc(order))
@@ -85,11 +91,14 @@ def islands(df: DataFrame, cond: Column, keys: list[str], order: str) -> DataFra
 
 
 def consensus(df: DataFrame, keys: list[str], price: str, tol: float = 0.05) -> DataFrame:
-    """Cheapest source per key and how many sources stand within ``tol`` of it."""
-    m = df.groupBy(*keys).agg(F.min(price).alias("minimo"))
-    return (df.join(m, keys).groupBy(*keys).agg(
+    """Cheapest source per key and how many sources stand within ``tol`` of it; rows without a key are left out.
+
+    One window and no join: rows are sent once, and none of them to the driver, however few the plan takes them for.
+    """
+    d = _keyed(df, keys).select(*keys, price).withColumn("minimo", F.min(price).over(W.partitionBy(*keys)))
+    return d.groupBy(*keys).agg(
         F.first("minimo").alias("minimo"),
-        F.count_if(F.col(price) <= F.col("minimo") * (1 + tol)).alias("n_consenso"), F.count("*").alias("n_fuentes")))
+        F.count_if(F.col(price) <= F.col("minimo") * (1 + tol)).alias("n_consenso"), F.count("*").alias("n_fuentes"))
 
 
 def last_change(df: DataFrame, cond: Column, keys: list[str], order: str, out: str) -> DataFrame:
