@@ -73,6 +73,12 @@ def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def with_latest(df: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
+    """The value at the key's last ``order`` beside each of its rows, without a join; rows without a key are left out."""
+    w = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # sorted as for ``run_length``
+    return _keyed(df, keys).withColumn(out, F.max_by(value, order).over(w))
+
+
 def run_length(df: DataFrame, cond: Column, keys: list[str], order: str, out: str) -> DataFrame:
     """Length of the trailing run in which ``cond`` holds, one row per key."""
     w = W.partitionBy(*keys).orderBy(F.desc(order))

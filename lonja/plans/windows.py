@@ -84,10 +84,10 @@ def _(t):
      first_value(precio_venta) OVER (PARTITION BY fuente, modelo ORDER BY fecha DESC) AS act FROM competencia)
    SELECT fuente, modelo, coalesce(min(CASE WHEN NOT (precio_venta > 0 AND abs(precio_venta / act - 1) <= 0.01) THEN n END), max(n) + 1) - 1 AS persistencia FROM a GROUP BY ALL""")
 def _(t):
-    act = t.competencia.groupBy("fuente", "modelo").agg(F.max_by("precio_venta", "fecha").alias("act"))
-    d = t.competencia.join(act, ["fuente", "modelo"])
+    k = ["fuente", "modelo"]
+    d = N.with_latest(t.competencia.select(*k, "fecha", "precio_venta"), k, "precio_venta", "fecha", "act")
     ok = (F.col("precio_venta") > 0) & (F.abs(F.col("precio_venta") / F.col("act") - 1) <= 0.01)
-    return N.run_length(d, ok, ["fuente", "modelo"], "fecha", "persistencia")
+    return N.run_length(d, ok, k, "fecha", "persistencia")
 
 
 define("sin_stock", """WITH s AS (SELECT codigo, w, (disp_venta <= 0)::INT AS c FROM existencias_sem),

@@ -43,3 +43,29 @@ def test_consensus_is_one_window(spark):
     assert {(r.modelo, r.fecha): (r.minimo, r.n_consenso, r.n_fuentes) for r in got.collect()} == want
     t = Tables(spark, SF)
     assert "Broadcast" not in plan_of(N.consensus(t.competencia, ["modelo", "fecha"], "precio_venta"))
+
+
+def newest(rows, upto=None):
+    return sorted(rows, key=lambda r: (r.fecha is not None, r.fecha or DAY), reverse=True)[:upto]
+
+
+def run_of(rows):
+    dated = [r for r in newest(rows) if r.fecha is not None]
+    act = dated[0].precio_venta if dated else None
+    ok = [bool(r.precio_venta is not None and act and r.precio_venta > 0 and abs(r.precio_venta / act - 1) <= 0.01) for r in newest(rows)]
+    return [*ok, False].index(False)
+
+
+def test_run_length_of_the_latest_price(spark):
+    d = register(spark)
+    one = d.groupBy("fuente", "modelo", "fecha").agg(F.max("precio_venta").alias("precio_venta"))  # no ties
+    k = ["fuente", "modelo"]
+    x = N.with_latest(one, k, "precio_venta", "fecha", "act")
+    got = N.run_length(x, (F.col("precio_venta") > 0) & (F.abs(F.col("precio_venta") / F.col("act") - 1) <= 0.01), k, "fecha", "n")
+    assert "Join" not in plan_of(got) and plan_of(got).count("Sort [fuente") == 1
+    assert {(r.fuente, r.modelo): r.n for r in got.collect()} == {g: run_of(rows) for g, rows in groups(one.collect(), *k).items()}
+
+
+def test_wn12_sends_no_register_to_the_driver(spark):
+    import __spark_entry__ as entry
+    assert "Broadcast" not in plan_of(entry.queries()["wn12_run_length"](spark, SF))
