@@ -371,21 +371,25 @@ def block_match(comp: DataFrame, ours: DataFrame, rivals: DataFrame, mm_tol: flo
 
 
 def signatures(reg: DataFrame) -> DataFrame:
-    """Persistence of today's price and stock trajectory per competitor product."""
+    """Persistence of today's price and stock trajectory per competitor product.
+
+    All windows have the product's key, so the register is sent once and joined with nothing.
+    """
     from pyspark.sql import Window as W
 
-    from lonja.operators.windows import run_length
+    from lonja.operators.windows import with_latest
     k = ["fuente", "modelo"]
-    act = reg.groupBy(*k).agg(F.max_by("precio_venta", "fecha").alias("_p"), F.count("*").alias("_h"))
-    d = reg.join(act, k)
-    run = run_length(d, (F.col("precio_venta") > 0) & (F.abs(F.col("precio_venta") / F.col("_p") - 1) <= 0.01), k, "fecha", "persistencia_d")
-    e = reg.where("existencia is not null")
-    e = e.withColumn("_a", F.row_number().over(W.partitionBy(*k).orderBy("fecha"))).withColumn("_z", F.row_number().over(W.partitionBy(*k).orderBy(F.desc("fecha"))))
-    g = e.groupBy(*k).agg(F.count("*").alias("_n"), F.avg(F.when(F.col("_a") <= 3, F.col("existencia"))).alias("_i"), F.avg(F.when(F.col("_z") <= 3, F.col("existencia"))).alias("_f"))
+    w, seen = W.partitionBy(*k), F.count("existencia")
+    upto = lambda order: w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    d = reg.select(*k, "fecha", "precio_venta", "existencia").withColumn("_a", seen.over(upto("fecha")))
+    d = with_latest(d, k, "precio_venta", "fecha", "_p")
+    ok = F.coalesce((F.col("precio_venta") > 0) & (F.abs(F.col("precio_venta") / F.col("_p") - 1) <= 0.01), F.lit(False))
+    d = d.withColumns({"_r": F.when(~ok, F.row_number().over(w.orderBy(F.desc("fecha")))), "_z": seen.over(upto(F.desc("fecha")))})
+    early, late = (F.avg(F.when(F.col(c) <= 3, F.col("existencia"))) for c in ("_a", "_z"))
+    g = d.groupBy(*k).agg(F.count("*").alias("_h"), (F.coalesce(F.min("_r"), F.count("*") + 1) - 1).cast("int").alias("persistencia_d"), seen.alias("_n"), early.alias("_i"), late.alias("_f"))
     rel = F.col("_f") / F.col("_i") - 1
     tr = F.when((F.col("_n") >= 6) & (F.col("_i") > 0), F.when(rel < -0.15, "VENDIENDO").when(rel > 0.15, "REPONIENDO").otherwise("ESTANCADO")).otherwise("sin dato")
-    d = act.join(run, k).join(g, k, "left")
-    return d.select(*k, F.when(F.col("_h") >= 3, F.col("persistencia_d")).alias("persistencia_d"), F.when(F.col("_h") >= 3, F.coalesce(tr, F.lit("sin dato"))).otherwise("sin dato").alias("stock_comp"))
+    return g.select(*k, F.when(F.col("_h") >= 3, F.col("persistencia_d")).alias("persistencia_d"), F.when(F.col("_h") >= 3, tr).otherwise("sin dato").alias("stock_comp"))
 
 
 def traffic_light(pairs: DataFrame, reg: DataFrame, growth: DataFrame) -> DataFrame:
@@ -393,9 +397,11 @@ def traffic_light(pairs: DataFrame, reg: DataFrame, growth: DataFrame) -> DataFr
 
     ``pairs``: codigo, match, confiabilidad, fuente, modelo, precio_comp, gap_pct, base.
     """
-    best = pairs.groupBy("codigo").agg(F.min("precio_comp").alias("_m"))
-    cons = pairs.join(best, "codigo").groupBy("codigo").agg(F.count_if(F.col("precio_comp") <= F.col("_m") * 1.05).alias("consenso_n"))
-    d = pairs.join(signatures(reg), ["fuente", "modelo"], "left").join(cons, "codigo").join(growth.select("codigo", "crecimiento"), "codigo", "left")
+    from pyspark.sql import Window as W
+    w = W.partitionBy("codigo")
+    d = pairs.join(signatures(reg), ["fuente", "modelo"], "left").where("codigo is not null").withColumn("_m", F.min("precio_comp").over(w))
+    d = d.withColumn("consenso_n", F.count_if(F.col("precio_comp") <= F.col("_m") * 1.05).over(w)).drop("_m")
+    d = d.join(growth.select("codigo", "crecimiento"), "codigo", "left")
     t = lambda c: F.coalesce(c, F.lit(False))
     pers, rot = t(F.col("persistencia_d") >= 7), t(F.col("stock_comp").isin("VENDIENDO", "REPONIENDO"))
     hurt = t(F.col("crecimiento") < -0.05) | (F.col("base") == "lista")

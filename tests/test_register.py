@@ -69,3 +69,22 @@ def test_run_length_of_the_latest_price(spark):
 def test_wn12_sends_no_register_to_the_driver(spark):
     import __spark_entry__ as entry
     assert "Broadcast" not in plan_of(entry.queries()["wn12_run_length"](spark, SF))
+
+
+def stock_of(rows):
+    seen = [r.existencia for r in newest(rows) if r.existencia is not None]
+    if len(rows) < 3 or len(seen) < 6 or sum(seen[-3:]) <= 0:
+        return "sin dato"
+    rel = sum(seen[:3]) / sum(seen[-3:]) - 1
+    return "VENDIENDO" if rel < -0.15 else "REPONIENDO" if rel > 0.15 else "ESTANCADO"
+
+
+def test_signatures_send_the_register_once(spark):
+    k = ["fuente", "modelo"]
+    one = register(spark).groupBy(*k, "fecha").agg(F.max("precio_venta").alias("precio_venta"), F.max("existencia").alias("existencia"))  # no ties
+    got = X.signatures(one)
+    want = {g: (run_of(rows) if len(rows) >= 3 else None, stock_of(rows)) for g, rows in groups(one.collect(), *k).items()}
+    assert {(r.fuente, r.modelo): (r.persistencia_d, r.stock_comp) for r in got.collect()} == want
+    assert {"VENDIENDO", "REPONIENDO", "sin dato"} <= {v[1] for v in want.values()}
+    plan = plan_of(X.signatures(Tables(spark, SF).competencia))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
