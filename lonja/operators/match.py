@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -64,28 +66,37 @@ def match_exact(comp: DataFrame, cat: DataFrame) -> DataFrame:
     return comp.join(c, "m_norm").select("modelo", "m_norm", "codigo", F.lit("EXACTO").alias("nivel"), F.lit(1.0).alias("score"))
 
 
-def grams(df: DataFrame, key: str, text, n_lo: int, n_hi: int) -> DataFrame:
-    """(key, gram, tf): character n-grams of the whole text; only the texts are shuffled."""
-    t = F.col("_t")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _cut(lo: int, hi: int):
+    """Batches of keys with their texts (_t) to the distinct n-grams of each key and how often each occurs."""
+    def cut(batches):
+        for d in batches:
+            found = [Counter(t[i:i + n] for t in texts for n in range(lo, hi + 1) for i in range(len(t) - n + 1)) for texts in d.pop("_t")]
+            yield d.assign(g=[list(f) for f in found], tf=[[float(x) for x in f.values()] for f in found])
+    return cut
 
-    def of(n):
-        cut = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    arrs = [of(n) for n in range(n_lo, n_hi + 1)]
-    return (df.select(key, col(text).alias("_t")).repartition(parts, key).select(key, F.explode(F.flatten(F.array(*arrs))).alias("gram")).groupBy(key, "gram").agg(F.count("*").cast("double").alias("tf")))
+def grams(df: DataFrame, key: str, text, n_lo: int, n_hi: int) -> DataFrame:
+    """(key, gram, tf): character n-grams of the whole text; only the texts are shuffled, and each is cut once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.select(key, col(text).alias("_t")).repartition(parts, key).groupBy(key).agg(F.collect_list("_t").alias("_t"))
+    lists = d.mapInPandas(_cut(n_lo, n_hi), f"{key} {d.schema[key].dataType.simpleString()}, g array<string>, tf array<double>")
+    return lists.select(key, F.explode(F.arrays_zip("g", "tf")).alias("x")).select(key, F.col("x.g").alias("gram"), F.col("x.tf").alias("tf"))
 
 
 def vectors(q: DataFrame, c: DataFrame, qk: str, ck: str, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Unit TF-IDF vectors of both sides; document frequencies come from the catalogue side."""
+    """Unit TF-IDF vectors of both sides; document frequencies come from the catalogue side, whose grams are written once.
+
+    The rows of a text meet once, for its norm; it is as long as the text.
+    """
+    c = frozen(c, "grams")
     n = c.select(ck).distinct().agg(F.count("*")).scalar()
-    df = c.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
+    df = c.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    df = frozen(df.withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1), "frequencies")
 
     def unit(d, key):
-        d = d.join(df, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-        norm = d.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-        return d.join(norm, key).select(key, "gram", "df", (F.col("w") / F.col("_n")).alias("w"))
+        d = d.where(F.col(key).isNotNull()).join(df, "gram").groupBy(key).agg(F.collect_list(F.struct("gram", "df", (F.col("tf") * F.col("idf")).alias("w"))).alias("v"))
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        return d.select(key, norm.alias("_n"), F.explode("v").alias("x")).select(key, "x.gram", "x.df", (F.col("x.w") / F.col("_n")).alias("w"))
 
     return unit(q, qk), unit(c, ck)
 
@@ -93,6 +104,7 @@ def vectors(q: DataFrame, c: DataFrame, qk: str, ck: str, min_df: int = 1) -> tu
 # Texts in one block of the catalogue, and queries that share one copy of a block at least.
 TEXTS, QUERIES = 100_000, 2_000
 POSTINGS = 3_000_000  # (text, gram) rows in one block: some 0.1 GB
+LOOKUP = 12  # postings that are read in the time of one look-up
 TASKS = 24  # tasks that a search is spread over at least, if there are queries enough
 
 
@@ -110,7 +122,7 @@ class Postings:
         """Keys and cosines of the k best texts that share a gram and reach ``least``, and the postings read.
 
         A gram adds at most its weight times the largest weight of its list. Long lists that together add less than the
-        threshold can't bring a text in on their own: they are left out when texts are collected, and
+        threshold can't bring a text in on their own: where that pays, they are left out when texts are collected, and
         looked up for the texts that can still reach it.
         """
         at = np.searchsorted(self.grams, grams)
@@ -123,13 +135,15 @@ class Postings:
         order = np.argsort(bound / sizes, kind="stable")
         rest = np.minimum(np.cumsum(bound[order]), np.sqrt(np.cumsum(w[order] ** 2)))
         left = int(np.searchsorted(rest, least - 1e-9)) if least > 0 else 0
+        read, all_ = int(sizes[order[left:]].sum()), int(sizes.sum())
+        if LOOKUP * left * read > all_ - read:  # looking up what may be found costs more than reading the long lists, too
+            left, read = 0, all_
         open_ = rest[left - 1] if left else 0.0
         lists = [slice(self.ends[at[j]], self.ends[at[j] + 1]) for j in order]
-        read = int(sizes[order[left:]].sum())
         score = np.zeros(len(self.keys))
         if left < len(order):
             docs = np.concatenate([self.texts[x] for x in lists[left:]])
-            score = np.bincount(docs, np.concatenate([self.weights[x] * w[j] for x, j in zip(lists[left:], order[left:])]), len(self.keys))
+            score = np.bincount(docs, np.concatenate([self.weights[x] for x in lists[left:]]) * np.repeat(w[order[left:]], sizes[order[left:]]), len(self.keys))
         enough = least - open_ - 1e-9
         found = np.flatnonzero(score >= enough if enough > 0 else score > 0)
         if left and len(found) > k:  # k texts reach this much already, so others must be able to
@@ -196,7 +210,7 @@ def topk_cosine(q: DataFrame, c: DataFrame, qk: str, ck: str, k: int, least: flo
         each = each.select(cell(F.col("home"), F.col("copy")), F.lit(True).alias("is_text"), *cols)
         sent = queries.select(*cols, F.explode(where).alias("block")).select(
             cell(F.col("block"), F.pmod(F.xxhash64("key", F.lit(7)), F.lit(copies))), F.lit(False).alias("is_text"), *cols)
-        cells = each.unionByName(sent).repartition(blocks * copies, "cell").sortWithinPartitions("cell", F.desc("is_text"))
+        cells = each.unionByName(sent).repartition(blocks * copies, "cell").sortWithinPartitions("cell", F.desc("is_text"), "key")  # like texts have near numbers
         return frozen(cells.mapInPandas(search, "q long, c long, cos double"), name)
 
     first = visit(asked, F.array("home"), "first")
