@@ -36,3 +36,15 @@ def test_long_lists_are_read_where_look_ups_cost_more():
         sums[texts] += weights[g] ** 2
     best = np.lexsort((np.arange(n), -np.round(sums, 9)))[:5]
     assert keys.tolist() == best.tolist() and np.allclose(cos, sums[best]) and read == 1400
+
+
+def test_a_block_of_nine_thousand_rows_is_one_cell(spark, monkeypatch):
+    """Its products are sent once; cells of 8,192 rows sent them twice."""
+    sent, plain = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda d, *a: sent.append(d) or plain(d, *a))
+    cols = "'domo' as tipo, 2.0D as mp, 'ip' as tec, false as gama, 4.0D as mm, cast(10 + id as double) as precio, array(1.0D, cast(id as double)) as vec"
+    ours = spark.range(9000).selectExpr("cast(id as int) as codigo", "'Q' as marca", *cols.split(", ", 6))
+    asked = spark.range(3).selectExpr("cast(id as int) as modelo", "'P' as marca", *cols.split(", ", 6))
+    got = match.block_match(asked, ours, spark.createDataFrame([("P", "Q")], "marca string, rival string"))
+    assert [d.count() for d in sent] == [3, 9000]
+    assert sorted((r.modelo, r.via, r.codigo) for r in got.collect()) == [(n, "RIVAL", n) for n in range(3)]
